@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES
-from . import flows, windows  # noqa: F401
+from . import flows, windows, joins, reports, samples, alignment  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -84,14 +84,14 @@ behaviour AS (
   SELECT seq, src_ip, session, session_row, start_us, us AS end_us,
     coalesce(m, 0) AS beacon_interval_mean, coalesce(s, 0) AS beacon_interval_std,
     coalesce(list_entropy(dests), 0) AS dst_ip_entropy,
-    len(list_distinct(names)) / (greatest(coalesce(span, 0), 1) / 60.0) AS dns_per_min,
+    coalesce(len(list_distinct(names)), 0) / (greatest(coalesce(span, 0), 1) / 60.0) AS dns_per_min,
     CASE WHEN len(uris) > 0 THEN list_entropy(uris) ELSE 0 END AS uri_entropy,
     list_max(map_values(list_aggregate(ports, 'histogram'))) / {SIZE}::DOUBLE AS same_dst_port_ratio,
     CASE WHEN len(snis) > 0 THEN 1 - len(list_distinct(snis)) / len(snis)::DOUBLE ELSE 0 END AS tls_sni_reuse,
     v AS payload_size_variance
   FROM framed WHERE session_row >= {SIZE}
 )"""
-ROUNDED_BEHAVIOUR = ", ".join(f"round(CAST({c} AS DOUBLE), 5) AS {c}" for c in WINDOW_FEATURES)
+ROUNDED_BEHAVIOUR = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in WINDOW_FEATURES)
 
 
 @query("sliding_behaviour",
@@ -101,7 +101,7 @@ def sliding_behaviour_query(spark, sf_dir):
     return rounded(df.select(
         "seq", "src_ip", micros(F.col("window_start")).alias("start_us"),
         micros(F.col("window_end")).alias("end_us"), *WINDOW_FEATURES,
-    ), 5)
+    ))
 
 
 @query("strided_windows",
