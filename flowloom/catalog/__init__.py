@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES
-from . import flows, windows, joins, reports, samples, alignment  # noqa: F401
+from . import (  # noqa: F401
+    flows, windows, joins, reports, samples, alignment, alerts, scans, streams,
+)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -198,10 +198,65 @@ def window_tensor(
         df, keys, ts, size, stride,
         keep={"flow_rows": F.collect_list(features)}, chunk_rows=chunk_rows,
     )
+    return stack_window(rows)
+
+
+def stack_window(df: DataFrame, rows: str = "flow_rows", into: str = "window") -> DataFrame:
+    """Append the behaviour values to each collected flow vector."""
     tail = F.array(*[F.col(n).cast("float") for n in WINDOW_FEATURES])
-    return rows.withColumn(
-        "window", F.transform("flow_rows", lambda x: F.concat(x, tail))
-    ).drop("flow_rows")
+    return df.withColumn(into, F.transform(rows, lambda x: F.concat(x, tail))).drop(rows)
+
+
+def behaviour_of(df: DataFrame, window: str = "rows") -> DataFrame:
+    """The eight behaviour values of a window given as an array of structs.
+
+    The array is in time order; its structs hold ``us, dest_ip, dest_port,
+    total_bytes, dns_queries, http_uri, tls_sni``. This is the form a stateful
+    stream emits; the values equal those of :func:`sliding_behaviour`.
+    """
+    def field(name: str) -> Column:
+        return F.transform(window, lambda r: r[name])
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+    n = F.size(window)
+    zero = F.lit(0.0)
+    df = df.withColumns({
+        "__us": field("us"),
+        "__bytes": F.transform(window, lambda r: r["total_bytes"].cast("double")),
+    })
+    steps = F.zip_with(
+        F.slice("__us", F.lit(2), F.greatest(n - 1, F.lit(0))),
+        F.slice("__us", F.lit(1), F.greatest(n - 1, F.lit(0))),
+        lambda b, a: (b - a) / F.lit(1e6),
+    )
+    df = df.withColumn("__steps", F.filter(steps, lambda d: d > 0))
+    k = F.size("__steps")
+    df = df.withColumn("__mean", F.when(k > 0, total(F.col("__steps")) / k).otherwise(zero))
+    df = df.withColumn("__level", total(F.col("__bytes")) / n)
+
+    def spread(values: str, centre: str) -> Column:
+        return total(F.transform(values, lambda x: (x - F.col(centre)) * (x - F.col(centre))))
+
+    names = F.flatten(F.transform(window, lambda r: F.coalesce(
+        r["dns_queries"], F.array().cast("array<string>")
+    )))
+    minutes = F.greatest(total(F.col("__steps")), F.lit(1.0)) / 60.0
+    values = {
+        "beacon_interval_mean": F.col("__mean"),
+        "beacon_interval_std": F.when(k > 0, F.sqrt(spread("__steps", "__mean") / k)).otherwise(zero),
+        "dst_ip_entropy": lists.entropy(field("dest_ip")),
+        "dns_per_min": F.size(F.array_distinct(names)) / minutes,
+        "uri_entropy": lists.entropy(lists.present(field("http_uri"))),
+        "same_dst_port_ratio": lists.modal_share(field("dest_port")),
+        "tls_sni_reuse": lists.reuse_ratio(lists.present(field("tls_sni"))),
+        "payload_size_variance": spread("__bytes", "__level") / n,
+    }
+    df = df.withColumns({
+        m: F.when(n >= 2, values[m]).otherwise(zero) for m in WINDOW_FEATURES
+    })
+    return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 
 def label_windows(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -156,8 +157,14 @@ def read_catalogue(spark: SparkSession, sources: dict[str, Sequence[str]],
     return events, located.select(file.alias("file"), "class", "cap")
 
 
-def read_scenarios(spark: SparkSession, root: str, name: str = "eve.json") -> DataFrame:
-    """One scan over ``root/<scenario>/<name>`` with the scenario from the path."""
-    return read_eve(spark, root, recursive=True, name_glob=name).withColumn(
-        "scenario", F.element_at(F.split("file", "/"), -2)
+def scenario_of(file: Column, root: str) -> Column:
+    """The folder right below ``root`` on the way to the file."""
+    base = re.escape(root.rstrip("/").rsplit("/", 1)[-1])
+    return F.regexp_extract(file, f"/{base}/([^/]+)/", 1)
+
+
+def read_scenarios(spark: SparkSession, root: str, name_glob: str = "eve.json") -> DataFrame:
+    """One scan over ``root/<scenario>/.../eve.json``, scenario from the path."""
+    return read_eve(spark, root, recursive=True, name_glob=name_glob).withColumn(
+        "scenario", scenario_of(F.col("file"), root)
     )

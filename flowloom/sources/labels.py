@@ -10,7 +10,7 @@ from ..functions.coerce import digits_or_zero
 from ..functions.labels import attack_family, protocol
 from ..functions.timefmt import ARGUS_FORMATS, ISO, LABEL_CSV_FORMATS, micros, parse_ts
 from ..schema import BINETFLOW
-from .eve import line_position
+from .eve import line_position, scenario_of
 
 # Accepted column names of label tables.
 REQUIRED_COLUMNS = {
@@ -118,7 +118,7 @@ def read_families(spark: SparkSession, root: str, default: str = "Bot") -> DataF
         spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "{*.html,*.txt,README*}").text(root)
         .select(
-            F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("scenario"),
+            scenario_of(F.col("_metadata.file_path"), root).alias("scenario"),
             F.col("_metadata.file_name").alias("name"),
             F.nullif(F.regexp_extract("value", FAMILY_PATTERN, 1), F.lit("")).alias("family"),
         )
