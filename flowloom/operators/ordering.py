@@ -32,14 +32,14 @@ HASH_SLICES = 1024
 
 def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how="inner") -> DataFrame:
     """Join on null-safe keys, keeping one copy of the keys."""
-    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    renamed = right.withColumnsRenamed({k: f"__o_key_{k}" for k in keys})
     match = reduce(
         lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys],
+        [F.col(k).eqNullSafe(F.col(f"__o_key_{k}")) for k in keys],
         F.lit(True),
     )
     joined = left.join(renamed, match, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__{k}" for k in keys])
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__o_key_{k}" for k in keys])
 
 
 def split_heavy(
@@ -59,8 +59,8 @@ def split_heavy(
         return (df, None) if df.count() <= max_rows else (None, df)
     shared_dir(df.sparkSession)
     heavy = (
-        (df if among is None else df.where(among)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > max_rows).drop("__n").checkpoint()
+        (df if among is None else df.where(among)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__o_n"))
+        .where(F.col("__o_n") > max_rows).drop("__o_n").checkpoint()
     )
     if heavy.isEmpty():
         return df, None
@@ -72,7 +72,7 @@ def split_heavy(
 
 
 def _pieces(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Sorted range pieces: ``__piece`` in order, ``__pos`` rising inside a piece.
+    """Sorted range pieces: ``__o_piece`` in order, ``__o_pos`` rising inside a piece.
 
     The checkpoint fixes the piece boundaries: a range partitioner samples, so
     planning it twice could place a row differently.
@@ -82,8 +82,8 @@ def _pieces(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Data
     return (
         df.repartitionByRange(*sort)
         .sortWithinPartitions(*sort)
-        .withColumn("__piece", F.spark_partition_id())
-        .withColumn("__pos", F.monotonically_increasing_id())
+        .withColumn("__o_piece", F.spark_partition_id())
+        .withColumn("__o_pos", F.monotonically_increasing_id())
         .checkpoint()
     )
 
@@ -94,15 +94,15 @@ def _before(pieces: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]
     One row per key and piece: the partition count plus the number of keys,
     and only heavy keys come here, so the result is small enough to broadcast.
     """
-    per_piece = pieces.groupBy(*keys, "__piece").agg(
-        *[F.sum(col).alias(f"__{name}") for name, col in totals.items()]
+    per_piece = pieces.groupBy(*keys, "__o_piece").agg(
+        *[F.sum(col).alias(f"__o_{name}") for name, col in totals.items()]
     )
-    earlier = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("__o_piece").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     return per_piece.select(
-        *keys, "__piece",
-        *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}_before") for n in totals],
-        *[F.sum(f"__{n}").over(whole).alias(f"__{n}_all") for n in totals],
+        *keys, "__o_piece",
+        *[F.coalesce(F.sum(f"__o_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}_before") for n in totals],
+        *[F.sum(f"__o_{n}").over(whole).alias(f"__o_{n}_all") for n in totals],
     )
 
 
@@ -130,16 +130,16 @@ def running_totals(
     if heavy is not None:
         pieces = _pieces(heavy, keys, order)
         within = (
-            Window.partitionBy(*keys, "__piece").orderBy("__pos")
+            Window.partitionBy(*keys, "__o_piece").orderBy("__o_pos")
             .rowsBetween(Window.unboundedPreceding, 0)
         )
         summed = pieces.withColumns({n: F.sum(c).over(within) for n, c in totals.items()})
         placed = _attach(
-            summed, F.broadcast(_before(pieces, keys, totals)), [*keys, "__piece"]
+            summed, F.broadcast(_before(pieces, keys, totals)), [*keys, "__o_piece"]
         )
         done.append(placed.withColumns({
-            **{n: F.col(n) + F.col(f"__{n}_before") for n in totals},
-            **{f"{n}_all": F.col(f"__{n}_all") for n in totals},
+            **{n: F.col(n) + F.col(f"__o_{n}_before") for n in totals},
+            **{f"{n}_all": F.col(f"__o_{n}_all") for n in totals},
         }).select(*df.columns, *totals, *[f"{n}_all" for n in totals]))
     return reduce(DataFrame.unionByName, done)
 
@@ -170,15 +170,15 @@ def row_numbers(
         done.append(ranked.select(*wanted))
     if heavy is not None:
         pieces = _pieces(heavy, keys, order)
-        first = pieces.groupBy(*keys, "__piece").agg(F.min("__pos").alias("__first"))
+        first = pieces.groupBy(*keys, "__o_piece").agg(F.min("__o_pos").alias("__o_first"))
         counts = _before(pieces, keys, {"n": F.lit(1).cast("long")})
         placed = _attach(
             pieces,
-            F.broadcast(_attach(counts, first, [*keys, "__piece"])),
-            [*keys, "__piece"],
-        ).withColumn(name, F.col("__pos") - F.col("__first") + F.col("__n_before") + 1)
+            F.broadcast(_attach(counts, first, [*keys, "__o_piece"])),
+            [*keys, "__o_piece"],
+        ).withColumn(name, F.col("__o_pos") - F.col("__o_first") + F.col("__o_n_before") + 1)
         if total:
-            placed = placed.withColumn(total, F.col("__n_all"))
+            placed = placed.withColumn(total, F.col("__o_n_all"))
         done.append(placed.select(*wanted))
     return reduce(DataFrame.unionByName, done)
 
@@ -214,24 +214,24 @@ def neighbours(
         done.append(both(light, keys, order))
     if heavy is not None:
         pieces = _pieces(heavy, keys, [F.col(c) for c in order])
-        marked = F.when(F.col(mark).isNotNull(), F.col("__pos"))
-        ends = pieces.groupBy(*keys, "__piece").agg(
-            F.min_by(mark, marked).alias("__low"), F.max_by(mark, marked).alias("__high"),
+        marked = F.when(F.col(mark).isNotNull(), F.col("__o_pos"))
+        ends = pieces.groupBy(*keys, "__o_piece").agg(
+            F.min_by(mark, marked).alias("__o_low"), F.max_by(mark, marked).alias("__o_high"),
         )
-        before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-        after = Window.partitionBy(*keys).orderBy(F.col("__piece").desc()).rowsBetween(
+        before = Window.partitionBy(*keys).orderBy("__o_piece").rowsBetween(Window.unboundedPreceding, -1)
+        after = Window.partitionBy(*keys).orderBy(F.col("__o_piece").desc()).rowsBetween(
             Window.unboundedPreceding, -1
         )
         carried = ends.select(
-            *keys, "__piece",
-            F.last("__high", ignorenulls=True).over(before).alias("__left"),
-            F.last("__low", ignorenulls=True).over(after).alias("__right"),
+            *keys, "__o_piece",
+            F.last("__o_high", ignorenulls=True).over(before).alias("__o_carry_left"),
+            F.last("__o_low", ignorenulls=True).over(after).alias("__o_carry_right"),
         )
         placed = _attach(
-            both(pieces, [*keys, "__piece"], ["__pos"]), F.broadcast(carried), [*keys, "__piece"]
+            both(pieces, [*keys, "__o_piece"], ["__o_pos"]), F.broadcast(carried), [*keys, "__o_piece"]
         )
         done.append(placed.withColumns({
-            left: F.coalesce(left, "__left"), right: F.coalesce(right, "__right"),
+            left: F.coalesce(left, "__o_carry_left"), right: F.coalesce(right, "__o_carry_right"),
         }).select(*df.columns, left, right))
     return reduce(DataFrame.unionByName, done)
 
@@ -280,14 +280,14 @@ def _slice_of(position: str, slices: int) -> Column:
 def _slices(df: DataFrame, keys, slices: int, position: str, weight: Column) -> DataFrame:
     """Per (key, slice): weight before the slice and weight of the key."""
     per = (
-        df.withColumn("__slice", _slice_of(position, slices))
-        .groupBy(*keys, "__slice").agg(F.sum(weight).alias("__w"))
+        df.withColumn("__o_slice", _slice_of(position, slices))
+        .groupBy(*keys, "__o_slice").agg(F.sum(weight).alias("__o_w"))
     )
-    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("__o_slice").rowsBetween(Window.unboundedPreceding, -1)
     return per.select(
-        *keys, "__slice",
-        F.coalesce(F.sum("__w").over(earlier), F.lit(0).cast("long")).alias("__before"),
-        F.sum("__w").over(Window.partitionBy(*keys)).alias("__all"),
+        *keys, "__o_slice",
+        F.coalesce(F.sum("__o_w").over(earlier), F.lit(0).cast("long")).alias("__o_before"),
+        F.sum("__o_w").over(Window.partitionBy(*keys)).alias("__o_all"),
     )
 
 
@@ -309,16 +309,16 @@ def hash_rank(
     keys = list(keys)
     offsets = _slices(df, keys, slices, position, F.lit(1).cast("long"))
     if at_most is not None:
-        offsets = offsets.where(F.col("__before") < at_most)
+        offsets = offsets.where(F.col("__o_before") < at_most)
     placed = _attach(
-        df.withColumn("__slice", _slice_of(position, slices)), offsets, [*keys, "__slice"]
+        df.withColumn("__o_slice", _slice_of(position, slices)), offsets, [*keys, "__o_slice"]
     )
-    within = Window.partitionBy(*keys, "__slice").orderBy(position, *ties)
-    ranked = placed.withColumn(name, F.row_number().over(within) + F.col("__before"))
+    within = Window.partitionBy(*keys, "__o_slice").orderBy(position, *ties)
+    ranked = placed.withColumn(name, F.row_number().over(within) + F.col("__o_before"))
     if at_most is not None:
         ranked = ranked.where(F.col(name) <= at_most)
     if total:
-        ranked = ranked.withColumn(total, F.col("__all"))
+        ranked = ranked.withColumn(total, F.col("__o_all"))
     return ranked.select(*df.columns, name, *([total] if total else []))
 
 
@@ -335,12 +335,12 @@ def hash_running_total(
     keys = list(keys)
     offsets = _slices(df, keys, slices, position, F.col(value))
     placed = _attach(
-        df.withColumn("__slice", _slice_of(position, slices)), offsets, [*keys, "__slice"]
+        df.withColumn("__o_slice", _slice_of(position, slices)), offsets, [*keys, "__o_slice"]
     )
     within = (
-        Window.partitionBy(*keys, "__slice").orderBy(position, *ties)
+        Window.partitionBy(*keys, "__o_slice").orderBy(position, *ties)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return placed.withColumn(
-        name, F.sum(value).over(within) + F.col("__before")
+        name, F.sum(value).over(within) + F.col("__o_before")
     ).select(*df.columns, name)

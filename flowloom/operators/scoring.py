@@ -43,19 +43,27 @@ def decide(
     adds the decision as ``is_alert``.
     """
     multiclass = len(classes) > 2
-    out = df.withColumns({
-        "attack_prob": 1.0 - F.get(F.col(probs), F.lit(0)),
-        "xgb_class": argmax(F.col(probs)),
-    })
-    alert = F.col("attack_prob") >= threshold
-    if multiclass:
-        alert = alert & (F.col("xgb_class") != 0)
-        out = class_names(out, classes, "xgb_class", "xgb_label")
-    else:
-        out = out.withColumn("xgb_label", F.lit(GENERIC))
+    decision = F.struct(
+        (1.0 - F.get(F.col(probs), F.lit(0))).alias("attack_prob"),
+        argmax(F.col(probs)).alias("xgb_class"),
+    )
+
+    def alert(d: Column) -> Column:
+        over = d["attack_prob"] >= threshold
+        return over & (d["xgb_class"] != 0) if multiclass else over
+
     if keep_benign:
-        return out.withColumn("is_alert", alert)
-    return out.where(alert)
+        out = df.withColumn("__d", decision).withColumn("is_alert", alert(F.col("__d")))
+    else:
+        # A plain filter would be pushed below the model and make it run twice,
+        # once for the predicate; a generator with no or one row is not pushed.
+        out = df.withColumn("__d", F.explode(F.filter(F.array(decision), alert)))
+    out = out.withColumns({
+        "attack_prob": F.col("__d.attack_prob"), "xgb_class": F.col("__d.xgb_class"),
+    }).drop("__d")
+    if multiclass:
+        return class_names(out, classes, "xgb_class", "xgb_label")
+    return out.withColumn("xgb_label", F.lit(GENERIC))
 
 
 def fast_path(multiclass: bool = True, classes: Sequence[int] = FAST_CLASSES) -> Column:
