@@ -28,8 +28,8 @@ def landed(spark, df, name):
 
 
 @query("scan_eve", f"""WITH {EVE_SQL} SELECT kind AS event_type, count(*) AS n, CAST(sum(k) FILTER (kind = 'flow') AS BIGINT) AS k_sum,
-  CAST(sum(us) FILTER (kind = 'flow') AS BIGINT) AS us_sum, CAST(0 AS BIGINT) AS corrupt FROM eve GROUP BY kind
-UNION ALL SELECT NULL, (SELECT count(*) FROM eve WHERE kind = 'tls'), NULL, NULL, (SELECT count(*) FROM eve WHERE kind = 'tls')""")
+  min(us) FILTER (kind = 'flow') AS first_us, max(us) FILTER (kind = 'flow') AS last_us, CAST(0 AS BIGINT) AS corrupt FROM eve GROUP BY kind
+UNION ALL SELECT NULL, (SELECT count(*) FROM eve WHERE kind = 'tls'), NULL, NULL, NULL, (SELECT count(*) FROM eve WHERE kind = 'tls')""")
 def scan_eve(spark, sf_dir):
     """Typed scan; one broken and one blank line follow every tls record."""
     events = eve(spark, sf_dir)
@@ -43,7 +43,8 @@ def scan_eve(spark, sf_dir):
     return read.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum((F.col("flow.bytes_toclient") / 37).cast("long")).alias("k_sum"),
-        F.sum(micros(F.col("flow.start"))).alias("us_sum"),
+        F.min(micros(F.col("flow.start"))).alias("first_us"),
+        F.max(micros(F.col("flow.start"))).alias("last_us"),
         F.count_if("is_corrupt").alias("corrupt"),
     )
 

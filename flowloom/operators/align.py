@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from .ordering import hash_position, hash_rank
+from .sampling import sample_per_class
 
 # Fixed values of the alignment.
 REGULARISATION = 1e-5
@@ -63,8 +63,8 @@ class Scaler:
         ``flat_below`` treats deviations under it as constant.
         """
         if sample is not None:
-            placed = df.withColumn("__p", hash_position(*ids, seed=seed))
-            df = hash_rank(placed, [], "__p", list(ids), "__rn", at_most=sample)
+            one = df.withColumn("__all", F.lit(0))
+            df = sample_per_class(one, "__all", sample, ids, seed).drop("__all")
         mean, std = column_stats(df, elements(vector, vector_width(df, vector)))
         flat = std == 0 if flat_below is None else std < flat_below
         return cls(mean, np.where(flat, 1.0, std))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.labels import protocol
 from ..functions.timefmt import micros, minute_of_day
 from ..schema import COARSE_CLASSES
-from .ordering import MAX_GROUP_ROWS, neighbours, running_totals
+from .ordering import MAX_GROUP_ROWS, bounded, neighbours, running_totals
 
 #: Columns produced by :func:`five_tuple_key`.
 FIVE_TUPLE = ["ep_low", "ep_high", "proto_key"]
@@ -157,8 +157,8 @@ def folded_label(
     best = _nearest(
         flows.withColumn("__pos", place(flow_ts)), marks, keys, tolerance, max_rows
     )
-    # One row per key; small for coarse keys, else AQE splits a skewed side.
-    first = labels.groupBy(*keys).agg(F.min_by(label, label_seq).alias("__first"))
+    # One row per key: few for coarse keys, where one key may own most flows.
+    first = bounded(labels.groupBy(*keys).agg(F.min_by(label, label_seq).alias("__first")))
     return best.join(first, keys, "left").select(
         *[F.col(c) for c in flows.columns],
         F.coalesce(F.col("__best.label"), F.col("__first")).alias(into),
@@ -175,7 +175,7 @@ def default_label(
     label: str = "gt_label", default: str = "Botnet",
 ) -> DataFrame:
     """Scenarios without any ground truth: every flow gets the default label."""
-    known = labels.select(scenario).distinct().withColumn("__known", F.lit(True))
+    known = bounded(labels.select(scenario).distinct().withColumn("__known", F.lit(True)))
     return (
         flows.join(known, scenario, "left")
         .withColumn(label, F.when(F.col("__known"), F.col(label)).otherwise(F.lit(default)))
@@ -246,11 +246,12 @@ def clock_offset(
         (F.col("__hi") + F.when(F.col("__lo") == F.col("__hi"), MICROS / 2).otherwise(0.0)).alias("__to"),
         F.col("__hi").alias("__max"),
     )
+    spread = bounded(spread)
     # Differences at or above edge e come from labels at or before t - e. The
     # last edge asks for those beyond the maximum, which closes the last bin.
     edge = F.col("__from") + (F.col("__to") - F.col("__from")) * F.col("__edge") / bins
     asked = (
-        weighed.join(F.broadcast(spread), scenario)
+        weighed.join(spread, scenario)
         .withColumn("__edge", F.explode(F.sequence(F.lit(0), F.lit(bins))))
         .withColumn("__pos", F.when(
             F.col("__edge") == bins, F.col("__t") - F.col("__max")
@@ -265,7 +266,7 @@ def clock_offset(
     above = labels_below(asked).groupBy(scenario, "__edge").agg(
         F.sum(F.col("__below") * F.col("__w")).alias("__above")
     )
-    per_bin = above.join(F.broadcast(spread), scenario).withColumn(
+    per_bin = above.join(spread, scenario).withColumn(
         "__pairs",
         F.col("__above") - F.lead("__above").over(Window.partitionBy(scenario).orderBy("__edge")),
     ).where(F.col("__edge") < bins)
@@ -327,7 +328,7 @@ def apply_offset(flows: DataFrame, offsets: DataFrame, ts: str = "ts", scenario:
         micros(F.col(ts)) - F.round(F.col("offset_s") * MICROS).cast("long")
     )
     return (
-        flows.join(offsets.select(scenario, "offset_s"), scenario, "left")
+        flows.join(bounded(offsets.select(scenario, "offset_s")), scenario, "left")
         .withColumn(into, F.when(F.col("offset_s").isNull(), F.col(ts)).otherwise(shifted))
         .drop("offset_s")
     )
@@ -395,8 +396,8 @@ def interval_label(
 
     ``windows``: start, end (inclusive). ``victims``: ip. Windows are listed
     per time bucket, so the lookup is an equi-join on the bucket with a single
-    row per bucket, and flows are never multiplied. The dimension sides have no
-    hint: Spark broadcasts them when their size allows.
+    row per bucket, and flows are never multiplied. Both lists are broadcast
+    only after a look at their size.
     """
     width = F.lit(bucket_s * MICROS).cast("long")
 
@@ -410,13 +411,14 @@ def interval_label(
             F.struct(first.alias("a"), last.alias("b")).alias("w"),
         ).groupBy("__bucket").agg(F.collect_set("w").alias("__windows"))
     )
-    hosts = victims.select(F.col("ip")).distinct()
+    by_bucket = bounded(by_bucket)
+    hosts = bounded(victims.select(F.col("ip")).distinct())
     at = micros(F.col(ts))
     return (
         df.withColumn("__bucket", bucket(at))
         .join(by_bucket, "__bucket", "left")
-        .join(hosts.select(F.col("ip").alias("src_ip"), F.lit(1).alias("__vs")), "src_ip", "left")
-        .join(hosts.select(F.col("ip").alias("dest_ip"), F.lit(1).alias("__vd")), "dest_ip", "left")
+        .join(hosts.withColumnsRenamed({"ip": "src_ip"}).withColumn("__vs", F.lit(1)), "src_ip", "left")
+        .join(hosts.withColumnsRenamed({"ip": "dest_ip"}).withColumn("__vd", F.lit(1)), "dest_ip", "left")
         .withColumn(into, F.when(
             F.exists("__windows", lambda w: at.between(w["a"], w["b"]))
             & F.coalesce("__vs", "__vd").isNotNull(), 1,

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import BOTNET_TERMS, traffic_kind
-from .ordering import MAX_GROUP_ROWS, running_totals
+from .ordering import MAX_GROUP_ROWS, bounded, running_totals
 
 #: Keeps a rate defined when a side is empty.
 TINY = 1e-10
@@ -90,7 +90,7 @@ def class_weights(
 def attach_weights(df: DataFrame, weights: DataFrame, label: str = "label",
                    into: str = "weight") -> DataFrame:
     """Row weight from the per-class table."""
-    return df.join(weights.select(label, F.col("weight").alias(into)), label)
+    return df.join(bounded(weights.select(label, F.col("weight").alias(into))), label)
 
 
 def compare_counts(before: DataFrame, after: DataFrame, label: str = "label") -> DataFrame:

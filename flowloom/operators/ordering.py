@@ -15,13 +15,15 @@ another road with the same result:
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import shared_dir
 
+#: Rows up to which a lookup table is broadcast.
+BROADCAST_ROWS = 500_000
 #: Rows of one key that a single task may sort.
 MAX_GROUP_ROWS = 1_000_000
 #: Hash positions lie in [0, POSITIONS).
@@ -42,6 +44,18 @@ def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how="inner")
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__o_key_{k}" for k in keys])
 
 
+def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Materialise a derived lookup table; broadcast it if its size allows.
+
+    Spark cannot size an aggregate before it runs and would shuffle the large
+    side on the lookup key, which is often a class with most of the rows.
+    Beyond the limit the join is left to the planner.
+    """
+    shared_dir(df.sparkSession)
+    kept = df.checkpoint()
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
 def split_heavy(
     df: DataFrame,
     keys: Sequence[str],
@@ -62,9 +76,11 @@ def split_heavy(
         (df if among is None else df.where(among)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__o_n"))
         .where(F.col("__o_n") > max_rows).drop("__o_n").checkpoint()
     )
-    if heavy.isEmpty():
+    found = heavy.count()
+    if found == 0:
         return df, None
-    heavy = F.broadcast(heavy)
+    if found <= BROADCAST_ROWS:
+        heavy = F.broadcast(heavy)
     return (
         _attach(df, heavy, keys, "left_anti"),
         _attach(df, heavy, keys, "left_semi"),
@@ -287,10 +303,49 @@ def _slices(df: DataFrame, keys, slices: int, position: str, weight: Column) ->
     return per.select(
         *keys, "__o_slice",
         F.coalesce(F.sum("__o_w").over(earlier), F.lit(0).cast("long")).alias("__o_before"),
-        F.sum("__o_w").over(Window.partitionBy(*keys)).alias("__o_all"),
+        F.sum("__o_w").over(Window.partitionBy(*keys)).alias("__o_all"), "__o_w",
     )
 
 
+def hash_cuts(
+    df: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    ties: Sequence[str],
+    ranks: Mapping[str, Callable[[Column], Column]],
+    slices: int = HASH_SLICES,
+) -> DataFrame:
+    """Per key, the (position, ties) of the rows at the given hash ranks.
+
+    ``ranks`` maps a name to a rank computed from the key's row count; a rank
+    beyond the key gives its last row, rank 0 gives null. Comparing rows with
+    the cut then splits a table without sorting or shuffling it: only the
+    slices that hold a cut are ranked.
+    """
+    keys = list(keys)
+    width = _slices(df, keys, slices, position, F.lit(1).cast("long"))
+    upto = F.col("__o_before") + F.col("__o_w")
+    sought = {
+        n: F.least(rank(F.col("__o_all")), F.col("__o_all")).cast("long")
+        for n, rank in ranks.items()
+    }
+    wanted = F.filter(
+        F.array(*sought.values()),
+        lambda r: (r > F.col("__o_before")) & (r <= upto),
+    )
+    holding = width.withColumn("__o_ranks", wanted).where(F.size("__o_ranks") > 0)
+    narrow = df.select(*keys, position, *[t for t in ties if t not in keys]).withColumn(
+        "__o_slice", _slice_of(position, slices)
+    )
+    near = _attach(narrow, bounded(holding), [*keys, "__o_slice"])
+    within = Window.partitionBy(*keys, "__o_slice").orderBy(position, *ties)
+    ranked = near.withColumn("__o_rank", F.row_number().over(within) + F.col("__o_before"))
+    place = F.struct(position, *ties)
+    return ranked.where(F.array_contains("__o_ranks", F.col("__o_rank"))).groupBy(*keys).agg(*[
+        F.max(F.when(F.col("__o_rank") == rank, place)).alias(n) for n, rank in sought.items()
+    ])
+
+
 def hash_rank(
     df: DataFrame,
     keys: Sequence[str],
@@ -298,25 +353,16 @@ def hash_rank(
     ties: Sequence[str],
     name: str = "rn",
     total: str | None = None,
-    at_most: int | None = None,
     slices: int = HASH_SLICES,
 ) -> DataFrame:
-    """1-based rank by ``position`` within the key, ties broken by ``ties``.
-
-    With ``at_most`` only rows ranked up to it are returned; slices that lie
-    wholly beyond it are dropped before anything is sorted.
-    """
+    """1-based rank by ``position`` within the key, ties broken by ``ties``."""
     keys = list(keys)
-    offsets = _slices(df, keys, slices, position, F.lit(1).cast("long"))
-    if at_most is not None:
-        offsets = offsets.where(F.col("__o_before") < at_most)
+    offsets = bounded(_slices(df, keys, slices, position, F.lit(1).cast("long")))
     placed = _attach(
         df.withColumn("__o_slice", _slice_of(position, slices)), offsets, [*keys, "__o_slice"]
     )
     within = Window.partitionBy(*keys, "__o_slice").orderBy(position, *ties)
     ranked = placed.withColumn(name, F.row_number().over(within) + F.col("__o_before"))
-    if at_most is not None:
-        ranked = ranked.where(F.col(name) <= at_most)
     if total:
         ranked = ranked.withColumn(total, F.col("__o_all"))
     return ranked.select(*df.columns, name, *([total] if total else []))
@@ -333,7 +379,7 @@ def hash_running_total(
 ) -> DataFrame:
     """Inclusive running sum of ``value`` in hash order within the key."""
     keys = list(keys)
-    offsets = _slices(df, keys, slices, position, F.col(value))
+    offsets = bounded(_slices(df, keys, slices, position, F.col(value)))
     placed = _attach(
         df.withColumn("__o_slice", _slice_of(position, slices)), offsets, [*keys, "__o_slice"]
     )

@@ -5,27 +5,44 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .metrics import dominant_label
 from .ordering import (
-    MAX_GROUP_ROWS, hash_position, hash_rank, hash_running_total, row_numbers,
+    MAX_GROUP_ROWS, _attach, bounded, hash_cuts, hash_position, hash_rank, hash_running_total,
+    row_numbers,
 )
 
 _POSITION = "__position"
+#: Bundles of tasks whose first rows are merged before the final rank.
+FAN_IN = 256
 
 
 def _placed(df: DataFrame, position: Column | None, ids: Sequence[str], seed: int) -> DataFrame:
     return df.withColumn(_POSITION, hash_position(*ids, seed=seed) if position is None else position)
 
 
+def _leading(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[str]) -> DataFrame:
+    """Drop rows that cannot be among the first ``n`` of their key.
+
+    Every task keeps its first ``n`` rows per key (Spark limits a row number
+    before the shuffle), then each of ``FAN_IN`` bundles of tasks does. The
+    bundle is fixed by the task, so a key of any size leaves at most
+    ``FAN_IN * n`` rows.
+    """
+    bundled = df.withColumn("__bundle", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
+    w = Window.partitionBy(*keys, "__bundle").orderBy(*order)
+    return bundled.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop(
+        "__rn", "__bundle"
+    )
+
+
 def first_n(
     df: DataFrame, keys: Sequence[str], n: int, order: Sequence[str] = ("seq",),
     max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """The first ``n`` rows of every key in order."""
-    ranked = row_numbers(df, keys, [F.col(c) for c in order], "__rn", max_rows)
-    return ranked.where(F.col("__rn") <= n).drop("__rn")
+    return slice_rows(df, 0, n, order, keys, max_rows)
 
 
 def first_n_by_source(
@@ -45,12 +62,15 @@ def sample_per_class(
     """``min(k, n)`` rows of every class, uniformly and repeatably.
 
     The ``k`` lowest seeded hash positions are a uniform sample without
-    replacement, whatever the partitioning.
+    replacement, whatever the partitioning. Rows are compared with their
+    class's cut, so the table itself is not shuffled.
     """
-    ranked = hash_rank(
-        _placed(df, position, ids, seed), [label], _POSITION, list(ids), "__rn", at_most=k
+    placed = _placed(df, position, ids, seed)
+    cuts = hash_cuts(placed, [label], _POSITION, ids, {"__cut": lambda n: F.lit(k)})
+    kept = _attach(placed, bounded(cuts), [label]).where(
+        F.struct(_POSITION, *ids) <= F.col("__cut")
     )
-    return ranked.select(*df.columns)
+    return kept.select(*df.columns)
 
 
 def slice_rows(
@@ -58,43 +78,55 @@ def slice_rows(
     keys: Sequence[str] = (), max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Skip the first rows in order, then take some; per key when keys are given."""
+    if skip + take <= max_rows:
+        df = _leading(df, keys, skip + take, order)
     ranked = row_numbers(df, keys, [F.col(c) for c in order], "__rn", max_rows)
     return ranked.where(
         (F.col("__rn") > skip) & (F.col("__rn") <= skip + take)
     ).drop("__rn")
 
 
-def _cut(rank: Column, total: Column, parts: Mapping[str, float]) -> Column:
-    """Part name by rank, with cumulative sizes rounded to whole rows."""
-    names = list(parts)
-    upto, choice = 0.0, None
-    for name in names[:-1]:
-        upto += parts[name]
-        here = rank <= F.round(total * F.lit(upto))
-        choice = F.when(here, name) if choice is None else choice.when(here, name)
-    return choice.otherwise(names[-1])
-
-
 def stratified_split(
     df: DataFrame, label: str, parts: Mapping[str, float], ids: Sequence[str], seed: int = 42,
     position: Column | None = None, into: str = "part",
 ) -> DataFrame:
-    """Assign every row to a part so that each class is split in proportion."""
-    ranked = hash_rank(
-        _placed(df, position, ids, seed), [label], _POSITION, list(ids), "__rn", total="__n"
-    )
-    return ranked.withColumn(into, _cut(F.col("__rn"), F.col("__n"), parts)).select(*df.columns, into)
+    """Assign every row to a part so that each class is split in proportion.
+
+    Sizes are cumulative shares of the class, rounded to whole rows. Rows are
+    compared with their class's cuts, so the table itself is not shuffled.
+    """
+    placed = _placed(df, position, ids, seed)
+    names, ranks, upto = list(parts), {}, 0.0
+    for name in names[:-1]:
+        upto += parts[name]
+        ranks[f"__cut_{name}"] = lambda n, share=upto: F.round(n * F.lit(share))
+    cuts = hash_cuts(placed, [label], _POSITION, ids, ranks)
+    cut = _attach(placed, bounded(cuts), [label], "left")
+    here = F.struct(_POSITION, *ids)
+    choice = F.when(here <= F.col(f"__cut_{names[0]}"), names[0])
+    for name in names[1:-1]:
+        choice = choice.when(here <= F.col(f"__cut_{name}"), name)
+    return cut.withColumn(into, choice.otherwise(names[-1])).select(*df.columns, into)
 
 
 def ordered_split(
     df: DataFrame, fraction: float = 0.8, order: Sequence[str] = ("seq",), into: str = "part",
     max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """The first fraction of the rows by position is ``train``, the rest ``val``."""
-    ranked = row_numbers(df, [], [F.col(c) for c in order], "__rn", max_rows, total="__n")
-    return ranked.withColumn(
-        into, F.when(F.col("__rn") <= F.floor(F.col("__n") * fraction), "train").otherwise("val")
-    ).drop("__rn", "__n")
+    """The first fraction of the rows by position is ``train``, the rest ``val``.
+
+    Only the order columns are ranked, to find the last training row; all rows
+    are then compared with it.
+    """
+    narrow = df.select(*order)
+    ranked = row_numbers(narrow, [], [F.col(c) for c in order], "__rn", max_rows, total="__n")
+    last = ranked.where(F.col("__rn") == F.floor(F.col("__n") * fraction)).drop("__rn", "__n")
+    cut = bounded(last.select(F.struct(*order).alias("__cut"), F.lit(True).alias("__k")))
+    # One row, or none when the share is less than a row.
+    marked = df.withColumn("__k", F.lit(True)).join(cut, "__k", "left")
+    return marked.withColumn(
+        into, F.when(F.struct(*order) <= F.col("__cut"), "train").otherwise("val")
+    ).select(*df.columns, into)
 
 
 def _ranked_groups(
@@ -121,7 +153,7 @@ def group_split(
     sides = groups.select(
         group, F.when(F.col("__rank") <= held, "val").otherwise("train").alias(into)
     )
-    return df.join(sides, group)
+    return df.join(bounded(sides), group)
 
 
 def group_folds(
@@ -131,7 +163,7 @@ def group_folds(
     """Fold number per row; a group stays in one fold, classes are dealt in turn."""
     groups = _ranked_groups(df, group, label, seed, position)
     folds = groups.select(group, F.pmod(F.col("__rank") - 1, F.lit(k)).cast("int").alias(into))
-    return df.join(folds, group)
+    return df.join(bounded(folds), group)
 
 
 def window_quota(
@@ -152,7 +184,7 @@ def window_quota(
     take = F.least(F.col("__w"), F.lit(cap) - (F.col("__upto") - F.col("__w")))
     allowed = spent.select(group, take.alias("__take")).where(F.col("__take") > 0)
     ranked = row_numbers(
-        windows.join(allowed, group), [group], [F.col(c) for c in order], "__rn", max_rows
+        windows.join(bounded(allowed), group), [group], [F.col(c) for c in order], "__rn", max_rows
     )
     return ranked.where(F.col("__rn") <= F.col("__take")).select(*windows.columns)
 

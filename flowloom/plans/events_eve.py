@@ -73,7 +73,7 @@ def events_as_eve(events: DataFrame) -> DataFrame:
         F.concat(F.lit("s"), F.pmod(k, F.lit(8)).cast("string"))
     )
     values = {
-        "timestamp": F.col("ts"), "flow_id": F.floor(eid / 5).cast("long"),
+        "timestamp": F.col("ts"), "flow_id": F.expr("event_id div 5"),
         "src_ip": F.concat(F.lit("10.0.0."), F.pmod(F.col("user_id"), F.lit(250)).cast("string")),
         "src_port": (1024 + F.pmod(eid, F.lit(50000))).cast("int"),
         "dest_ip": F.concat(F.lit("192.168.0."), F.pmod(k, F.lit(16)).cast("string")),

@@ -11,6 +11,7 @@ from ..operators.labeling import (
     FIVE_TUPLE, apply_offset, clock_offset, default_label, five_tuple_key, nearest_label,
 )
 from ..operators.metrics import relabel_report
+from ..operators.ordering import bounded
 
 
 def flow_start(flows: DataFrame, into: str = "ts") -> DataFrame:
@@ -46,7 +47,7 @@ def relabel(
     if assume is not None:
         found = default_label(found, labels, scenario, default=assume)
     if families is not None:
-        found = found.join(families, scenario, "left").withColumn(
+        found = found.join(bounded(families), scenario, "left").withColumn(
             "malware_family", F.coalesce("malware_family", F.lit("Bot"))
         )
     return found.drop(*FIVE_TUPLE)

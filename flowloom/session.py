@@ -15,6 +15,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # Row-number limits prune before the shuffle, also for caps above 1000.
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "1000000")
     return spark
 
 

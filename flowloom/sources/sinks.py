@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.ordering import bounded
 from ..schema import DEFAULT_THRESHOLD
 
 UNMATCHED = "unmatched"
@@ -28,10 +29,13 @@ def append_alerts(alerts: DataFrame, path: str, checkpoint: str, live: bool = Fa
 
 
 def write_by_label(df: DataFrame, path: str, label: str = "true_label") -> None:
-    """One folder per label; rows without a label go to ``unmatched``."""
-    df.withColumn("part", F.coalesce(F.col(label), F.lit(UNMATCHED))).write.mode(
-        "overwrite"
-    ).partitionBy("part").json(path)
+    """One folder per label; rows without a label go to ``unmatched``.
+
+    Rebalancing gathers a label's rows into few files and still splits a label
+    that is too large for one task.
+    """
+    parts = df.withColumn("part", F.coalesce(F.col(label), F.lit(UNMATCHED)))
+    parts.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").json(path)
 
 
 def write_scenarios(df: DataFrame, path: str, scenario: str = "scenario") -> None:
@@ -39,15 +43,15 @@ def write_scenarios(df: DataFrame, path: str, scenario: str = "scenario") -> Non
 
     Only the scenarios in ``df`` are replaced, so a repeated run is harmless.
     """
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        scenario
-    ).parquet(path)
+    df.hint("rebalance", scenario).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(scenario).parquet(path)
 
 
 def pending(df: DataFrame, manifest: str, scenario: str = "scenario") -> DataFrame:
     """Rows of scenarios that the manifest does not list as completed."""
     done = _manifest(df.sparkSession, manifest, scenario)
-    return df if done is None else df.join(F.broadcast(done), scenario, "left_anti")
+    return df if done is None else df.join(bounded(done), scenario, "left_anti")
 
 
 def complete(

@@ -9,10 +9,12 @@ from flowloom.operators.features import window_meta
 from flowloom.operators.labeling import clock_offset, folded_label, nearest_label
 from flowloom.operators.metrics import latency_summary, pr_auc, pr_curve
 from flowloom.operators.ordering import (
-    hash_position, hash_rank, hash_running_total, neighbours, row_numbers, running_totals,
+    hash_cuts, hash_position, hash_rank, hash_running_total, neighbours, row_numbers, running_totals,
     split_heavy, with_halo,
 )
-from flowloom.operators.sampling import window_quota
+from flowloom.operators.sampling import (
+    first_n, ordered_split, sample_per_class, slice_rows, stratified_split, window_quota,
+)
 from flowloom.operators.windows import label_windows, sessionize, sliding_behaviour
 from flowloom.plans.events_eve import events_as_eve
 from flowloom.schema import WINDOW_FEATURES
@@ -75,8 +77,47 @@ def test_hash_rank_is_a_full_ranking(skewed):
         "rn", F.row_number().over(Window.partitionBy("key").orderBy("p", "seq")).cast("long")
     ).withColumn("n", F.count("*").over(Window.partitionBy("key")))
     assert rows(got, "seq", "rn", "n") == rows(want, "seq", "rn", "n")
-    capped = hash_rank(placed, ["key"], "p", ["seq"], at_most=9)
-    assert rows(capped, "seq", "rn") == rows(want.where("rn <= 9"), "seq", "rn")
+
+
+def test_hash_cuts_split_where_ranks_do(skewed):
+    placed = skewed.withColumn("p", hash_position("seq"))
+    ranked = hash_rank(placed, ["key"], "p", ["seq"], total="n")
+    cuts = hash_cuts(placed, ["key"], "p", ["seq"], {
+        "third": lambda n: F.round(n / 3), "nine": lambda n: F.lit(9), "none": lambda n: F.lit(0),
+    })
+    got = {r["key"]: r for r in cuts.collect()}
+    for r in ranked.collect():
+        at = (r["p"], r["seq"])
+        cut = got[r["key"]]
+        third = int(r["n"] / 3 + 0.5)
+        assert (r["rn"] <= third) == (cut["third"] is not None and at <= tuple(cut["third"]))
+        assert (r["rn"] <= 9) == (at <= tuple(cut["nine"]))
+        assert cut["none"] is None
+
+
+def test_samples_and_splits(skewed):
+    known = skewed.dropna()
+    counts = dict(known.groupBy("key").count().collect())
+    sample = sample_per_class(known, "key", 12, ["seq"])
+    assert dict(sample.groupBy("key").count().collect()) == {k: min(12, n) for k, n in counts.items()}
+    again = sample_per_class(known.repartition(5), "key", 12, ["seq"])
+    assert rows(sample, "seq") == rows(again, "seq")
+    split = stratified_split(known, "key", {"a": 0.7, "b": 0.15, "c": 0.15}, ["seq"])
+    hot = dict(split.where("key = 'hot'").groupBy("part").count().collect())
+    assert hot == {"a": 280, "b": 60, "c": 60} and split.count() == known.count()
+    half = ordered_split(known, 0.5, ["seq"], max_rows=SMALL)
+    assert half.where("part = 'train'").count() == known.count() // 2
+    assert half.where("part = 'train'").agg(F.max("seq")).first()[0] < half.where(
+        "part = 'val'").agg(F.min("seq")).first()[0]
+
+
+def test_first_rows(skewed):
+    want = rows(row_numbers(skewed, ["key"], [F.col("t").desc(), F.col("seq")]).where("rn between 4 and 30"), "seq")
+    down = skewed.withColumn("d", -F.col("t"))
+    for parts in (1, 7):
+        got = slice_rows(down.repartition(parts), 3, 27, ["d", "seq"], ["key"], 40)
+        assert rows(got, "seq") == want
+    assert first_n(skewed, [], 10, ["seq"]).count() == 10
 
 
 def test_hash_running_total(skewed):
