@@ -221,16 +221,17 @@ def clock_aligned_label(spark, sf_dir):
 
 
 @query("default_label", f"""WITH {NEAREST_SQL}, s AS (
-  SELECT f.seq, 'S' || CAST(f.user_id % 9 AS VARCHAR) AS scenario, b.gt_label FROM flows f LEFT JOIN best b ON b.seq = f.seq),
-known AS (SELECT DISTINCT 'S' || CAST(user_id % 9 AS VARCHAR) AS scenario FROM marks WHERE user_id % 9 < 6)
+  SELECT f.seq, f.us // 86400000000 AS scenario, b.gt_label FROM flows f LEFT JOIN best b ON b.seq = f.seq),
+known AS (SELECT DISTINCT epoch_us(ts) // 86400000000 AS scenario FROM events WHERE event_type = 'signup' AND value > 150)
 SELECT s.seq, s.scenario, CASE WHEN k.scenario IS NULL THEN 'Botnet' ELSE s.gt_label END AS gt_label
 FROM s LEFT JOIN known k ON k.scenario = s.scenario""")
 def default_label_query(spark, sf_dir):
-    scenario = F.concat(F.lit("S"), F.pmod(F.col("user_id"), F.lit(9)).cast("string"))
-    truth = marks(spark, sf_dir).where(F.pmod(F.col("user_id"), F.lit(9)) < 6).withColumn(
-        "scenario", scenario
-    )
-    labelled = nearest(spark, sf_dir).withColumn("scenario", scenario)
+    """Each day is a scenario; only days with a costly signup have ground truth."""
+    day = F.floor(micros(F.col("ts").cast("timestamp")) / 86_400_000_000).cast("long")
+    truth = table(spark, sf_dir, "events").where(
+        (F.col("event_type") == "signup") & (F.col("value") > 150)
+    ).select(day.alias("scenario"))
+    labelled = nearest(spark, sf_dir).withColumn("scenario", day)
     return default_label(labelled, truth).select("seq", "scenario", "gt_label")
 
 
@@ -286,17 +287,17 @@ def rule_label_query(spark, sf_dir):
 
 
 @query("interval_label", f"""WITH {EVE_SQL},
-w AS (SELECT us AS a, us + 3600000000 AS b FROM flows WHERE value > 150),
+w AS (SELECT min(us) AS a, max(us) AS b FROM flows WHERE value > 60 GROUP BY us // 86400000000),
 v AS (SELECT DISTINCT dest_ip AS ip FROM flows WHERE value > 250)
 SELECT seq, CASE WHEN EXISTS (SELECT 1 FROM w WHERE us BETWEEN a AND b)
   AND (src_ip IN (SELECT ip FROM v) OR dest_ip IN (SELECT ip FROM v)) THEN 1 ELSE 0 END AS label FROM flows""")
 def interval_label_query(spark, sf_dir):
-    """Costly events open an hour of attack; their targets are the victims."""
+    """One attack window per day, between its costly events; their targets are the victims."""
     base = raw_flows(spark, sf_dir).join(
         table(spark, sf_dir, "events").select("event_id", "value"), "event_id"
     )
-    windows = base.where(F.col("value") > 150).select(
-        F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("end")
+    windows = base.where(F.col("value") > 60).groupBy(F.to_date("ts")).agg(
+        F.min("ts").alias("start"), F.max("ts").alias("end")
     )
     victims = base.where(F.col("value") > 250).select(F.col("dest_ip").alias("ip"))
     return interval_label(raw_flows(spark, sf_dir), windows, victims).select("seq", "label")

@@ -394,8 +394,8 @@ def interval_label(
 ) -> DataFrame:
     """1 when the time lies in an attack window and an endpoint is a victim.
 
-    ``windows``: start, end (inclusive). ``victims``: ip. Windows are listed
-    per time bucket, so the lookup is an equi-join on the bucket with a single
+    ``windows``: start, end (inclusive), a configured list whose windows seldom
+    overlap. ``victims``: ip. Windows are listed per time bucket, so the lookup is an equi-join on the bucket with a single
     row per bucket, and flows are never multiplied. Both lists are broadcast
     only after a look at their size.
     """

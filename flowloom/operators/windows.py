@@ -35,23 +35,24 @@ def sessionize(
     parts = []
 
     def numbered(rows: DataFrame, part: list[str], by: list[Column]) -> DataFrame:
-        """Session number and row within one partition of the sort."""
+        """Openings so far and the row of the last one; a single sort serves all."""
         w = Window.partitionBy(*part).orderBy(*by)
         so_far = w.rowsBetween(Window.unboundedPreceding, 0)
         return (
-            rows.withColumn("__opens", (at - F.lag(at).over(w)) > limit)
+            rows.withColumns({
+                "__opens": (at - F.lag(at).over(w)) > limit,
+                "__n": F.row_number().over(w).cast("long"),
+            })
             .withColumns({
                 "session": F.count_if(F.col("__opens")).over(so_far),
-                "__n": F.row_number().over(w).cast("long"),
+                "__begun": F.max(F.when(F.col("__opens"), F.col("__n"))).over(so_far),
             })
         )
 
     if light is not None:
-        inner = Window.partitionBy(*keys, "session").orderBy(*sort)
-        parts.append(
-            numbered(light, keys, sort)
-            .withColumn("session_row", F.row_number().over(inner).cast("long"))
-        )
+        parts.append(numbered(light, keys, sort).withColumn(
+            "session_row", F.col("__n") - F.coalesce("__begun", F.lit(1)) + 1
+        ))
     if heavy is not None:
         ranked = row_numbers(heavy, keys, sort, "__rn", max_rows)
         # One row of halo gives the first row of a chunk its predecessor.

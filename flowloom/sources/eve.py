@@ -71,7 +71,8 @@ def read_eve(
     raw = reader.json(path if isinstance(path, str) else list(path)).withColumns({
         "seq": line_position(),
         "file": F.col("_metadata.file_path"),
-        "is_corrupt": F.col("_corrupt_record").isNotNull(),
+        # Nothing of a malformed line is kept, so its type is missing as well.
+        "is_corrupt": F.col("_corrupt_record").isNotNull() & F.col("event_type").isNull(),
     })
     typed = type_events(raw, ["seq", "file", "is_corrupt"])
     return typed if keep_corrupt else typed.where(~F.col("is_corrupt")).drop("is_corrupt")
@@ -107,7 +108,7 @@ def stream_eve(spark: SparkSession, path: str, max_files: int = 100,
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
     raw = reader.json(path).withColumn("file", F.col("_metadata.file_path"))
-    typed = type_events(raw.where(F.col("_corrupt_record").isNull()), ["file"])
+    typed = type_events(raw.where(F.col("_corrupt_record").isNull() | F.col("event_type").isNotNull()), ["file"])
     return typed.withColumn("seq", F.xxhash64("timestamp", "flow_id", "event_type", F.to_json("flow")))
 
 
@@ -144,17 +145,20 @@ def read_catalogue(spark: SparkSession, sources: dict[str, Sequence[str]],
     """
     caps = caps or {}
     rows = [(p, c, caps.get(c, 2**62)) for c, paths in sources.items() for p in paths]
-    listing = spark.createDataFrame(rows, "path string, class string, cap long")
     events = read_eve(spark, [p for p, _, _ in rows])
-    located = listing.select(
-        F.concat(F.lit("file:"), F.regexp_replace("path", "^file:/*", "/")).alias("local"),
-        F.col("path").alias("given"), "class", "cap",
-    )
-    # File metadata carries a scheme; plain local paths do not.
-    file = F.when(F.col("given").rlike("^[a-z0-9]+://"), F.col("given")).otherwise(
-        F.regexp_replace("local", "^file:/*", "file:///")
+    listing = spark.createDataFrame(rows, "path string, class string, cap long")
+    return (
+        events.withColumn("file", plain_path(F.col("file"))),
+        listing.select(plain_path(F.col("path")).alias("file"), "class", "cap"),
     )
-    return events, located.select(file.alias("file"), "class", "cap")
+
+
+def plain_path(col: Column) -> Column:
+    """A path without scheme and percent escapes, comparable with a given one."""
+    bare = F.regexp_replace(col, "^[A-Za-z0-9]+:/+", "/")
+    return F.when(bare.rlike("%[0-9A-Fa-f]{2}"), F.coalesce(
+        F.try_url_decode(F.regexp_replace(bare, r"\+", "%2B")), bare
+    )).otherwise(bare)
 
 
 def scenario_of(file: Column, root: str) -> Column:
