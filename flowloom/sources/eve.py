@@ -164,7 +164,7 @@ def plain_path(col: Column) -> Column:
 def scenario_of(file: Column, root: str) -> Column:
     """The folder right below ``root`` on the way to the file."""
     base = re.escape(root.rstrip("/").rsplit("/", 1)[-1])
-    return F.regexp_extract(file, f"/{base}/([^/]+)/", 1)
+    return F.regexp_extract(plain_path(file), f"/{base}/([^/]+)/", 1)
 
 
 def read_scenarios(spark: SparkSession, root: str, name_glob: str = "eve.json") -> DataFrame:
