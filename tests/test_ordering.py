@@ -209,3 +209,13 @@ def test_quota_never_exceeded(skewed):
     ]
     assert rows(out[0]) == rows(out[1])
     assert out[0].count() <= 3 * 90
+
+
+def test_heavy_keys_are_found_in_a_sample(spark):
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("key"), F.col("id").alias("seq")
+    )
+    light, heavy = split_heavy(df, ["key"], 5_000)
+    assert heavy.count() == 20_000 and light.count() == 40_000
+    got = row_numbers(df, ["key"], [F.col("seq")], max_rows=5_000).where("key = -1")
+    assert got.where(F.col("rn") != F.col("seq") / 3 + 1).count() == 0
