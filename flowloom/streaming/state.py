@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,7 +15,8 @@ from ..schema import DNS, HTTP, SESSION_GAP_S, TLS, WINDOW_SIZE
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KINDS = {"http": HTTP, "tls": TLS, "dns": DNS}
-EPOCH = dt.datetime(1970, 1, 1)
+#: Groups per key that rows without state are spread over.
+SPREAD = 256
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -24,6 +24,11 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
+def spread() -> Column:
+    """Group 1 to ``SPREAD`` for a row that needs no state of its key."""
+    return F.pmod(F.xxhash64("seq"), F.lit(SPREAD)).cast("int") + 1
+
+
 def in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     """The key's rows of this micro-batch by event time, then sequence.
 
@@ -33,8 +38,9 @@ def in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     return batch.sort_values(["us", "seq"], kind="stable").itertuples(index=False)
 
 
-def _when(us: int) -> dt.datetime:
-    return EPOCH + dt.timedelta(microseconds=int(us))
+def forget_timers(handle: StatefulProcessorHandle) -> None:
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer)
 
 
 class EnrichProcessor(StatefulProcessor):
@@ -51,14 +57,12 @@ class EnrichProcessor(StatefulProcessor):
         self.handle = handle
         self.entry = handle.getValueState("entry", "us long, http string, tls string, dns string")
 
-    def _load(self) -> dict | None:
-        if not self.entry.exists():
-            return None
-        us, *records = self.entry.get()
-        return {"us": us, **dict(zip(RECORD_TYPES, records))}
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        entry, out = self._load(), []
+        # Every state call is a round trip to the JVM: none without a reason.
+        stored, entry, out = self.entry.exists(), None, []
+        if stored:
+            us, *records = self.entry.get()
+            entry = {"us": us, **dict(zip(RECORD_TYPES, records))}
         for row in in_order(rows):
             if entry is not None and row.us - entry["us"] > self.timeout_us:
                 entry = None
@@ -70,13 +74,13 @@ class EnrichProcessor(StatefulProcessor):
                 entry = entry or {"us": int(row.us), **dict.fromkeys(RECORD_TYPES)}
                 if entry[row.event_type] is None:
                     entry[row.event_type] = row.record
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        if entry is None:
-            self.entry.clear()
-        else:
+        if stored:
+            forget_timers(self.handle)
+        if entry is not None:
             self.entry.update((entry["us"], *[entry[k] for k in RECORD_TYPES]))
             self.handle.registerTimer((entry["us"] + self.timeout_us) // 1000 + 1)
+        elif stored:
+            self.entry.clear()
         yield pd.DataFrame(out, columns=["ts", "body", *ENRICHED.values()])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -109,7 +113,7 @@ def stream_enrich(
     record = F.coalesce(*[
         F.when(F.col("event_type") == k, F.coalesce(F.to_json(k), F.lit("{}"))) for k in RECORD_TYPES
     ])
-    lone = F.when(usable, F.lit(0)).otherwise(F.xxhash64("seq"))
+    lone = F.when(usable, F.lit(0)).otherwise(spread())
     packed = events.where(wanted).select(
         F.struct(F.col("flow_id"), lone.alias("lone")).alias("k"),
         F.col(ts).alias("ts"), F.unix_micros(ts).alias("us"), F.col("seq"), "event_type",
@@ -148,14 +152,19 @@ class BufferProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "item string")
-        self.last = handle.getValueState("last", "us long")
+        self.buffer = handle.getValueState("buffer", "us long, items array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = [r[0] for r in self.rows.get()] if self.rows.exists() else []
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for row in in_order(rows):
+        batch, out = list(in_order(rows)), []
+        if all(row.fast for row in batch):
+            out = [(row.ts, row.body, "[]", 0) for row in batch]
+            yield pd.DataFrame(out, columns=["ts", "body", "window", "window_rows"])
+            return
+        stored, last, kept = self.buffer.exists(), None, []
+        if stored:
+            last, items = self.buffer.get()
+            kept = list(items)
+        for row in batch:
             if row.fast:
                 out.append((row.ts, row.body, "[]", 0))
                 continue
@@ -166,20 +175,17 @@ class BufferProcessor(StatefulProcessor):
             out.append((row.ts, row.body, "[" + ",".join(kept) + "]", len(kept)))
             if self.clears and len(kept) == self.size:
                 kept, last = [], None
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
+        if stored:
+            forget_timers(self.handle)
         if kept:
-            self.rows.put([(item,) for item in kept])
-            self.last.update((last,))
+            self.buffer.update((last, kept))
             self.handle.registerTimer((last + self.gap_us) // 1000 + 1)
-        else:
-            self.rows.clear()
-            self.last.clear()
+        elif stored:
+            self.buffer.clear()
         yield pd.DataFrame(out, columns=["ts", "body", "window", "window_rows"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.rows.clear()
-        self.last.clear()
+        self.buffer.clear()
         yield pd.DataFrame(columns=["ts", "body", "window", "window_rows"])
 
     def close(self) -> None:
@@ -213,7 +219,7 @@ def stream_windows(
     ))
     stamped = flows.withColumn("us", F.unix_micros(ts))
     packed = stamped.select(
-        F.col(key), F.when(quick, F.xxhash64("seq")).otherwise(F.lit(0)).alias("lone"),
+        F.col(key), F.when(quick, spread()).otherwise(F.lit(0)).alias("lone"),
         F.col(ts).alias("ts"), "us", "seq", F.coalesce(quick, F.lit(False)).alias("fast"),
         F.to_json(F.struct(*flows.columns), JSON_TIME).alias("body"),
         F.to_json(F.struct(*item.names)).alias("item"),
