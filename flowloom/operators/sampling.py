@@ -16,6 +16,8 @@ from .ordering import (
 _POSITION = "__position"
 #: Bundles of tasks whose first rows are merged before the final rank.
 FAN_IN = 256
+#: Cap that stands for no cap.
+UNCAPPED = 1 << 62
 
 
 def _placed(df: DataFrame, position: Column | None, ids: Sequence[str], seed: int) -> DataFrame:
@@ -49,10 +51,20 @@ def first_n_by_source(
     df: DataFrame, catalogue: DataFrame, source: str = "file", order: Sequence[str] = ("seq",),
     max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Keep catalogued sources up to their own ``cap``; adds the source's ``class``."""
-    listed = df.join(catalogue.select(source, "class", "cap"), source)
-    ranked = row_numbers(listed, [source], [F.col(c) for c in order], "__rn", max_rows)
-    return ranked.where(F.col("__rn") <= F.col("cap")).drop("__rn", "cap")
+    """Keep catalogued sources up to their own ``cap``; adds the source's ``class``.
+
+    A cap of ``UNCAPPED`` or more keeps a source whole, without ranking it.
+    """
+    listed = df.join(bounded(catalogue.select(source, "class", "cap")), source)
+    largest = catalogue.where(F.col("cap") < UNCAPPED).agg(F.max("cap")).first()[0]
+    free = listed.where(F.col("cap") >= UNCAPPED)
+    if largest is None:
+        return free.drop("cap")
+    capped = listed.where(F.col("cap") < UNCAPPED)
+    if largest <= max_rows:
+        capped = _leading(capped, [source], largest, order)
+    ranked = row_numbers(capped, [source], [F.col(c) for c in order], "__rn", max_rows)
+    return ranked.where(F.col("__rn") <= F.col("cap")).select(*free.columns).unionByName(free).drop("cap")
 
 
 def sample_per_class(
@@ -183,9 +195,10 @@ def window_quota(
     )
     take = F.least(F.col("__w"), F.lit(cap) - (F.col("__upto") - F.col("__w")))
     allowed = spent.select(group, take.alias("__take")).where(F.col("__take") > 0)
-    ranked = row_numbers(
-        windows.join(bounded(allowed), group), [group], [F.col(c) for c in order], "__rn", max_rows
-    )
+    open_groups = windows.join(bounded(allowed), group)
+    if cap <= max_rows:
+        open_groups = _leading(open_groups, [group], cap, order)
+    ranked = row_numbers(open_groups, [group], [F.col(c) for c in order], "__rn", max_rows)
     return ranked.where(F.col("__rn") <= F.col("__take")).select(*windows.columns)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.enrich import enrich_flows
-from ..operators.features import assemble, flow_features, flow_meta, window_meta
+from ..operators.features import ENRICHED, assemble, flow_features, flow_meta, window_meta
 from ..operators.ordering import MAX_GROUP_ROWS
 from ..operators.scoring import (
     FAST_LABEL, STAGE_FLOW, STAGE_WINDOW, alert_record, decide, fast_path, gate_window,
@@ -54,7 +54,10 @@ def detect(
     if adapt is not None:
         rows = adapt(rows)
     shared_dir(events.sparkSession)
-    found = decide(score(rows), threshold=threshold, classes=classes).checkpoint()
+    found = decide(score(rows), threshold=threshold, classes=classes)
+    # Alerts and windows read the description, not the records behind it.
+    spent = ["feat", "flow", "tcp", "http", "tls", "dns", *ENRICHED.values()]
+    found = found.drop(*spent, *([] if with_window else ["features"])).checkpoint()
     quick = fast_path(len(classes) > 2)
     confidence = F.round("attack_prob", 4)
     fast = found.where(quick).select(

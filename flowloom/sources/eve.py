@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ..functions.timefmt import parse_ts
+from ..operators.sampling import UNCAPPED
 from ..schema import EVE, EVE_TEXT
 
 #: Substring that marks a flow line written without spaces.
@@ -144,7 +145,7 @@ def read_catalogue(spark: SparkSession, sources: dict[str, Sequence[str]],
     the per-source caps.
     """
     caps = caps or {}
-    rows = [(p, c, caps.get(c, 2**62)) for c, paths in sources.items() for p in paths]
+    rows = [(p, c, caps.get(c, UNCAPPED)) for c, paths in sources.items() for p in paths]
     events = read_eve(spark, [p for p, _, _ in rows])
     listing = spark.createDataFrame(rows, "path string, class string, cap long")
     return (
