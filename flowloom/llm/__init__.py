@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .common import ORACLES, QUERIES
-from . import mixing, quality  # noqa: F401
+from . import chat, mixing, pii, quality, seed_extend, suffix  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -108,8 +108,8 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
 
 
 def quality(
-    docs: DataFrame, references: DataFrame | None = None, max_class_distance: float = 0.45,
-    max_word_distance: float = 0.75, min_chars: int = 200, min_words: int = 100,
+    docs: DataFrame, references: DataFrame | None = None, max_class_distance: float = 0.25,
+    max_word_distance: float = 0.3, min_chars: int = 200, min_words: int = 100,
     doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
 ) -> DataFrame:
     """The rows of ``docs`` in a struct ``row``, their counts, distances and verdict.
