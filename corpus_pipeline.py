@@ -5,15 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.common import stored, table
+from flowloom.llm.decontaminate import clean_documents
+from flowloom.llm.jaccard_join import first_of_groups
 from flowloom.llm.mixing import mixed_documents
+from flowloom.llm.pii import sanitised
 from flowloom.llm.quality import quality_filter
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that pass the base rules and lie near their language's reference."""
     return quality_filter(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links on word shingles hold together: the one with the least id."""
+    return first_of_groups(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and the terms that disclose it replaced."""
+    return sanitised(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with their number of copies."""
     return mixed_documents(docs)
@@ -21,9 +39,13 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("benchmark passages", benchmark_passages),
+    ("personal data", personal_data),
     ("source mix", source_mix),
 ]
 
+#: The stages between are not SQL; tests compare the whole with a brute-force version.
 ORACLE_SQL = None
 
 
