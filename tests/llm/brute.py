@@ -167,3 +167,49 @@ def op2_row(conv, turns):
     """op2: turns are (role, text) in order; the digests only."""
     learned = "".join(t or "" for r, t in turns if r == "assistant")
     return (conv, len(turns), sha("".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)), len(learned), sha(learned))
+
+
+LAST = (1 << 63) - 1
+
+
+def letters_removed(text):
+    """op1: counts of the character classes, each on what the ones before it have left."""
+    tests = (
+        lambda c: "a" <= c <= "z", lambda c: c == " " or "\t" <= c <= "\r", lambda c: "A" <= c <= "Z",
+        str.isalpha, str.isdecimal, lambda c: c in ".,;:!?'\"()-",
+    )
+    out = [0] * (len(tests) + 1)
+    for c in text:
+        out[next((i for i, t in enumerate(tests) if t(c)), len(tests))] += 1
+    return out
+
+
+def js(p, q):
+    import math
+
+    def term(x, m):
+        return x * math.log2(x / m) if x > 0 else 0.0
+
+    return math.sqrt(max(0.0, sum(term(a, (a + b) / 2) + term(b, (a + b) / 2) for a, b in zip(p, q)) / 2))
+
+
+def kept(rows, common, max_class, max_word, min_chars, min_words):
+    """op1's verdict: rows are (doc_id, text, lang)."""
+    bins = [*sorted(set(common)), ""]
+    chars, counts = defaultdict(Counter), defaultdict(Counter)
+    for _, text, lang in rows:
+        if lang is not None:
+            chars[lang].update(dict(enumerate(letters_removed(text or ""))))
+            counts[lang].update(w if w in common else "" for w in words((text or "").lower()))
+    share = lambda c, keys: [c[k] / max(1, sum(c.values())) for k in keys]
+    refs = {lang: (share(chars[lang], range(7)), share(counts[lang], bins)) for lang in chars}
+    out = []
+    for doc, text, lang in rows:
+        text = text or ""
+        base = op1_row(doc, text)
+        against = [refs[lang]] if lang in refs else list(refs.values())
+        own = Counter(w if w in common else "" for w in words(text.lower()))
+        by_class = min((js([n / len(text) for n in letters_removed(text)], r[0]) for r in against), default=0) if len(text) >= min_chars else 0
+        by_word = min((js(share(own, bins), r[1]) for r in against), default=0) if base[1] >= min_words else 0
+        out.append((*base, not base[-1] and by_class <= max_class and by_word <= max_word))
+    return out
