@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.timefmt import micros
 from ..operators.ordering import mixed_position
 from ..operators.sampling import (
     first_n, first_n_by_source, group_folds, group_split, ordered_split, sample_per_class,
@@ -13,7 +12,6 @@ from ..operators.sampling import (
 from .registry import (
     EVE_SQL, LINE_IDS, LINE_POSITION, LINES_SQL, flows, line_code, query, scored_lines, table,
 )
-from .windows import SIZE, WITH_SESSIONS, sessions
 
 IDS = ", ".join(LINE_IDS)
 SEED_FREE = f"""{LINES_SQL}, ranked AS (SELECT *,
@@ -39,15 +37,17 @@ def first_n_query(spark, sf_dir):
     return first_n(scored_lines(spark, sf_dir), ["label"], 500, LINE_IDS).select("label", *LINE_IDS)
 
 
-@query("first_n_by_source", f"""WITH {EVE_SQL}, cat(file, class, cap) AS (VALUES ('10.0.0.1', 'DoS', 5), ('10.0.0.2', 'Bot', 12), ('10.0.0.3', 'Bot', 100000))
+@query("first_n_by_source", f"""WITH {EVE_SQL}, cat AS (SELECT src_ip AS file, CASE WHEN min(user_id) % 2 = 0 THEN 'DoS' ELSE 'Bot' END AS class,
+  3 + min(user_id) % 11 AS cap FROM flows GROUP BY src_ip)
 SELECT f.seq, c.class FROM flows f JOIN cat c ON c.file = f.src_ip
 QUALIFY row_number() OVER (PARTITION BY c.file ORDER BY f.seq) <= c.cap""")
 def first_n_by_source_query(spark, sf_dir):
-    catalogue = spark.createDataFrame(
-        [("10.0.0.1", "DoS", 5), ("10.0.0.2", "Bot", 12), ("10.0.0.3", "Bot", 100000)],
-        "file string, class string, cap long",
+    rows = flows(spark, sf_dir).select("seq", F.col("src_ip").alias("file"), "user_id")
+    least = rows.groupBy("file").agg(F.min("user_id").alias("u"))
+    catalogue = least.select(
+        "file", F.when(F.col("u") % 2 == 0, "DoS").otherwise("Bot").alias("class"),
+        (3 + F.col("u") % 11).alias("cap"),
     )
-    rows = flows(spark, sf_dir).select("seq", F.col("src_ip").alias("file"))
     return first_n_by_source(rows, catalogue).select("seq", "class")
 
 
@@ -114,12 +114,12 @@ def window_quota_query(spark, sf_dir):
     return out.select(*LINE_IDS)
 
 
-@query("multi_source_union", f"""WITH {EVE_SQL} SELECT 0 AS class_id, event_id AS id, value AS amount FROM flows
-UNION ALL SELECT 1, l_orderkey, l_extendedprice FROM lineitem WHERE l_returnflag = 'R'
+@query("multi_source_union", f"""WITH {EVE_SQL} SELECT 0 AS class_id, event_id AS id, value AS amount FROM events
+UNION ALL SELECT 1, l_orderkey, l_extendedprice FROM lineitem
 UNION ALL SELECT 2, o_orderkey, o_totalprice FROM orders""")
 def multi_source_union(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "purchase"))
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+    events = table(spark, sf_dir, "events")
+    lines = table(spark, sf_dir, "lineitem")
     return union_classes({
         0: events.select(F.col("event_id").alias("id"), F.col("value").alias("amount")),
         1: lines.select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("amount")),
@@ -128,16 +128,17 @@ def multi_source_union(spark, sf_dir):
     })
 
 
-@query("capped_domain_union", f"""WITH {LINES_SQL}, n AS (SELECT label, count(*) AS n FROM lines GROUP BY label)
-SELECT 'capped' AS source_name, least(900, n) AS n FROM n WHERE label = 'A'
-UNION ALL SELECT 'whole', n FROM n WHERE label = 'N'""")
+@query("capped_domain_union", f"""WITH {SEED_FREE}
+SELECT CASE label WHEN 'A' THEN 'capped' WHEN 'N' THEN 'whole' ELSE 'tight' END AS source_name, {IDS}
+FROM ranked WHERE rn <= CASE label WHEN 'A' THEN 900 WHEN 'R' THEN 70 ELSE n END""")
 def capped_domain_union(spark, sf_dir):
     lines = scored_lines(spark, sf_dir).select("label", *LINE_IDS)
     both = union_sources({
         "capped": (lines.where(F.col("label") == "A"), 900),
         "whole": (lines.where(F.col("label") == "N"), None),
-    }, LINE_IDS)
-    return both.groupBy("source_name").agg(F.count(F.lit(1)).alias("n"))
+        "tight": (lines.where(F.col("label") == "R"), 70),
+    }, LINE_IDS, position=_position())
+    return both.select("source_name", *LINE_IDS)
 
 
 @query("top_k", f"SELECT {IDS}, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, {IDS} LIMIT 15")

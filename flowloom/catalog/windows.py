@@ -50,9 +50,7 @@ def sessionize_query(spark, sf_dir):
 @query("session_totals", f"""{WITH_SESSIONS} SELECT src_ip, min(us) AS start_us, count(*) AS flows,
   round(sum(value), 4) AS value FROM sessions GROUP BY src_ip, session""")
 def session_totals_query(spark, sf_dir):
-    raw = flows(spark, sf_dir).join(
-        spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value"), "event_id"
-    )
+    raw = flows(spark, sf_dir)
     out = session_totals(raw, ["src_ip"], "ts", GAP_S, flows=F.count(F.lit(1)), value=F.sum("value"))
     return out.select("src_ip", micros(F.col("session_start")).alias("start_us"), "flows",
                       F.round("value", 4).alias("value"))

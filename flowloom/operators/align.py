@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from .sampling import sample_per_class
 
 # Fixed values of the alignment.
 REGULARISATION = 1e-5
@@ -55,16 +54,9 @@ class Scaler:
 
     @classmethod
     def fit(
-        cls, df: DataFrame, vector: str = "features", sample: int | None = None,
-        ids: Sequence[str] = (), seed: int = 42, flat_below: float | None = None,
+        cls, df: DataFrame, vector: str = "features", flat_below: float | None = None,
     ) -> "Scaler":
-        """Fit on all rows, or on a repeatable sample of at most ``sample`` rows.
-
-        ``flat_below`` treats deviations under it as constant.
-        """
-        if sample is not None:
-            one = df.withColumn("__all", F.lit(0))
-            df = sample_per_class(one, "__all", sample, ids, seed).drop("__all")
+        """Fit on all rows; ``flat_below`` treats deviations under it as constant."""
         mean, std = column_stats(df, elements(vector, vector_width(df, vector)))
         flat = std == 0 if flat_below is None else std < flat_below
         return cls(mean, np.where(flat, 1.0, std))

@@ -281,12 +281,18 @@ def flow_meta(df: DataFrame, duration_floor: float = DURATION_FLOOR_S, into: str
 
 
 def window_meta(df: DataFrame) -> DataFrame:
-    """Columns the sliding windows read: size, queried names, URI, SNI."""
+    """Columns the sliding windows read: endpoint, size, queried names, URI, SNI.
+
+    A missing address is the empty text and a missing port 0, so that flows
+    without them, as in ICMP, count in entropy and port shares.
+    """
     names = F.filter(
         F.transform(F.col(ENRICHED["dns"])["queries"], lambda q: q["rrname"]),
         lambda v: v.isNotNull() & (v != ""),
     )
     return df.withColumns({
+        "dest_ip": text(F.col("dest_ip")),
+        "dest_port": whole(F.col("dest_port")),
         "total_bytes": (
             number(F.col("flow.bytes_toserver")) + number(F.col("flow.bytes_toclient"))
         ).cast("long"),

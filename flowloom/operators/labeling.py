@@ -193,8 +193,6 @@ def clock_offset(
     bins: int = 100,
     horizon_s: float = 7 * 86400,
     snap_s: float = 10.0,
-    sample: int | None = None,
-    order: Sequence[str] = ("seq",),
     max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Clock difference per scenario: centre of the modal bin of pair differences.
@@ -204,15 +202,10 @@ def clock_offset(
     each distinct flow time asks once per bin edge. The histogram spans the
     smallest to the largest difference; equal extremes widen by half a second;
     the last bin is closed. A centre within ``snap_s`` of a whole hour becomes
-    that hour. Scenarios without pairs get 0. ``sample`` limits the estimate to
-    the first rows of each scenario, as the estimate's own option.
+    that hour. Scenarios without pairs get 0.
     """
     keys = list(keys)
     group = [scenario, *keys]
-    if sample is not None:
-        from .sampling import first_n
-
-        flows = first_n(flows, [scenario], sample, order, max_rows)
     horizon = int(horizon_s * MICROS)
     weighed = (
         flows.select(*group, micros(F.col(flow_ts)).alias("__t")).where(F.col("__t").isNotNull())

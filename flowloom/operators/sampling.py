@@ -210,13 +210,13 @@ def union_classes(parts: Mapping[int, DataFrame], into: str = "class_id") -> Dat
 
 def union_sources(
     parts: Mapping[str, tuple[DataFrame, int | None]], ids: Sequence[str], seed: int = 42,
-    into: str = "source_name",
+    into: str = "source_name", position: Column | None = None,
 ) -> DataFrame:
     """Union of target domains, each sampled down to its own cap (None = all)."""
     kept = []
     for name, (df, cap) in parts.items():
         tagged = df.withColumn(into, F.lit(name))
-        kept.append(tagged if cap is None else sample_per_class(tagged, into, cap, ids, seed))
+        kept.append(tagged if cap is None else sample_per_class(tagged, into, cap, ids, seed, position=position))
     return reduce(DataFrame.unionByName, kept)
 
 

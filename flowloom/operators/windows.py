@@ -93,13 +93,18 @@ def sessionize(
 
 
 def session_totals(
-    df: DataFrame, keys: Sequence[str], ts: str, gap_s: float, **aggregates: Column
+    df: DataFrame, keys: Sequence[str], ts: str, gap_s: float, max_rows: int = MAX_GROUP_ROWS,
+    **aggregates: Column
 ) -> DataFrame:
-    """Per-session aggregates only; Spark's own session window, merged map-side."""
-    grouped = df.groupBy(*keys, F.session_window(F.col(ts), f"{gap_s} seconds").alias("__s"))
-    return grouped.agg(*[c.alias(n) for n, c in aggregates.items()]).withColumn(
-        "session_start", F.col("__s.start")
-    ).drop("__s")
+    """Per-session aggregates only: :func:`sessionize`, then a plain aggregate.
+
+    A source with most of the rows is split by ``sessionize`` and merged
+    before the shuffle of the aggregate.
+    """
+    kept = sessionize(df, keys, ts, [], gap_s, max_rows)
+    return kept.groupBy(*keys, "session").agg(
+        F.min(ts).alias("session_start"), *[c.alias(n) for n, c in aggregates.items()]
+    )
 
 
 def _frames(keys: Sequence[str], size: int):
@@ -235,7 +240,8 @@ def behaviour_of(df: DataFrame, window: str = "rows") -> DataFrame:
     df = df.withColumn("__steps", F.filter(steps, lambda d: d > 0))
     k = F.size("__steps")
     df = df.withColumn("__mean", F.when(k > 0, total(F.col("__steps")) / k).otherwise(zero))
-    df = df.withColumn("__level", total(F.col("__bytes")) / n)
+    some = F.greatest(n, F.lit(1))  # an empty window divides by nothing
+    df = df.withColumn("__level", total(F.col("__bytes")) / some)
 
     def spread(values: str, centre: str) -> Column:
         return total(F.transform(values, lambda x: (x - F.col(centre)) * (x - F.col(centre))))
@@ -252,7 +258,7 @@ def behaviour_of(df: DataFrame, window: str = "rows") -> DataFrame:
         "uri_entropy": lists.entropy(lists.present(field("http_uri"))),
         "same_dst_port_ratio": lists.modal_share(field("dest_port")),
         "tls_sni_reuse": lists.reuse_ratio(lists.present(field("tls_sni"))),
-        "payload_size_variance": spread("__bytes", "__level") / n,
+        "payload_size_variance": spread("__bytes", "__level") / some,
     }
     df = df.withColumns({
         m: F.when(n >= 2, values[m]).otherwise(zero) for m in WINDOW_FEATURES
@@ -260,11 +266,17 @@ def behaviour_of(df: DataFrame, window: str = "rows") -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 
+def attack_classes(df: DataFrame, label: str = "label", benign: int = 0) -> list[int]:
+    """The labels that occur, but the benign one: as many as the label scheme has."""
+    found = df.select(label).where(F.col(label).isNotNull() & (F.col(label) != benign)).distinct()
+    return sorted(r[0] for r in found.collect())
+
+
 def label_windows(
     df: DataFrame,
     keys: Sequence[str] = ("src_ip",),
     label: str = "label",
-    classes: Sequence[int] = (1, 2, 3),
+    classes: Sequence[int] | None = None,
     benign: int = 0,
     size: int = WINDOW_SIZE,
     stride: int = 1,
@@ -273,9 +285,14 @@ def label_windows(
     """Full windows labelled by the majority of their non-benign rows.
 
     All-benign windows are dropped; among equally frequent classes the
-    smallest id wins.
+    smallest id wins. ``classes`` defaults to every label in the data; where it
+    is given, other labels do not vote.
     """
+    if classes is None:
+        classes = attack_classes(df, label, benign)
     wanted = sorted(c for c in classes if c != benign)
+    if not wanted:
+        return df.where(F.lit(False)).withColumn("window_label", F.lit(None).cast("int"))
     rows = with_halo(df, "session_row", chunk_rows, size - 1)
     _, last, _ = _frames(list(keys), size)
     rows = rows.withColumns({

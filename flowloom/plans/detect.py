@@ -69,16 +69,17 @@ def detect(
             *alert_record(F.col("xgb_label"), confidence, F.lit(STAGE_FLOW))
         ))
     sessions = sessionize(slow, ["src_ip"], ts, order, gap_s, max_rows)
+    # The first rows of a session have no full window: the flow model decides.
+    early = sessions.where(F.col("session_row") < size).select(
+        *alert_record(F.col("xgb_label"), confidence, F.lit(STAGE_FLOW))
+    )
     framed = sliding_behaviour(
-        sessions, ["src_ip"], ts, size, partial=True, chunk_rows=max_rows,
+        sessions, ["src_ip"], ts, size, chunk_rows=max_rows,
         keep={"flow_rows": F.collect_list("features")} if with_window else None,
     )
     if with_window:
         framed = stack_window(framed)
-    full = F.col("window_rows") == size
-    gated = gate_window(score_window(framed))
-    return fast.unionByName(gated.select(*alert_record(
-        F.when(full, F.col("window_label")).otherwise(F.col("xgb_label")),
-        F.when(full, F.col("window_confidence")).otherwise(confidence),
-        F.when(full, STAGE_WINDOW).otherwise(STAGE_FLOW),
-    )))
+    gated = gate_window(score_window(framed)).select(
+        *alert_record(F.col("window_label"), F.col("window_confidence"), F.lit(STAGE_WINDOW))
+    )
+    return fast.unionByName(early).unionByName(gated)

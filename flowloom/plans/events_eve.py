@@ -35,7 +35,7 @@ def _record(layout: T.StructType, **values: Column) -> Column:
 
 
 def events_as_eve(events: DataFrame) -> DataFrame:
-    """Typed event rows plus ``seq``, ``ts``, ``k``, ``event_id`` and ``user_id``."""
+    """Typed event rows plus ``seq``, ``ts``, ``k``, ``event_id``, ``user_id`` and ``value``."""
     eid = F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.coalesce(
@@ -89,5 +89,5 @@ def events_as_eve(events: DataFrame) -> DataFrame:
     }
     return base.select(
         "event_type", *[values[f.name].cast(f.dataType).alias(f.name) for f in EVE if f.name != "event_type"],
-        eid.alias("seq"), "ts", "k", "event_id", "user_id",
+        eid.alias("seq"), "ts", "k", "event_id", "user_id", "value",
     )

@@ -25,7 +25,6 @@ def relabel(
     scenario: str | None = "scenario",
     tolerance_s: float = 5.0,
     sync_clock: bool = False,
-    sync_sample: int | None = 5001,
     assume: str | None = None,
     families: DataFrame | None = None,
 ) -> DataFrame:
@@ -41,7 +40,7 @@ def relabel(
     if sync_clock:
         if not scenario:
             raise ValueError("clock offsets are estimated per scenario")
-        offsets = clock_offset(left, right, FIVE_TUPLE, scenario=scenario, sample=sync_sample)
+        offsets = clock_offset(left, right, FIVE_TUPLE, scenario=scenario)
         left, at = apply_offset(left, offsets, "ts", scenario), "ts_aligned"
     found = nearest_label(left, right, keys, flow_ts=at, tolerance_s=tolerance_s)
     if assume is not None:

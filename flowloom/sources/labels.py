@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -55,12 +56,27 @@ def read_binetflow(spark: SparkSession, path: str | Sequence[str], tz: str | Non
 
 
 def read_label_csv(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, bool]:
-    """Label table under any of its column names, and whether it has the 5-tuple.
+    """Label table under any of its column names, and whether all of it has the 5-tuple.
 
+    Files may differ in their headers, in names and in order: those with the
+    same header are read together, and each header is resolved on its own.
     Only the named columns are read. Rows with an unreadable port or time are
-    skipped.
+    skipped. Headers are looked up file by file on the driver.
     """
-    raw = spark.read.option("header", "true").csv(path if isinstance(path, str) else list(path))
+    listed = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path))
+    files: dict[tuple[str, ...], list[str]] = {}
+    for row in listed.select("path").orderBy("path").collect():
+        head = spark.read.option("header", "true").csv(row["path"]).columns
+        files.setdefault(tuple(head), []).append(row["path"])
+    tables = [_label_rows(spark, names) for names in files.values()]
+    full = all(has for _, has in tables)
+    shared = [c for c in tables[0][0].columns if full or c not in OPTIONAL_COLUMNS]
+    return reduce(DataFrame.unionByName, [rows.select(*shared) for rows, _ in tables]), full
+
+
+def _label_rows(spark: SparkSession, path: Sequence[str]) -> tuple[DataFrame, bool]:
+    """Rows of label files that share one header."""
+    raw = spark.read.option("header", "true").csv(list(path))
     raw = raw.toDF(*[c.strip() for c in raw.columns])
     present = set(raw.columns)
 
