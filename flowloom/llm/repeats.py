@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,7 +25,9 @@ from .common import sized, stored
 START_BITS, COUNT_BITS = 36, 8
 LAST = (1 << 63) - 1
 #: List entries up to which a table with one row per document is broadcast.
-MOST_ENTRIES = 1_000_000
+MOST_ENTRIES = 4_000_000
+#: Anchors up to which a table of them is broadcast.
+MOST_ANCHORS = 3_000_000
 
 
 @dataclass(frozen=True)
@@ -110,33 +113,37 @@ def _occurrences(docs: DataFrame, w: Windows) -> DataFrame:
     return docs.mapInArrow(run, "h long, ph long, doc_id long, place long")
 
 
-def _requested(docs: DataFrame, wanted: DataFrame, columns: str, w: Windows, open_piece: Callable) -> DataFrame:
-    """``open_piece`` of each wanted piece, read from the text that holds it: ``h, ph`` and more columns.
+def _requested(docs: DataFrame, wanted: DataFrame, columns: str, w: Windows, opened: Callable) -> DataFrame:
+    """What ``opened`` makes of each wanted piece, read from the text that holds it first: ``h, ph`` and ``columns``.
 
-    ``wanted`` has one row per piece: ``h, ph, n, doc_id, place``.
+    ``wanted`` has one row per piece, with ``doc_id, place``. The pieces of those texts are cut again,
+    which is cheaper than to carry their hashes there.
     """
-    lists = wanted.groupBy(F.col("doc_id").alias("of")).agg(*[F.collect_list(c).alias(f"{c}s") for c in ("place", "h", "ph", "n")])
-    joined = _by_document(docs, stored(lists, "piece-requests"), "places", "inner").select("text", "places", "hs", "phs", "ns")
+    lists = wanted.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("place").alias("places"))
+    joined = _by_document(docs, stored(lists, "piece-requests"), "places", "inner").select("doc_id", "text", "places")
     names = ["h", "ph", *[c.split()[0] for c in columns.split(", ")]]
+    low = (1 << (START_BITS + COUNT_BITS)) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = {c: batch.column(c) for c in ("places", "hs", "phs", "ns")}
-            offsets = np.asarray(lists["places"].offsets)
-            flat = {c: np.asarray(x.values) for c, x in lists.items()}
+            places = batch.column("places")
+            offsets, flat, ids = np.asarray(places.offsets), np.asarray(places.values), np.asarray(batch.column("doc_id"))
             for at, data, bounds in units.blocks(batch, "text"):
                 values, rows, _, _ = w.units(data, bounds)
-                numbers = text_numbers(values, rows, units.sums(values, 1))
-                lo, hi = offsets[at], offsets[at + len(bounds) - 1]
-                row = units.row_of(offsets[at:at + len(bounds)])
-                place = flat["places"][lo:hi]
-                mine = (place >> (START_BITS + COUNT_BITS)) == numbers[row]
-                start = ((place >> COUNT_BITS) & ((1 << START_BITS) - 1))[mine] + rows[:-1][row[mine]]
-                count = (place & ((1 << COUNT_BITS) - 1))[mine]
-                if len(start):
-                    kept = [flat[c][lo:hi][mine] for c in ("hs", "phs", "ns")]
-                    opened = open_piece(data, values, start, count, *kept)
-                    yield pa.record_batch(opened, names)
+                found = pieces_of(values, rows, w)
+                if found is None:
+                    continue
+                h, ph, row, place = found
+                asked = flat[offsets[at]:offsets[at + len(bounds) - 1]]
+                asked_row = units.row_of(offsets[at:at + len(bounds)])
+                mine = (asked >> (START_BITS + COUNT_BITS)) == text_numbers(values, rows, units.sums(values, 1))[asked_row]
+                keys = (asked_row[mine] << (START_BITS + COUNT_BITS)) | (asked[mine] & low)
+                pick = np.isin((row << (START_BITS + COUNT_BITS)) | (place & low), keys)
+                if pick.any():
+                    start = ((place[pick] & low) >> COUNT_BITS) + rows[:-1][row[pick]]
+                    count = place[pick] & ((1 << COUNT_BITS) - 1)
+                    more = opened(data, values, start, count, h[pick].view(np.int64), ph[pick].view(np.int64), ids[at + row[pick]])
+                    yield pa.record_batch(more, names)
 
     return joined.mapInArrow(run, f"h long, ph long, {columns}")
 
@@ -148,17 +155,47 @@ def _by_document(docs: DataFrame, lists: DataFrame, column: str, how: str) -> Da
     return docs.join(lists, docs.doc_id == lists.of, how).drop("of")
 
 
-def _window_rows(docs: DataFrame, wanted: DataFrame, w: Windows) -> DataFrame:
-    """``h, ph, n, first, w, window``: one row per window of the wanted pieces."""
+def _window_hashes(values, start, count, w: Windows) -> np.ndarray:
+    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    begin = np.repeat(start, count) + inner
+    return units.spans(units.sums(values, 1), 1, begin, begin + w.length).view(np.int64)
+
+
+def window_rows(docs: DataFrame, wanted: DataFrame, w: Windows) -> DataFrame:
+    """``h, ph, first, w, window``: one row per window of the wanted pieces, and the id of the text they are in."""
 
-    def opened(data, values, start, count, h, ph, n):
+    def opened(data, values, start, count, h, ph, ids):
         row = np.repeat(np.arange(len(start)), count)
         inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        begin = start[row] + inner
-        window = units.spans(units.sums(values, 1), 1, begin, begin + w.length)
-        return [pa.array(h[row]), pa.array(ph[row]), pa.array(n[row]), pa.array(inner.astype(np.int32)), pa.array(window.view(np.int64))]
+        return [pa.array(h[row]), pa.array(ph[row]), pa.array(ids[row]), pa.array(inner.astype(np.int32)), pa.array(_window_hashes(values, start, count, w))]
+
+    return _requested(docs, wanted, "first long, w int, window long", w, opened)
+
+
+def bucketed(rows: DataFrame, solve: Callable, size: int) -> DataFrame:
+    """``h, ph, ws``: what ``solve`` finds in buckets of pieces, with all pieces of an anchor in one bucket.
+
+    ``rows`` has ``h, ph, first, content``. A bucket is closed once it holds ``size`` bytes of content.
+    ``solve`` gets the columns of a bucket as lists and gives an array per piece.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def solved(held):
+            h, ph, first, content = zip(*held)
+            return pd.DataFrame({"h": h, "ph": ph, "ws": solve(h, first, content)})
+
+        held, total = [], 0
+        for batch in batches:
+            for row in zip(batch["h"], batch["ph"], batch["first"], batch["content"]):
+                if total >= size and row[0] != held[-1][0]:
+                    yield solved(held)
+                    held, total = [], 0
+                held.append(row)
+                total += len(row[3])
+        if held:
+            yield solved(held)
 
-    return _requested(docs, wanted, "n long, w int, window long", w, opened)
+    return rows.repartition("h").sortWithinPartitions("h").mapInPandas(run, "h long, ph long, ws array<int>").where("size(ws) > 0")
 
 
 def piece_groups(docs: DataFrame, w: Windows) -> tuple[DataFrame, DataFrame]:
@@ -168,7 +205,7 @@ def piece_groups(docs: DataFrame, w: Windows) -> tuple[DataFrame, DataFrame]:
     first of them, and the number of different pieces of the anchor. Each is counted by an aggregate
     that combines before its shuffle, and joined by a join whose hot keys can be split.
     """
-    again = _anchors(docs, w).groupBy("h").count().where("count > 1").select("h")
+    again = sized(stored(_anchors(docs, w).groupBy("h").count().where("count > 1").select("h"), "repeated-anchors"), MOST_ANCHORS)
     occurrences = stored(_occurrences(docs, w).join(again, "h", "left_semi"), "piece-occurrences")
     pieces = occurrences.groupBy("h", "ph").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first"))
     pieces = stored(pieces.select("h", "ph", "n", "first.*"), "pieces")
