@@ -81,7 +81,7 @@ def _divergence(p: Column, q: Column) -> Column:
 
 
 def _distance(total: Column) -> Column:
-    return F.sqrt(F.greatest(F.lit(0.0), total))
+    return F.sqrt(F.when(total > 0, total).when(total.isNotNull(), 0.0))
 
 
 def _common(text: str) -> Column:
