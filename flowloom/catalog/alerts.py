@@ -190,12 +190,14 @@ def pooled_windows(spark, sf_dir):
                      F.round(F.get("pooled", F.lit(18)), 4).alias("mean_port"))
 
 
-@query("alert_json", f"WITH {PROBS_SQL} SELECT count(*) AS n, count(*) AS parsed FROM found")
+@query("alert_json", f"""WITH {PROBS_SQL} SELECT seq, flow_label AS label, round(probs[2], 4) AS p_dos, round(probs[6], 4) AS p_bot,
+  6 AS n_probs FROM found""")
 def alert_json(spark, sf_dir):
     df = decide(scored(spark, sf_dir), threshold=THRESHOLD)
     text = as_json(df.select("seq", "xgb_label", class_probs("probs").alias("class_probs"),
                              argmax(F.col("probs")).alias("cls")))
     back = F.from_json("value", "seq long, xgb_label string, class_probs map<string,double>")
-    return text.select(back.alias("a")).agg(
-        F.count(F.lit(1)).alias("n"), F.count("a.class_probs").alias("parsed")
+    return text.select(back.alias("a")).select(
+        "a.seq", F.col("a.xgb_label").alias("label"), F.round(F.col("a.class_probs")["DoS"], 4).alias("p_dos"),
+        F.round(F.col("a.class_probs")["Bot"], 4).alias("p_bot"), F.size("a.class_probs").alias("n_probs"),
     )

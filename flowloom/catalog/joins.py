@@ -293,9 +293,7 @@ SELECT seq, CASE WHEN EXISTS (SELECT 1 FROM w WHERE us BETWEEN a AND b)
   AND (src_ip IN (SELECT ip FROM v) OR dest_ip IN (SELECT ip FROM v)) THEN 1 ELSE 0 END AS label FROM flows""")
 def interval_label_query(spark, sf_dir):
     """One attack window per day, between its costly events; their targets are the victims."""
-    base = raw_flows(spark, sf_dir).join(
-        table(spark, sf_dir, "events").select("event_id", "value"), "event_id"
-    )
+    base = flows(spark, sf_dir)
     windows = base.where(F.col("value") > 60).groupBy(F.to_date("ts")).agg(
         F.min("ts").alias("start"), F.max("ts").alias("end")
     )
