@@ -98,19 +98,29 @@ def read_flow_lines(spark: SparkSession, path: str | Sequence[str],
     )
 
 
+def live_order() -> Column:
+    """Order among events of one instant: records before the flow that takes them, then by content.
+
+    Every field counts, so only equal events tie.
+    """
+    content = F.xxhash64(*[F.to_json(f.name) if isinstance(f.dataType, T.StructType) else F.col(f.name) for f in EVE])
+    after = F.when(F.col("event_type") == "flow", 1).otherwise(0).cast("long")
+    return F.shiftleft(after, 62).bitwiseOR(F.shiftrightunsigned(content, 2))
+
+
 def stream_eve(spark: SparkSession, path: str, max_files: int = 100,
                name_glob: str | None = None) -> DataFrame:
     """Live scan: a shipper drops finished segments into ``path``.
 
-    ``seq`` orders by event time, then by content, since a stream has no line
-    numbers. Existing files count as the backlog.
+    A stream has no line numbers: ``seq`` orders events of one instant, see
+    :func:`live_order`. Existing files count as the backlog.
     """
     reader = spark.readStream.schema(EVE_TEXT).option("maxFilesPerTrigger", max_files)
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
     raw = reader.json(path).withColumn("file", F.col("_metadata.file_path"))
     typed = type_events(raw.where(F.col("_corrupt_record").isNull() | F.col("event_type").isNotNull()), ["file"])
-    return typed.withColumn("seq", F.xxhash64("timestamp", "flow_id", "event_type", F.to_json("flow")))
+    return typed.withColumn("seq", live_order())
 
 
 def route(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -70,11 +71,12 @@ def complete(
 
 def _manifest(spark: SparkSession, path: str, scenario: str) -> DataFrame | None:
     """Completed scenario names: one row per capture folder."""
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(location):
-        return None
-    return spark.read.parquet(path).select(scenario).distinct()
+    try:
+        return spark.read.parquet(path).select(scenario).distinct()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # nothing has been completed yet
 
 
 def write_windows(windows: DataFrame, path: str) -> None:

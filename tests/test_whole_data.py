@@ -8,6 +8,7 @@ from flowloom.operators.windows import attack_classes, behaviour_of, label_windo
 from flowloom.plans.window_dataset import window_dataset
 from flowloom.operators.features import window_meta
 from flowloom.schema import EVE
+from flowloom.sources.eve import live_order
 from flowloom.sources.labels import read_label_csv
 
 
@@ -78,6 +79,21 @@ def test_window_dataset_without_quota(spark):
     assert rows(few, "session_row", "label") == [(30, 9)]
 
 
+def test_live_order(spark):
+    """Records of an instant come before its flow, and differ by any field."""
+    def row(kind, **more):
+        out = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in EVE])
+        return out.withColumns({"event_type": F.lit(kind), "flow_id": F.lit(9).cast("long"), **more})
+
+    def url(u):
+        http = next(f.dataType for f in EVE if f.name == "http")
+        return F.from_json(F.lit('{"url": "%s"}' % u), http)
+
+    events = row("http", http=url("/a")).unionByName(row("http", http=url("/b"))).unionByName(row("http", http=url("/a"))).unionByName(row("flow"))
+    got = [r[0] for r in events.select(live_order()).collect()]
+    assert got[0] == got[2] != got[1] and max(got[:3]) < got[3]
+
+
 def test_session_totals_of_a_heavy_source(spark):
     df = flows(spark, 60)
     small = session_totals(df, ["src_ip"], "ts", 300, max_rows=16, n=F.count(F.lit(1)))
