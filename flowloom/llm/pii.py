@@ -30,6 +30,8 @@ IP_PARTS = r"^(?:0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(?:\.|$))
 TERM = r"\p{L}{4,}"
 MARK, STAND_IN = "\x01", "\x02"
 SPAN = "struct<start:int,end:int,value:string,near:string>"
+#: Characters to a word, when the corpus is taken as places at which an entity could stand.
+CHARS = 6
 #: Candidate terms, and documents with terms to mask, up to which the tables are broadcast.
 MOST_TERMS, MOST_DOCUMENTS = 200_000, 100_000
 
@@ -118,21 +120,23 @@ def disclosing_terms(
     """
     spans = found(docs, doc_id, text)
     near = _entities(spans).select("entity", F.xxhash64("near").alias("around"), F.explode(F.regexp_extract_all(F.lower("near"), F.lit(TERM), F.lit(0))).alias("term"))
-    pairs = (
+    every = F.lit(float(max((docs.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0) // CHARS, 2)))
+    together = stored(
         near.groupBy("entity", "term", "around").agg(F.count("*").alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("surroundings"))
-        .where(F.col("surroundings") >= support)
-    )
-    pairs = stored(pairs.select("entity", "term", "together"), "pii-pairs")
+        .groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("surroundings")), "pii-together")
+    held = _entities(spans).groupBy("entity").agg(F.log(F.least(F.lit(0.5), F.count("*") / every)).alias("alone"))
+    disclosure = lambda given: (F.log(F.least(F.lit(1.0), given)) - F.col("alone")) / -F.col("alone")
+    # A term occurs at least half as often as it stands near entities, since one place has two at most
+    # of a kind; pairs that could not reach the threshold even so need no count of the term.
+    spread = together.groupBy("term").agg(F.sum("together").alias("spread"))
+    least = F.col("spread") / (2 * len(KINDS))
+    pairs = together.where(F.col("surroundings") >= support).join(spread, "term").join(held, "entity")
+    pairs = stored(pairs.where(disclosure(F.col("together") / least) >= threshold).select("entity", "term", "together", "alone"), "pii-pairs")
     terms = sized(pairs.select("term").distinct(), MOST_TERMS)
     each = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit(TERM), F.lit(0))).alias("term"))
-    counts = each.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.agg(F.sum(F.length(F.col(f"`{text}`"))).alias("n")).first()["n"] or 0
-    held = _entities(spans).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    every = F.lit(float(max(total // 6, 2)))  # positions at which an entity could stand: words of six characters
-    alone = F.log(F.least(F.lit(0.5), F.col("n_entity") / every))
-    given = F.log(F.least(F.lit(1.0), F.col("together") / F.col("n_term")))
-    out = pairs.join(counts, "term").join(held, "entity").withColumn("disclosure", (given - alone) / -alone)
+    # counted in each task before anything else, so that no later step sees single occurrences
+    counts = each.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term", "left_semi")
+    out = pairs.join(counts, "term").withColumn("disclosure", disclosure(F.col("together") / F.col("n_term")))
     return out.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
