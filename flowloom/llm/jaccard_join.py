@@ -17,12 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import units
-from .common import query, sized, stored, table
+from .common import in_small_batches, query, sized, stored, table
 from .graph import components
 
 U64 = np.uint64
 #: Ids up to which a table of them is broadcast.
 MOST_IDS = 1_000_000
+#: Tokens of lists that are searched, up to which a table of them is broadcast.
+MOST_LISTS = 3_000_000
+#: Before lists are searched: rounds in which sets are tied by a least token, to so many of those that
+#: have it; and orders of tokens whose least ones are compared first.
+ROUNDS, HEADS, ORDERS = 3, 12, 16
+#: Two hashes of a token for two hashes of its set.
+NODE, CHECK = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 #: Frequent tokens that are put last, by falling count, and what is counted as frequent: in a batch, in all.
 MOST_FREQUENT, IN_BATCH, IN_ALL = 1_000_000, 3, 32
 
@@ -41,24 +48,31 @@ def _long(values) -> pa.Array:
 
 def _node(s: np.ndarray) -> int:
     """A set's name: a sum of mixed token hashes."""
-    return int(units.mixed(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64))
+    return int(units.mixed(s ^ NODE).sum(dtype=U64))
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n, node, check, low``: set size, two hashes of the set, and its least token."""
+    """``doc_id, n, node, check, lows``: set size, two hashes of the set, and its least token in ``ORDERS`` orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, bounds in units.blocks(batch, "text"):
                 sets = _sets(data, bounds, size)
-                node = [_node(s) for s in sets]
-                check = [int(units.mixed(s ^ U64(0x14057B7EF767814F)).sum(dtype=U64)) for s in sets]
-                low = [int(s[0]) if len(s) else 0 for s in sets]
+                n = np.array([len(s) for s in sets])
+                some = np.flatnonzero(n)
+                columns = np.zeros((2 + ORDERS, len(sets)), U64)
+                if len(some):
+                    tokens, first = np.concatenate(sets), (np.cumsum(n) - n)[some]
+                    columns[0, some] = np.add.reduceat(units.mixed(tokens ^ NODE), first)
+                    columns[1, some] = np.add.reduceat(units.mixed(tokens ^ CHECK), first)
+                    for k in range(ORDERS):
+                        columns[2 + k, some] = np.minimum.reduceat(units.mixed(tokens ^ U64(k)), first)
+                lows = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * ORDERS, pa.int32()), _long(columns[2:].T.ravel()))
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), _long(node), _long(check), _long(low)],
-                    ["doc_id", "n", "node", "check", "low"])
+                    [batch.column("doc_id").slice(at, len(sets)), pa.array(n), _long(columns[0]), _long(columns[1]), lows],
+                    ["doc_id", "n", "node", "check", "lows"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, low long")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, lows array<long>")
 
 
 def frequent_tokens(docs: DataFrame, size: int) -> np.ndarray:
@@ -112,9 +126,8 @@ def _entries(docs: DataFrame, size: int, percent: int, frequent, light: int) ->
     return docs.select("text", "comp").mapInArrow(run, "token long, single boolean, node long, n int, comp long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, percent: int, unique: bool) -> DataFrame:
     """Those pairs ``a, b`` of nodes whose sets agree to ``percent``, compared whole."""
-    pairs = stored(pairs, "pairs")
     involved = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     ids = sized(stored(nodes.join(involved, "node", "left_semi").select(F.col("rep").alias("of")).distinct(), "pair-ids"), MOST_IDS)
 
@@ -128,7 +141,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, pe
     texts = docs.join(ids, docs.doc_id == ids.of, "left_semi")
     sets = texts.select("text").mapInArrow(run, "node long, tokens array<long>")
     sets = stored(sets, "pair-sets")
-    if texts.count() != texts.select("doc_id").distinct().count():  # an id repeats: a node may be there twice
+    if not unique:  # an id repeats: a node may be there twice
         sets = sets.dropDuplicates(["node"])
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
@@ -136,19 +149,34 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, pe
     return two.where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select("a", "b")
 
 
-def _stars(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs to try first: nodes with one least token, tied to one of them in two steps of bounded width.
+def _stars(nodes: DataFrame, percent: int, k: int) -> DataFrame:
+    """Pairs to try: nodes with one least token in order ``k``, tied to ``HEADS`` of them in two steps of bounded width.
 
-    Linear in the nodes. What they join need not be compared again.
+    Linear in the nodes. Whom they are tied to depends on hashes alone. Pairs within a component
+    ``comp`` are left out, and those that share few of their other least tokens.
     """
-    slot = F.shiftrightunsigned("node", 56)
-    heads = nodes.groupBy("low", slot.alias("slot")).agg(F.min(F.struct("n", "node")).alias("head"))
-    top = heads.groupBy("low").agg(F.min("head").alias("top"))
-    tied = nodes.select("low", slot.alias("slot"), "n", "node").join(heads, ["low", "slot"])
-    pairs = tied.select("n", "node", F.col("head.n").alias("m"), F.col("head.node").alias("other"))
-    pairs = pairs.union(heads.join(top, "low").select("head.n", "head.node", "top.n", "top.node"))
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("node") != F.col("other"))
-    return pairs.where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    low = F.get("lows", F.lit(k)).alias("low")
+    whole = ["n", "node", "comp", "lows"]
+    first = lambda j: F.min(F.struct(F.xxhash64("low", "node", F.lit(j)).alias("turn"), *whole)).alias(f"h{j}")
+    rows = nodes.select(low, F.shiftrightunsigned("node", 56).alias("slot"), *whole)
+
+    def heads(df: DataFrame, *by: str) -> DataFrame:
+        found = df.groupBy(*by).agg(*[first(j) for j in range(HEADS)])
+        each = found.select(*by, F.explode(F.array_distinct(F.transform(
+            F.array(*[f"h{j}" for j in range(HEADS)]), lambda h: h.dropFields("turn")))).alias("head"))
+        return each
+
+    def tied(df: DataFrame, to: DataFrame, *by: str) -> DataFrame:
+        return df.join(to, list(by)).select(*whole, "head")
+
+    near = heads(rows, "low", "slot")
+    flat = near.select("low", "slot", "head.*")
+    pairs = tied(rows, near, "low", "slot").union(tied(flat, heads(flat, "low"), "low"))
+    head = F.col("head")
+    alike = F.size(F.filter(F.zip_with("lows", head["lows"], lambda x, y: x == y), lambda same: same))
+    fits = 100 * F.least(F.col("n"), head["n"]) >= percent * F.greatest(F.col("n"), head["n"])
+    pairs = pairs.where(fits & (F.col("comp") != head["comp"]) & (100 * alike >= (percent - 15) * ORDERS))
+    return pairs.select(F.least("node", head["node"]).alias("a"), F.greatest("node", head["node"]).alias("b")).distinct()
 
 
 def boundary(nodes: DataFrame, percent: int) -> int:
@@ -157,7 +185,7 @@ def boundary(nodes: DataFrame, percent: int) -> int:
     A light set of prefix p costs its p (p + 1) / 2 pairs, a heavy one p entries and the scan of their
     lists. The mean length of a list is that of the lists of least tokens, each set having one.
     """
-    n, lists = nodes.agg(F.count("*"), F.approx_count_distinct("low")).first()
+    n, lists = nodes.agg(F.count("*"), F.approx_count_distinct(F.get("lows", F.lit(0)))).first()
     scan = 1 + n / max(lists, 1)
     sizes = sorted((r["n"], r["count"]) for r in nodes.groupBy("n").count().collect())
     best, total, least = 0, 0.0, 0.0
@@ -180,35 +208,46 @@ def jaccard_groups(
     sets are one node. Rows that repeat an id are documents of their own. A null id is larger than all
     others and comes back as null. An empty table gives no rows. Other columns are not looked at.
 
-    First the nodes of one least token are tied to one of them, and compared. Then lists are
+    First, in a few rounds, the nodes of one least token are tied to one of them, and compared: each
+    round in another order of the tokens, and without what is one component by then. Then lists are
     searched for pairs of different components only: a list within one component is dropped before
     any pair is made, and a pair goes on to be compared only if it has as many common prefix tokens
     as it needs. Every link is either found or lies within a component.
     """
     last = (1 << 63) - 1
-    texts = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(last)).alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    texts = in_small_batches(docs).select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(last)).alias("doc_id"), F.col(f"`{text}`").alias("text"))
     spark = docs.sparkSession
     signed = stored(signatures(texts, size), "shingle-sets")
     nodes = stored(signed.where("n > 0").groupBy("node", "check").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low")), "set-nodes")
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("lows").alias("lows")), "set-nodes")
     # Texts of nodes only: ids under which no node is represented are copies.
     of = signed.where("n > 0").select("doc_id").distinct().join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti")
     copies = sized(stored(of.withColumnRenamed("doc_id", "copy"), "copies"), MOST_IDS)
     texts = texts.join(copies, texts.doc_id == copies.copy, "left_anti")
 
-    edges = stored(_verified(texts, _stars(nodes, percent), nodes, size, percent), "links")
-    roots = stored(components(edges), "first-components")
-    comps = sized(stored(roots.join(nodes, "node").select(F.col("rep").alias("of"), F.col("root").alias("comp")).groupBy("of").agg(F.min("comp").alias("comp")), "component-ids"), MOST_IDS)
-    repeated = signed.groupBy("doc_id").agg(F.countDistinct("node").alias("k")).where("k > 1").select("doc_id")
-    if not repeated.isEmpty():  # one id, several sets: no component is known by id there
-        comps = comps.join(repeated.withColumnRenamed("doc_id", "of"), "of", "left_anti")
+    repeated = stored(signed.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("of")), "repeated-ids")
+    unique = repeated.isEmpty()
+    edges, known = None, nodes.withColumn("comp", F.col("node"))
+    for k in range(ROUNDS):
+        pairs = stored(_stars(known, percent, k), "pairs")
+        if pairs.isEmpty():
+            continue
+        found = _verified(texts, pairs, nodes, size, percent, unique)
+        edges = stored(found if edges is None else edges.union(found), "links")
+        roots = components(edges)
+        known = stored(nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "known-components")
+    edges = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false") if edges is None else edges
+    comps = known.where("comp != node").select(F.col("rep").alias("of"), "comp")
+    if not unique:  # one id, several sets: no component is known by id there
+        comps = comps.join(repeated, "of", "left_anti")
+    comps = sized(stored(comps, "component-ids"), MOST_IDS)
     labelled = texts.join(comps, texts.doc_id == comps.of, "left").drop("of")
 
     limit = boundary(nodes, percent) if light is None else light
     frequent = spark.sparkContext.broadcast(frequent_tokens(texts, size))
     entries = _entries(labelled, size, percent, frequent, limit)
     mixed = entries.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one < other")
-    mixed = sized(stored(mixed.select("token"), "mixed-lists"), MOST_IDS)
+    mixed = sized(stored(mixed.select("token"), "mixed-lists"), MOST_LISTS)
     lists = stored(entries.join(mixed, "token", "left_semi"), "lists")
     left = lists.select("token", "single", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("c_a"))
     right = lists.select("token", "single", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("c_b"))
@@ -220,7 +259,8 @@ def jaccard_groups(
     needed = overlap - F.greatest(F.col("n_a") - prefix(F.col("n_a")), F.col("n_b") - prefix(F.col("n_b")))
     both_light = F.greatest("n_a", "n_b") <= limit
     enough = F.when(both_light, F.col("subsets") > 0).otherwise((F.col("common") > 0) & (F.col("common") >= needed))
-    more = _verified(texts, counted.where(enough).select("a", "b"), nodes, size, percent)
+    pairs = stored(counted.where(enough).select("a", "b"), "pairs")
+    more = _verified(texts, pairs, nodes, size, percent, unique)
     final = stored(components(edges.union(stored(more, "links"))), "components")
 
     grouped = signed.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
