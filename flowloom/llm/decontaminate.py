@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import units
-from .common import query, sized, stored, table
+from .common import in_small_batches, query, sized, stored, table
 
 #: Positions left free between documents; more than a phrase and its slop can span.
 GAP = 1 << 10
@@ -89,7 +89,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, doc_id: str =
                 yield pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds)], [c.split()[0] for c in INDEX.split(", ")])
                 number += 1
 
-    named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    named = in_small_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return named.mapInArrow(run, INDEX)
 
 

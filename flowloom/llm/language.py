@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import query, stored, table
+from .common import in_small_batches, query, stored, table
 from .units import mixed
 
 U64 = np.uint64
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text: str = "text") -> Data
 
     Only the text is looked at. Null and letterless texts are ``und`` with score 0.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = in_small_batches(docs).sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != text]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import units
-from .common import sized, stored
+from .common import in_small_batches, sized, stored
 
 #: Positions are packed as text number, start, windows: 19, 36 and 8 bits.
 START_BITS, COUNT_BITS = 36, 8
@@ -84,7 +84,7 @@ def pieces_of(values: np.ndarray, bounds: np.ndarray, w: Windows, whole: bool =
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return in_small_batches(docs).select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
 
 def _anchors(docs: DataFrame, w: Windows) -> DataFrame:

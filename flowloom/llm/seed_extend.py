@@ -61,7 +61,8 @@ def later_repeats(docs: DataFrame, w: Windows) -> DataFrame:
         least = windows.groupBy("h", "window").agg(F.min("first").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
         more = windows.join(least, ["h", "window"]).where("least < first").groupBy("h", "ph").agg(F.collect_list("w").alias("ws"))
         earlier = earlier.unionByName(more)
-    firsts = pieces.select("h", "ph", F.col("doc_id").alias("first")).join(earlier, ["h", "ph"], "left")
+    # written down, so that the join with all occurrences is one whose hot keys can be split
+    firsts = stored(pieces.select("h", "ph", F.col("doc_id").alias("first")).join(earlier, ["h", "ph"], "left"), "piece-verdicts")
     found = occurrences.join(firsts, ["h", "ph"])
     later = F.col("doc_id") > F.col("first")
     return found.where(later | F.col("ws").isNotNull()).select("doc_id", "place", F.when(~later, F.col("ws")).alias("ws"))

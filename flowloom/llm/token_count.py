@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import units
-from .common import query, stored, table
+from .common import in_small_batches, query, stored, table
 
 #: Id of the separator, and ids that words are hashed to, 1 to this less 1, when no tokenizer is given.
 END, VOCABULARY = 0, 1 << 17
@@ -59,7 +59,7 @@ def write_tokens(docs: DataFrame, block: int = BLOCK, doc_id: str = "doc_id", te
         if len(rest):
             yield cut(len(rest))
 
-    named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    named = in_small_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return named.mapInArrow(run, "file string, block int, data binary, doc_ids array<long>")
 
 

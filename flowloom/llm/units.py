@@ -28,7 +28,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 #: Bytes of text handled at once; a longer text is a block of its own. Memory is some 60 times that.
-BLOCK = 512 << 10
+BLOCK = 256 << 10
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -1,9 +1,15 @@
 """Every query of the training-data operators against SQL or a brute-force version, over whole tables."""
 
+import os
+import sys
+import zlib
+
 import brute
 import duckdb
 import pytest
 
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
+
 import __spark_entry__ as contract
 from check_queries import TABLES, compare
 from flowloom import llm
@@ -47,7 +53,6 @@ def test_suffix_repeats(spark, sf_dir, docs):
 
 def test_language(spark, sf_dir, docs):
     out = llm.QUERIES["op6_language"](spark, sf_dir.replace("sf0.001", "sf0.01")).collect()
-    import zlib
     lang = {r[0]: r[1] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out) and len(out) == len(lang)
     held = [r for r in out if r.held_out]
