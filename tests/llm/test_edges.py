@@ -121,6 +121,29 @@ def test_bwt_core():
         assert [x.tolist() for x in suffix.repeated_starts(pieces, length)] == want
 
 
+def shares(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
+    """Targets by repeated sharing: sizes in source order."""
+    want, full, targets = share * sum(sizes), set(), [0.0] * len(sizes)
+    while True:
+        rest = want - sum(cap * sizes[i] for i in full)
+        total = sum(weights[i % 3] for i in range(len(sizes)) if i not in full)
+        for i in range(len(sizes)):
+            targets[i] = cap * sizes[i] if i in full else rest * weights[i % 3] / total
+        over = {i for i in range(len(sizes)) if targets[i] > cap * sizes[i]} - full
+        if not over:
+            return targets
+        full |= over
+
+
+def test_targets(spark):
+    rng = random.Random(4)
+    for n in (1, 2, 5, 12, 40):
+        sizes = [rng.choice([0, 1, 10, 100, 1000]) + rng.randint(0, 50) for _ in range(n)]
+        df = spark.createDataFrame([(f"s{i:02d}", s) for i, s in enumerate(sizes)], "source string, size long")
+        got = [r.target for r in mixing.source_targets(df).orderBy("source").collect()]
+        assert got == pytest.approx(shares(sizes)) and sum(got) == pytest.approx(1.5 * sum(sizes))
+
+
 def test_mix(spark, docs, empty):
     out = mixing.mix(docs).collect()
     assert len(out) == len(made()) and mixing.mix(empty).count() == 0
