@@ -160,9 +160,11 @@ def quality(
         F.col("n_words") >= min_words, _distance(F.array_min(F.transform("refs", by_words)))))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     far = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
+    # A filter on the verdict must not be pushed down: it would repeat every step before it, many times over.
+    here = F.monotonically_increasing_id() >= 0
     return rows.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        "class_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"))
+        "class_distance", "word_distance", (~F.col("base_failed") & ~far & here).alias("kept"))
 
 
 WORDY = r"[^\x20\x09-\x0D]"
