@@ -11,18 +11,16 @@ value. The search stops at ``length``; neighbours that have no value by then sha
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import query, stored, table
-from .repeats import Windows, _requested, _texts, _window_rows, piece_groups, runs_by_document, without_runs
+from .repeats import Windows, _requested, _texts, bucketed, piece_groups, runs_by_document, window_rows, without_runs
 
 #: Bytes of pieces that are sorted together, and pieces per anchor up to which they share one bucket.
-BUCKET, MOST_PIECES = 512 << 10, 2000
+BUCKET, MOST_PIECES = 256 << 10, 1000
 #: Not a byte of UTF-8: parts pieces, and stands behind the last one.
 END = 0xFF
 #: The prefix by which suffixes are sorted first, in one number.
@@ -39,7 +37,7 @@ def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     packed = np.zeros(n, np.uint64)
     for k in range(PACKED):
         packed = (packed << np.uint64(8)) | padded[k:k + n]
-    order = np.argsort(packed, kind="stable")
+    order = np.argsort(packed)
 
     def ranked(keys, order):
         fresh = np.zeros(n, np.int64)
@@ -53,7 +51,7 @@ def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
         behind = np.zeros(n, np.int64)
         behind[:n - reach] = rank[reach:] + 1
         keys = rank * (n + 2) + behind
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         rank, reach = ranked(keys, order), 2 * reach
     return order, packed[order]
 
@@ -106,30 +104,9 @@ def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
     piece = np.searchsorted(begins, found, "right") - 1
     start = found - begins[piece]
     fits = start + length <= sizes[piece]
-    cuts = np.searchsorted(piece[fits], np.arange(len(pieces) + 1))
-    return [start[fits][a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-
-
-def _bucketed(rows: DataFrame, length: int) -> DataFrame:
-    """``h, ph, ws`` of pieces with repeated windows; buckets take whole anchors in sorted order."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solved(held):
-            found = repeated_starts([x[2] for x in held], length)
-            return pd.DataFrame({"h": [x[0] for x in held], "ph": [x[1] for x in held], "ws": found})
-
-        held, size = [], 0
-        for batch in batches:
-            for h, ph, content in zip(batch["h"], batch["ph"], batch["content"]):
-                if size >= BUCKET and h != held[-1][0]:
-                    yield solved(held)
-                    held, size = [], 0
-                held.append((h, ph, content))
-                size += len(content)
-        if held:
-            yield solved(held)
-
-    return rows.repartition("h").sortWithinPartitions("h").mapInPandas(run, "h long, ph long, ws array<int>").where("size(ws) > 0")
+    piece, start = piece[fits], start[fits].astype(np.int32)
+    cuts = np.searchsorted(piece, np.arange(len(pieces) + 1))
+    return [start[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def repeated_bytes(docs: DataFrame, w: Windows) -> DataFrame:
@@ -143,18 +120,19 @@ def repeated_bytes(docs: DataFrame, w: Windows) -> DataFrame:
     pieces = stored(pieces, "piece-variants")
     few, many = pieces.where(F.col("variants") <= MOST_PIECES), pieces.where(F.col("variants") > MOST_PIECES)
 
-    def opened(data, values, start, count, h, ph, n):
+    def opened(data, values, start, count, h, ph, ids):
         raw, ends = data.tobytes(), start + count - 1 + w.length
-        return [pa.array(h), pa.array(ph), pa.array([raw[a:b] for a, b in zip(start.tolist(), ends.tolist())], pa.binary())]
+        return [pa.array(h), pa.array(ph), pa.array(ids), pa.array([raw[a:b] for a, b in zip(start.tolist(), ends.tolist())], pa.binary())]
 
-    columns = ("h", "ph", "n", "doc_id", "place")
-    found = _bucketed(_requested(docs, few.select(*columns), "content binary", w, opened), w.length)
+    solve = lambda h, first, content: repeated_starts(content, w.length)
+    found = bucketed(_requested(docs, few, "first long, content binary", w, opened), solve, BUCKET)
     if not many.isEmpty():
-        windows = stored(_window_rows(docs, many.select(*columns), w), "open-windows")
+        windows = stored(window_rows(docs, many, w), "open-windows")
         again = windows.groupBy("h", "window").agg(F.count("*").alias("k")).where("k > 1").select("h", "window")
         found = found.unionByName(windows.join(again, ["h", "window"], "left_semi").groupBy("h", "ph").agg(F.collect_list("w").alias("ws")))
     found = stored(found, "repeated-windows")
-    verdict = pieces.select("h", "ph", F.col("n").alias("times")).join(found, ["h", "ph"], "left")
+    # written down, so that the join with all occurrences is one whose hot keys can be split
+    verdict = stored(pieces.select("h", "ph", F.col("n").alias("times")).join(found, ["h", "ph"], "left"), "piece-verdicts")
     marked = occurrences.join(verdict, ["h", "ph"])
     whole = F.col("times") > 1
     return marked.where(whole | F.col("ws").isNotNull()).select("doc_id", "place", F.when(~whole, F.col("ws")).alias("ws"))
@@ -163,7 +141,7 @@ def repeated_bytes(docs: DataFrame, w: Windows) -> DataFrame:
 COLUMNS = "n_bytes long, n_removed long, n_spans long"
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, seed: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, seed: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept``.
 
     Texts are UTF-8 bytes. A byte goes if a string of ``length`` bytes over it starts anywhere else
@@ -189,4 +167,4 @@ def _remaining(docs, length, seed, doc_id, text, columns, result) -> DataFrame:
 @query("op3_suffix_repeats")
 def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = lambda kept: hashlib.sha256(kept).hexdigest()
-    return _remaining(table(spark, sf_dir, "documents"), 200, 40, "doc_id", "text", f"{COLUMNS}, kept_sha256 string", digest)
+    return _remaining(table(spark, sf_dir, "documents"), 200, 80, "doc_id", "text", f"{COLUMNS}, kept_sha256 string", digest)
