@@ -26,8 +26,12 @@ PATTERNS = {
 #: A character without which a text has no match.
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 IP_PARTS = r"^(?:0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
-#: What words may become terms.
-TERM = r"\p{L}{4,}"
+#: Letters of scripts that part words, and of those that do not.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+LETTER, UNSPACED = rf"[\p{{L}}\p{{M}}&&[^{UNSPACED}]]", f"[{UNSPACED}]"
+#: What may become terms: words of three letters, or of two with a capital; every two letters of the other scripts.
+TERM = rf"(?<!{LETTER})(?:{LETTER}{{3,}}+|\p{{Lu}}{LETTER})(?!{LETTER})"
+PAIR = rf"(?=({UNSPACED}{{2}}))"
 MARK, STAND_IN = "\x01", "\x02"
 SPAN = "struct<start:int,end:int,value:string,near:string>"
 #: Characters to a word, when the corpus is taken as places at which an entity could stand.
@@ -75,8 +79,8 @@ def _spans(text: Column, pattern: Column | str, needed: str | None, valid, width
         def span(e: Column, i: Column) -> Column:
             before, after = F.get(parts, i - 1), F.get(parts, i + 1)
             # whole words only: what the cut has left of one is dropped
-            left = F.when(F.length(before) > width, F.regexp_replace(F.right(before, F.lit(width)), r"^\p{L}+", "")).otherwise(before)
-            right = F.when(F.length(after) > width, F.regexp_replace(F.left(after, F.lit(width)), r"\p{L}+$", "")).otherwise(after)
+            left = F.when(F.length(before) > width, F.regexp_replace(F.right(before, F.lit(width)), f"^{LETTER}+", "")).otherwise(before)
+            right = F.when(F.length(after) > width, F.regexp_replace(F.left(after, F.lit(width)), f"{LETTER}+$", "")).otherwise(after)
             return F.struct(
                 F.get(e, i - 1).alias("start"), F.get(e, i).alias("end"), F.get(parts, i).alias("value"),
                 F.concat(left, F.lit("\n"), right).alias("near"))
@@ -101,47 +105,86 @@ def _by_kind(kinds, of) -> Column:
 
 
 def _entities(spans: DataFrame) -> DataFrame:
-    """``doc_id, entity, near``: one row per span. An entity is a kind and what is written, less case and separators."""
+    """``doc_id, copy, entity, near``: one row per span; ``copy`` is a hash of the text. An entity is a kind and what is written, less case and separators."""
     plain = lambda k, v: F.lower(v) if k in ("email", "ip") else F.regexp_replace(v, "[^0-9]", "")
     each = _by_kind(KINDS, lambda k, s: F.struct(
         F.concat(F.lit(k + ":"), plain(k, s.getField("value"))).alias("entity"), s.getField("near").alias("near")))
-    return spans.select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.entity", "e.near")
+    return spans.select("doc_id", F.xxhash64("text").alias("copy"), F.explode(each).alias("e")).select("doc_id", "copy", "e.entity", "e.near")
+
+
+def _terms(text: Column) -> Column:
+    """The candidate terms of a text as they are written, one for each occurrence."""
+    pairs = F.when(text.rlike(UNSPACED), F.regexp_extract_all(text, F.lit(PAIR), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), pairs)
 
 
 def disclosing_terms(
-    docs: DataFrame, threshold: float = 0.9, support: int = 3, doc_id: str = "doc_id", text: str = "text",
+    docs: DataFrame, threshold: float = 0.9, chance: float = 0.05, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """``entity, term, disclosure``: terms that reveal an entity by ``threshold`` of its information or more.
 
     disclosure = PMI(entity; term) / IC(entity) = (log p(e | t) - log p(e)) / -log p(e), where p(e) is
     the share of the corpus's words that stand at e, and p(e | t) the share of t's occurrences that
-    stand near e. Counts cover all documents. A pair needs ``support`` different surroundings, so
-    that copies of one passage count once. Common words reveal nothing, however often they occur.
+    stand near e. Counts cover all documents. Copies are collapsed first: equal texts count once, and
+    so do equal surroundings of an entity. Common words reveal nothing, however often they occur.
+
+    A pair must not be one that chance brings about: of all terms as rare as t, fewer than ``chance``
+    may be expected in as many surroundings of e as t is, if words stood at random places. How often
+    e is seen is part of that: near an entity seen once, a term counts if the corpus has few words as
+    rare; two surroundings do in nearly any corpus.
     """
-    spans = found(docs, doc_id, text)
-    near = _entities(spans).select("entity", F.xxhash64("near").alias("around"), F.explode(F.regexp_extract_all(F.lower("near"), F.lit(TERM), F.lit(0))).alias("term"))
-    every = F.lit(float(max((docs.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0) // CHARS, 2)))
-    together = stored(
-        near.groupBy("entity", "term", "around").agg(F.count("*").alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("surroundings")), "pii-together")
-    held = _entities(spans).groupBy("entity").agg(F.log(F.least(F.lit(0.5), F.count("*") / every)).alias("alone"))
+    body = F.col(f"`{text}`")
+    copies = docs.groupBy(F.xxhash64(F.coalesce(body, F.lit(""))).alias("of")).agg((1 / F.count("*")).alias("weight")).where("weight < 1")
+    copies = sized(stored(copies, "pii-copies"), MOST_TERMS)
+    weighted = lambda df: df.join(copies, F.col("copy") == F.col("of"), "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).drop("of")
+    mentions = weighted(_entities(found(docs, doc_id, text))).withColumn("around", F.xxhash64("near"))
+    mentions = stored(mentions.groupBy("entity", "around", "near").agg(F.sum("weight").alias("weight")), "pii-mentions")
+    texts = weighted(docs.select(F.xxhash64(F.coalesce(body, F.lit(""))).alias("copy"), body.alias("text")))
+    n_chars = texts.agg(F.sum(F.length("text") * F.col("weight"))).first()[0] or 0
+    every = F.lit(float(max(n_chars // CHARS, 2)))
+    # counted in each task before anything else, so that no later step sees single occurrences
+    each = texts.select("weight", F.explode(_terms(F.col("text"))).alias("term"))
+    counts = each.groupBy(F.xxhash64(F.lower("term")).alias("key")).agg(F.round(F.sum("weight")).cast("long").alias("n_term"))
+    counts = stored(counts, "pii-counts")
+    # what addresses themselves are made of stands at an entity, not near one
+    parts = mentions.where("entity like 'email:%'").select("weight", F.explode(_terms(F.substring("entity", 7, 1 << 20))).alias("term"))
+    inside = parts.groupBy(F.xxhash64("term").alias("key")).agg(F.round(F.sum("weight")).cast("long").alias("inside"))
+
+    near = mentions.select("entity", "around", "weight", F.explode(_terms(F.col("near"))).alias("term")).withColumn("term", F.lower("term"))
+    near = near.groupBy("entity", "term", "around").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    together = stored(near.groupBy("entity", "term").agg(
+        F.sum("n").alias("together"), F.sum("weight").alias("copied"), F.count("*").alias("surroundings")), "pii-together")
+    held = mentions.groupBy("entity").agg(F.log(F.least(F.lit(0.5), F.count("*") / every)).alias("alone"))
+    held = held.join(together.groupBy("entity").agg(F.sum("together").alias("room")), "entity")
     disclosure = lambda given: (F.log(F.least(F.lit(1.0), given)) - F.col("alone")) / -F.col("alone")
+    # Occurrences of the term, with equal surroundings of the entity as one.
+    single = lambda n: F.greatest(F.col("together"), n - F.col("copied") + F.col("together"))
     # A term occurs at least half as often as it stands near entities, since one place has two at most
     # of a kind; pairs that could not reach the threshold even so need no count of the term.
-    spread = together.groupBy("term").agg(F.sum("together").alias("spread"))
-    least = F.col("spread") / (2 * len(KINDS))
-    pairs = together.where(F.col("surroundings") >= support).join(spread, "term").join(held, "entity")
-    pairs = stored(pairs.where(disclosure(F.col("together") / least) >= threshold).select("entity", "term", "together", "alone"), "pii-pairs")
-    terms = sized(pairs.select("term").distinct(), MOST_TERMS)
-    each = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit(TERM), F.lit(0))).alias("term"))
-    # counted in each task before anything else, so that no later step sees single occurrences
-    counts = each.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term", "left_semi")
-    out = pairs.join(counts, "term").withColumn("disclosure", disclosure(F.col("together") / F.col("n_term")))
-    return out.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+    spread = together.groupBy("term").agg(F.sum("copied").alias("spread"))
+    pairs = together.join(spread, "term").join(held, "entity").where(disclosure(F.col("together") / single(F.col("spread") / (2 * len(KINDS)))) >= threshold)
+    pairs = stored(pairs.drop("spread").withColumn("key", F.xxhash64("term")), "pii-pairs")
+    wanted = sized(pairs.select("key").distinct(), MOST_TERMS)
+    outside = counts.join(wanted, "key", "left_semi").join(inside, "key", "left").withColumn("n_term", F.col("n_term") - F.coalesce("inside", F.lit(0)))
+    out = pairs.join(outside, "key").withColumn("n_term", single(F.col("n_term")))
+    # Occurrences of terms with up to 1, 2, 4, 8, ... of them.
+    places, total = [], 0
+    power = lambda n: F.ceil(F.log2(n)).cast("int")
+    by_power = {r["power"]: r["n"] for r in counts.where("n_term > 0").groupBy(power(F.col("n_term")).alias("power")).agg(F.sum("n_term").alias("n")).collect()}
+    for k in range(64):
+        total += by_power.get(k, 0)
+        places.append(float(max(total, 1)))
+    k = F.col("surroundings")
+    ways = F.greatest(F.log(F.factorial(F.least(k, F.lit(20)).cast("int"))), k * F.log(k) - k)
+    # sum over the terms of (their occurrences * share of all terms that stand near e) ^ k / k!, which
+    # is at least the expected number
+    by_chance = F.log(F.get(F.lit(places), power("n_term"))) + (k - 1) * F.log("n_term") + k * F.log(F.col("room") / max(total, 1)) - ways
+    out = out.withColumn("disclosure", disclosure(F.col("together") / F.col("n_term")))
+    return out.where((F.col("disclosure") >= threshold) & (by_chance < F.log(F.lit(float(chance))))).select("entity", "term", "disclosure")
 
 
 def personal_data(
-    docs: DataFrame, threshold: float = 0.9, support: int = 3, doc_id: str = "doc_id", text: str = "text",
+    docs: DataFrame, threshold: float = 0.9, chance: float = 0.05, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` in a struct ``row``, with arrays of spans ``email, ip, card, phone, term``.
 
@@ -150,7 +193,7 @@ def personal_data(
     count as one id. An empty table gives no rows.
     """
     spans = found(docs, doc_id, text)
-    terms = stored(disclosing_terms(docs, threshold, support, doc_id, text).select("entity", "term"), "pii-terms")
+    terms = stored(disclosing_terms(docs, threshold, chance, doc_id, text).select("entity", "term"), "pii-terms")
     none = F.array().cast(f"array<{SPAN}>")
     if terms.isEmpty():
         return spans.withColumn("term", none)
@@ -158,7 +201,11 @@ def personal_data(
     by_doc = held.join(sized(terms, MOST_TERMS), "entity").groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_set("term")).alias("terms"))
     by_doc = sized(stored(by_doc, "pii-documents"), MOST_DOCUMENTS)
     joined = spans.join(by_doc, F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
+    # words as a whole; of the other scripts, all letters under a term
+    one_of = lambda kind: F.array_join(F.filter("terms", lambda t: t.rlike(f"^{UNSPACED}") if kind else ~t.rlike(f"^{UNSPACED}")), "|")
+    words = F.when(one_of(False) != "", F.concat(F.lit(f"(?<!{LETTER})(?:"), one_of(False), F.lit(f")(?!{LETTER})")))
+    runs = F.when(one_of(True) != "", F.concat(F.lit("(?:(?="), one_of(True), F.lit(f"){UNSPACED})+{UNSPACED}")))
+    pattern = F.concat(F.lit("(?iu)"), F.concat_ws("|", words, runs))
     masked = _spans(F.col("text"), pattern, None, lambda v: F.lit(True))
     return joined.withColumn("term", F.when(F.size("terms") > 0, masked).otherwise(none)).drop("terms")
 
