@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import units
 from .common import in_small_batches, sized, stored
 
-#: Positions are packed as text number, start, windows: 19, 36 and 8 bits.
+#: Positions are packed as start, windows: 36 and 8 bits.
 START_BITS, COUNT_BITS = 36, 8
 LAST = (1 << 63) - 1
 #: List entries up to which a table with one row per document is broadcast.
@@ -48,11 +48,6 @@ class Windows:
         return units.word_hashes(data, starts, ends), rows, starts, ends
 
 
-def text_numbers(values: np.ndarray, bounds: np.ndarray, running: np.ndarray) -> np.ndarray:
-    """19 bits of a hash of each row's units: tells texts apart that share an id."""
-    return (units.spans(running, 1, bounds[:-1], bounds[1:]) >> units.U64(45)).astype(np.int64)
-
-
 def pieces_of(values: np.ndarray, bounds: np.ndarray, w: Windows, whole: bool = True):
     """Anchor hash, piece hash, row, start and number of windows of each piece of a block.
 
@@ -79,12 +74,14 @@ def pieces_of(values: np.ndarray, bounds: np.ndarray, w: Windows, whole: bool =
     if not whole:
         return seeds[anchor[first]]
     piece = units.spans(units.sums(values, 2), 2, start, start + n - 1 + w.length)
-    place = (text_numbers(values, bounds, running)[row] << (START_BITS + COUNT_BITS)) | ((start - bounds[:-1][row]) << COUNT_BITS) | n
+    place = ((start - bounds[:-1][row]) << COUNT_BITS) | n
     return seeds[anchor[first]], piece, row, place
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return in_small_batches(docs).select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    """``doc_id, number, text``. A text is known by its id and its number, a 64-bit hash of it."""
+    return in_small_batches(docs).select(
+        F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(f"`{text}`").alias("number"), F.col(f"`{text}`").alias("text"))
 
 
 def _anchors(docs: DataFrame, w: Windows) -> DataFrame:
@@ -102,27 +99,30 @@ def _anchors(docs: DataFrame, w: Windows) -> DataFrame:
 def _occurrences(docs: DataFrame, w: Windows) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id"))
+            ids, numbers = np.asarray(batch.column("doc_id")), np.asarray(batch.column("number"))
             for at, data, bounds in units.blocks(batch, "text"):
                 values, rows, _, _ = w.units(data, bounds)
                 found = pieces_of(values, rows, w)
                 if found is not None:
                     h, ph, row, place = found
-                    yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ph.view(np.int64)), pa.array(ids[at + row]), pa.array(place)], ["h", "ph", "doc_id", "place"])
+                    yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ph.view(np.int64)), pa.array(ids[at + row]), pa.array(numbers[at + row]), pa.array(place)], ["h", "ph", "doc_id", "number", "place"])
 
-    return docs.mapInArrow(run, "h long, ph long, doc_id long, place long")
+    return docs.mapInArrow(run, "h long, ph long, doc_id long, number long, place long")
 
 
 def _requested(docs: DataFrame, wanted: DataFrame, columns: str, w: Windows, opened: Callable) -> DataFrame:
     """What ``opened`` makes of each wanted piece, read from the text that holds it first: ``h, ph`` and ``columns``.
 
-    ``wanted`` has one row per piece, with ``doc_id, place``. The pieces of those texts are cut again,
+    ``wanted`` has one row per piece, with ``doc_id, number, place``. Of rows with one id and one text
+    one is read. The pieces of those texts are cut again,
     which is cheaper than to carry their hashes there.
     """
-    lists = wanted.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("place").alias("places"))
-    joined = _by_document(docs, stored(lists, "piece-requests"), "places", "inner").select("doc_id", "text", "places")
+    lists = wanted.groupBy(F.col("doc_id").alias("of"), F.col("number").alias("of_number")).agg(F.collect_list("place").alias("places"))
+    joined = _by_document(docs, stored(lists, "piece-requests"), "places", "inner").select("doc_id", "number", "text", "places")
+    if not docs.groupBy("doc_id", "number").count().where("count > 1").isEmpty():
+        joined = joined.dropDuplicates(["doc_id", "number"])
+    joined = joined.select("doc_id", "text", "places")
     names = ["h", "ph", *[c.split()[0] for c in columns.split(", ")]]
-    low = (1 << (START_BITS + COUNT_BITS)) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,11 +136,10 @@ def _requested(docs: DataFrame, wanted: DataFrame, columns: str, w: Windows, ope
                 h, ph, row, place = found
                 asked = flat[offsets[at]:offsets[at + len(bounds) - 1]]
                 asked_row = units.row_of(offsets[at:at + len(bounds)])
-                mine = (asked >> (START_BITS + COUNT_BITS)) == text_numbers(values, rows, units.sums(values, 1))[asked_row]
-                keys = (asked_row[mine] << (START_BITS + COUNT_BITS)) | (asked[mine] & low)
-                pick = np.isin((row << (START_BITS + COUNT_BITS)) | (place & low), keys)
+                keys = (asked_row << (START_BITS + COUNT_BITS)) | asked
+                pick = np.isin((row << (START_BITS + COUNT_BITS)) | place, keys)
                 if pick.any():
-                    start = ((place[pick] & low) >> COUNT_BITS) + rows[:-1][row[pick]]
+                    start = (place[pick] >> COUNT_BITS) + rows[:-1][row[pick]]
                     count = place[pick] & ((1 << COUNT_BITS) - 1)
                     more = opened(data, values, start, count, h[pick].view(np.int64), ph[pick].view(np.int64), ids[at + row[pick]])
                     yield pa.record_batch(more, names)
@@ -152,7 +151,8 @@ def _by_document(docs: DataFrame, lists: DataFrame, column: str, how: str) -> Da
     """Texts with their list. Lists are broadcast if all their entries together are few, else shuffled with the texts."""
     total = lists.agg(F.sum(F.size(column) + 2).alias("n")).first()["n"] or 0
     lists = F.broadcast(lists) if total <= MOST_ENTRIES else lists
-    return docs.join(lists, docs.doc_id == lists.of, how).drop("of")
+    same = (docs.doc_id == lists.of) & (docs.number == lists.of_number)
+    return docs.join(lists, same, how).drop("of", "of_number")
 
 
 def _window_hashes(values, start, count, w: Windows) -> np.ndarray:
@@ -201,42 +201,41 @@ def bucketed(rows: DataFrame, solve: Callable, size: int) -> DataFrame:
 def piece_groups(docs: DataFrame, w: Windows) -> tuple[DataFrame, DataFrame]:
     """All occurrences of pieces whose anchor occurs twice or more, and those pieces.
 
-    ``h, ph, doc_id, place`` and ``h, ph, n, doc_id, place, variants``: the number of occurrences, the
+    ``h, ph, doc_id, number, place`` and ``h, ph, n, doc_id, number, place, variants``: the number of occurrences, the
     first of them, and the number of different pieces of the anchor. Each is counted by an aggregate
     that combines before its shuffle, and joined by a join whose hot keys can be split.
     """
     again = sized(stored(_anchors(docs, w).groupBy("h").count().where("count > 1").select("h"), "repeated-anchors"), MOST_ANCHORS)
     occurrences = stored(_occurrences(docs, w).join(again, "h", "left_semi"), "piece-occurrences")
-    pieces = occurrences.groupBy("h", "ph").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first"))
+    pieces = occurrences.groupBy("h", "ph").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "number", "place")).alias("first"))
     pieces = stored(pieces.select("h", "ph", "n", "first.*"), "pieces")
     variants = pieces.groupBy("h").agg(F.count("*").alias("variants")).where("variants > 1")
     return occurrences, pieces.join(variants, "h", "left")
 
 
 def runs_by_document(found: DataFrame, w: Windows) -> DataFrame:
-    """Maximal runs of units under repeated windows: ``of, runs``, an array of text number, from, to.
+    """Maximal runs of units under repeated windows of each text: ``of, of_number, runs``, an array of from, to.
 
-    ``found`` has ``doc_id, place`` and ``ws``: the windows of the piece that are repeated, null for all.
+    ``found`` has ``doc_id, number, place`` and ``ws``: the windows of the piece that are repeated, null
+    for all. Rows with one id and one text give their runs once.
     """
     start = F.shiftright("place", COUNT_BITS).bitwiseAND((1 << START_BITS) - 1)
     count = F.col("place").bitwiseAND((1 << COUNT_BITS) - 1)
-    number = F.shiftright("place", START_BITS + COUNT_BITS)
-    run = lambda first, last: F.struct(number.alias("number"), (start + first).alias("from"), (start + last + w.length).alias("to"))
+    run = lambda first, last: F.struct((start + first).alias("from"), (start + last + w.length).alias("to"))
     each = F.when(F.col("ws").isNull(), F.array(run(F.lit(0), count - 1))).otherwise(F.transform("ws", lambda i: run(i, i)))
-    rows = found.select("doc_id", F.explode(each).alias("run"))
-    sorted_runs = F.sort_array(F.collect_list("run"))
-    kind = "array<struct<number:bigint,from:bigint,to:bigint>>"
+    rows = found.select("doc_id", "number", F.explode(each).alias("run"))
+    sorted_runs = F.sort_array(F.collect_set("run"))
+    kind = "array<struct<from:bigint,to:bigint>>"
 
     def merge(acc, x):
         last = F.get(acc, F.size(acc) - 1)
-        joins = (last.getField("number") == x.getField("number")) & (last.getField("to") >= x.getField("from"))
-        longer = F.struct(x.getField("number").alias("number"), last.getField("from").alias("from"), F.greatest(last.getField("to"), x.getField("to")).alias("to"))
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
+        longer = F.struct(last.getField("from").alias("from"), F.greatest(last.getField("to"), x.getField("to")).alias("to"))
+        return F.when(F.coalesce(last.getField("to") >= x.getField("from"), F.lit(False)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
 
-    grouped = rows.groupBy(F.col("doc_id").alias("of")).agg(sorted_runs.alias("sorted"))
-    merged = grouped.select("of", F.aggregate("sorted", F.array().cast(kind), merge).alias("runs"))
-    flat = F.flatten(F.transform("runs", lambda r: F.array(r.getField("number"), r.getField("from"), r.getField("to"))))
-    return stored(merged.select("of", flat.alias("runs")), "repeat-runs")
+    grouped = rows.groupBy(F.col("doc_id").alias("of"), F.col("number").alias("of_number")).agg(sorted_runs.alias("sorted"))
+    merged = grouped.select("of", "of_number", F.aggregate("sorted", F.array().cast(kind), merge).alias("runs"))
+    flat = F.flatten(F.transform("runs", lambda r: F.array(r.getField("from"), r.getField("to"))))
+    return stored(merged.select("of", "of_number", flat.alias("runs")), "repeat-runs")
 
 
 def without_runs(docs: DataFrame, runs: DataFrame, w: Windows, columns: str, finish: Callable) -> DataFrame:
@@ -253,12 +252,10 @@ def without_runs(docs: DataFrame, runs: DataFrame, w: Windows, columns: str, fin
             ids, lists, out = batch.column("doc_id").to_pylist(), batch.column("runs").to_pylist(), []
             for at, data, bounds in units.blocks(batch, "text"):
                 values, rows, starts, ends = w.units(data, bounds)
-                numbers = text_numbers(values, rows, units.sums(values, 1)) if len(rows) > 1 else []
                 for i in range(len(bounds) - 1):
                     n = rows[i + 1] - rows[i]
                     removed = np.zeros(n, bool)
-                    mine = np.array(lists[at + i] or [], np.int64).reshape(-1, 3)
-                    for _, lo, hi in mine[mine[:, 0] == numbers[i]]:
+                    for lo, hi in np.array(lists[at + i] or [], np.int64).reshape(-1, 2):
                         removed[lo:hi] = True
                     own = slice(rows[i], rows[i + 1])
                     begin, end = (None, None) if starts is None else (starts[own] - bounds[i], ends[own] - bounds[i])

@@ -41,7 +41,7 @@ def extended(h, first, content) -> list[np.ndarray]:
 
 
 def later_repeats(docs: DataFrame, w: Windows) -> DataFrame:
-    """``doc_id, place, ws``: windows that a document with a smaller id has too.
+    """``doc_id, number, place, ws``: windows that a document with a smaller id has too.
 
     A later occurrence of a piece is repeated as a whole. Of the first one, each window is compared
     with the first document that has it in any piece of the same anchor.
@@ -65,7 +65,7 @@ def later_repeats(docs: DataFrame, w: Windows) -> DataFrame:
     firsts = stored(pieces.select("h", "ph", F.col("doc_id").alias("first")).join(earlier, ["h", "ph"], "left"), "piece-verdicts")
     found = occurrences.join(firsts, ["h", "ph"])
     later = F.col("doc_id") > F.col("first")
-    return found.where(later | F.col("ws").isNotNull()).select("doc_id", "place", F.when(~later, F.col("ws")).alias("ws"))
+    return found.where(later | F.col("ws").isNotNull()).select("doc_id", "number", "place", F.when(~later, F.col("ws")).alias("ws"))
 
 
 def keep_first(docs: DataFrame, length: int = 13, seed: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -110,7 +110,7 @@ def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
 
 
 def repeated_bytes(docs: DataFrame, w: Windows) -> DataFrame:
-    """``doc_id, place, ws``: windows that start somewhere else too.
+    """``doc_id, number, place, ws``: windows that start somewhere else too.
 
     A piece that occurs twice is repeated as a whole. One that occurs once is looked into where its
     anchor has other pieces. An anchor with more than ``MOST_PIECES`` of them could outgrow a bucket:
@@ -135,7 +135,7 @@ def repeated_bytes(docs: DataFrame, w: Windows) -> DataFrame:
     verdict = stored(pieces.select("h", "ph", F.col("n").alias("times")).join(found, ["h", "ph"], "left"), "piece-verdicts")
     marked = occurrences.join(verdict, ["h", "ph"])
     whole = F.col("times") > 1
-    return marked.where(whole | F.col("ws").isNotNull()).select("doc_id", "place", F.when(~whole, F.col("ws")).alias("ws"))
+    return marked.where(whole | F.col("ws").isNotNull()).select("doc_id", "number", "place", F.when(~whole, F.col("ws")).alias("ws"))
 
 
 COLUMNS = "n_bytes long, n_removed long, n_spans long"

@@ -1,8 +1,10 @@
 """Whole jobs: rare entities, rows without an id of their own."""
 
+import hashlib
 import random
 
-from flowloom.llm import pii
+import brute
+from flowloom.llm import pii, seed_extend, suffix
 
 
 def test_terms_near_rare_entities(spark):
@@ -33,3 +35,21 @@ def test_chance_neighbours_stay(spark):
     docs += [(600 + i, f"{prose(20)} Zebulon twice@corp.example {prose(20)}") for i in range(2)]
     terms = {(r.entity, r.term) for r in pii.disclosing_terms(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert terms == {("email:twice@corp.example", "zebulon")}
+
+
+def test_substring_many_texts_of_one_id(spark):
+    """Thousands of texts without an id, each with a repeat at a place of its own, and equal rows among them."""
+    rng = random.Random(10)
+    passage = " ".join(f"shared{i}" for i in range(40))
+    docs = []
+    for i in range(3000):
+        own = [f"w{rng.random()}" for _ in range(rng.randint(1, 30))]
+        docs.append((None if i % 3 else 7, " ".join(own) + " " + passage + " " + " ".join(own[:3])))
+    docs += [(None, "x " + passage)] * 300 + [(3, passage)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    plain = [(brute.LAST if d is None else d, t) for d, t in docs]
+    digest = lambda s: hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdigest()
+    named = lambda got: sorted((brute.LAST if r[0] is None else r[0], *r[1:]) for r in map(tuple, got.collect()))
+    op8 = seed_extend._kept(df, 13, 5, "doc_id", "text", "n_words long, n_removed long, kept_sha256 string", digest)
+    op3 = suffix._remaining(df, 200, 80, "doc_id", "text", suffix.COLUMNS + ", kept_sha256 string", digest)
+    assert named(op8) == sorted(brute.keep_first(plain)) and named(op3) == sorted(brute.remove_repeats(plain))
