@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.common import stored, table
 from flowloom.llm.decontaminate import clean_documents
-from flowloom.llm.jaccard_join import first_of_groups
+from flowloom.llm.jaccard_join import one_of_each_group
 from flowloom.llm.mixing import mixed_documents
 from flowloom.llm.pii import sanitised
 from flowloom.llm.quality import quality_filter
@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links on word shingles hold together: the one with the least id."""
-    return first_of_groups(docs)
+    return one_of_each_group(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

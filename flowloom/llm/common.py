@@ -48,6 +48,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A number per row, where ids may repeat or be missing.
+KEY = "flowloom row"
+
+
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """``df``, stored with a number of its own for each row in ``KEY``."""
+    return stored(df.withColumn(KEY, F.monotonically_increasing_id()), name)
+
+
 def sized(df: DataFrame, most: int) -> DataFrame:
     """``df``, marked for broadcast only if its rows have been counted and are ``most`` or fewer.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import units
-from .common import in_small_batches, query, sized, stored, table
+from .common import KEY, in_small_batches, keyed, query, sized, stored, table
 
 #: Positions left free between documents; more than a phrase and its slop can span.
 GAP = 1 << 10
@@ -213,10 +213,11 @@ def hit_counts(found: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **settings) -> DataFrame:
-    """The rows of ``docs`` without an exact hit. Rows that share an id go together."""
-    hit = hit_counts(contamination(docs, items, doc_id=doc_id, **settings)).where("n_hit > 0")
-    hit = sized(stored(hit.select(F.col("doc_id").alias("hit_id")).distinct(), "contaminated"), MOST_DOCUMENTS)
-    return docs.join(hit, docs[f"`{doc_id}`"].eqNullSafe(hit.hit_id), "left_anti")
+    """The rows of ``docs`` without an exact hit. Each row is judged by its own text, whatever its id ``doc_id``."""
+    rows = keyed(docs, "documents-to-clean")
+    hit = hit_counts(contamination(rows, items, doc_id=KEY, **settings)).where("n_hit > 0")
+    hit = sized(stored(hit.select(F.col("doc_id").alias(KEY)), "contaminated"), MOST_DOCUMENTS)
+    return rows.join(hit, KEY, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 OP5_SQL = r"""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import units
-from .common import in_small_batches, query, sized, stored, table
+from .common import KEY, in_small_batches, keyed, query, sized, stored, table
 from .graph import components
 
 U64 = np.uint64
@@ -275,7 +275,8 @@ def jaccard_groups(
 def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", **settings) -> DataFrame:
     """The rows of ``docs`` that bear the least id of their group; of rows that repeat an id, one.
 
-    Rows without an id cannot be told apart and all stay.
+    Rows without an id cannot be told apart and all stay. See ``one_of_each_group`` for rows whose ids
+    may repeat or be missing.
     """
     groups = jaccard_groups(docs, doc_id=doc_id, **settings)
     later = groups.where("component_id < doc_id").select(F.col("doc_id").alias("later_id"))
@@ -289,6 +290,22 @@ def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", **settings) -> Data
     return named.unionByName(kept.where(F.col(f"`{doc_id}`").isNull()))
 
 
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", **settings) -> DataFrame:
+    """One row of ``docs`` of each group: the one with the least id, null last; of equal ids, one of the rows.
+
+    Groups are of rows: different texts of one id, or without one, all stay, and near copies of each
+    other without an id leave one.
+    """
+    rows = keyed(docs, "documents-to-group")
+    groups = jaccard_groups(rows, doc_id=KEY, **settings).select(F.col("doc_id").alias(KEY), F.col("component_id").alias("of"))
+    ids = rows.select(KEY, F.col(f"`{doc_id}`").alias("id"))
+    groups = stored(groups.join(ids, KEY), "row-groups")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", KEY)).getField(KEY).alias(KEY)
+    firsts = groups.groupBy("of").agg(first).select(KEY)
+    gone = sized(stored(groups.select(KEY).join(firsts, KEY, "left_anti"), "later-rows"), MOST_IDS)
+    return rows.join(gone, KEY, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
 @query("op7_jaccard_join")
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))

@@ -4,7 +4,9 @@ import hashlib
 import random
 
 import brute
-from flowloom.llm import pii, seed_extend, suffix
+from pyspark.sql import functions as F
+
+from flowloom.llm import decontaminate, jaccard_join, mixing, pii, seed_extend, suffix
 
 
 def test_terms_near_rare_entities(spark):
@@ -53,3 +55,26 @@ def test_substring_many_texts_of_one_id(spark):
     op8 = seed_extend._kept(df, 13, 5, "doc_id", "text", "n_words long, n_removed long, kept_sha256 string", digest)
     op3 = suffix._remaining(df, 200, 80, "doc_id", "text", suffix.COLUMNS + ", kept_sha256 string", digest)
     assert named(op8) == sorted(brute.keep_first(plain)) and named(op3) == sorted(brute.remove_repeats(plain))
+
+
+def test_rows_decide_not_ids(spark):
+    """A third of the rows without an id, a third under one id: each row stays or goes by itself."""
+    rng = random.Random(11)
+    prose = lambda n: " ".join(f"w{rng.random()}" for _ in range(n))
+    ids = lambda i: (None, 7, i + 100)[i % 3]
+    docs = [(ids(i), prose(30), "ab"[i % 2]) for i in range(120)]
+    item = prose(10)
+    bad = [(ids(i), f"{prose(5)} {item} {prose(5)}", "a") for i in range(3)]
+    schema = "doc_id long, text string, source string"
+    key = lambda rows: sorted(map(repr, map(tuple, rows)))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.clean_documents(spark.createDataFrame(docs + bad, schema).repartition(3), bench)
+    assert kept.columns == ["doc_id", "text", "source"] and key(kept.collect()) == key(docs)
+    copies = [(None, docs[0][1], "a"), (None, docs[0][1] + " more", "b"), (7, docs[1][1], "a"), (5, docs[2][1] + " more", "a")]
+    got = jaccard_join.one_of_each_group(spark.createDataFrame(docs + copies, schema).repartition(3)).collect()
+    assert len(got) == len(docs) and sorted(r.text.split()[0] for r in got) == sorted(d[1].split()[0] for d in docs)
+    assert copies[3] in [tuple(r) for r in got] and docs[2] not in [tuple(r) for r in got]
+    df = spark.createDataFrame(docs, schema).repartition(3)
+    taken = mixing.mix(df).agg(F.sum("taken")).first()[0]
+    out = mixing.mixed_documents(df).collect()
+    assert sum(r.copies * len(r.text.split()) for r in out) == taken and len(out) <= len(docs)
