@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .common import ORACLES, QUERIES
-from . import chat, decontaminate, jaccard_join, language, mixing, negatives, pii, quality, seed_extend, suffix, token_count, trie  # noqa: F401
+from . import chat, context_mixing, decontaminate, jaccard_join, language, mixing, negatives, pii, quality, seed_extend, suffix, token_count, trie  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
