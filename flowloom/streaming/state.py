@@ -1,4 +1,10 @@
-"""Keyed state of the live pipeline: flow enrichment and per-source buffers."""
+"""Keyed state of the live pipeline: flow enrichment and per-source buffers.
+
+Two clocks. *Event time* belongs to each key: a row that lies more than ``delay`` behind the latest row of
+its key is late; it is not put into the key's state, but it comes out all the same, marked, so that no flow
+is lost. *Arrival time* is what the watermark follows: it says how long a key has been idle, and timers on
+it evict the key. It only grows from batch to batch, so Spark has no row to drop.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +23,10 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 KINDS = {"http": HTTP, "tls": TLS, "dns": DNS}
 #: Groups per key that rows without state are spread over.
 SPREAD = 256
+#: Column of arrival times, and by how much a later batch may lie behind an earlier one.
+ARRIVAL, SLACK = "arrival_ts", "60 seconds"
+#: What a row is besides an ordinary one: behind its key's clock, or a key given up by a timer.
+LATE, EVICTED = "late", "evicted"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -38,6 +48,17 @@ def in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     return batch.sort_values(["us", "seq"], kind="stable").itertuples(index=False)
 
 
+def behind(delay: str) -> int:
+    """An interval such as "300 seconds" in microseconds."""
+    return int(pd.Timedelta(delay).total_seconds() * 1_000_000)
+
+
+def with_arrival(events: DataFrame, arrival: str | None) -> DataFrame:
+    """The watermark on arrival: a column of the events, or the time of the micro-batch."""
+    at = F.current_timestamp() if arrival is None else F.col(arrival).cast("timestamp")
+    return events.withColumn(ARRIVAL, at).withWatermark(ARRIVAL, SLACK)
+
+
 def forget_timers(handle: StatefulProcessorHandle) -> None:
     for timer in list(handle.listTimers()):
         handle.deleteTimer(timer)
@@ -47,28 +68,47 @@ class EnrichProcessor(StatefulProcessor):
     """First http, tls and dns record per id, consumed by the next flow.
 
     An entry lives ``timeout_s`` of event time from its first record: older
-    entries are ignored when a row arrives and evicted by a timer.
+    entries are ignored when a row arrives. The id's latest event time outlives
+    the entry; rows more than ``delay_us`` behind it are late, and late flows
+    come out without records. Ids without a row for ``timeout_s`` of arrival
+    time are evicted, with a row that says so.
     """
 
-    def __init__(self, timeout_s: float):
-        self.timeout_us = int(timeout_s * 1_000_000)
+    columns = [ARRIVAL, "body", "note", *ENRICHED.values()]
+
+    def __init__(self, timeout_s: float, delay_us: int):
+        self.timeout_us, self.delay_us = int(timeout_s * 1_000_000), delay_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entry = handle.getValueState("entry", "us long, http string, tls string, dns string")
+        self.entry = handle.getValueState(
+            "entry", "clock long, us long, http string, tls string, dns string"
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[1]:  # rows without a usable id: nothing to keep
+            yield pd.DataFrame(
+                [(row.arrival_ts, row.body, None, None, None, None) for row in in_order(rows)],
+                columns=self.columns,
+            )
+            return
         # Every state call is a round trip to the JVM: none without a reason.
-        stored, entry, out = self.entry.exists(), None, []
+        stored, entry, out, clock, seen = self.entry.exists(), None, [], None, None
         if stored:
-            us, *records = self.entry.get()
-            entry = {"us": us, **dict(zip(RECORD_TYPES, records))}
+            clock, us, *records = self.entry.get()
+            entry = None if us is None else {"us": us, **dict(zip(RECORD_TYPES, records))}
         for row in in_order(rows):
+            seen = row.arrival_ts if seen is None else max(seen, row.arrival_ts)
+            is_flow = row.event_type == "flow"
+            if clock is not None and row.us < clock - self.delay_us:
+                out.append((row.arrival_ts, row.body if is_flow else None, LATE, None, None, None))
+                continue
+            clock = int(row.us) if clock is None else max(clock, int(row.us))
             if entry is not None and row.us - entry["us"] > self.timeout_us:
                 entry = None
-            if row.event_type == "flow":
+            if is_flow:
                 found = entry or {}
-                out.append((row.ts, row.body, *[found.get(k) for k in RECORD_TYPES]))
+                out.append((row.arrival_ts, row.body, None, *[found.get(k) for k in RECORD_TYPES]))
                 entry = None
             else:
                 entry = entry or {"us": int(row.us), **dict.fromkeys(RECORD_TYPES)}
@@ -76,16 +116,15 @@ class EnrichProcessor(StatefulProcessor):
                     entry[row.event_type] = row.record
         if stored:
             forget_timers(self.handle)
-        if entry is not None:
-            self.entry.update((entry["us"], *[entry[k] for k in RECORD_TYPES]))
-            self.handle.registerTimer((entry["us"] + self.timeout_us) // 1000 + 1)
-        elif stored:
-            self.entry.clear()
-        yield pd.DataFrame(out, columns=["ts", "body", *ENRICHED.values()])
+        held = entry or dict.fromkeys(("us", *RECORD_TYPES))
+        self.entry.update((clock, held["us"], *[held[k] for k in RECORD_TYPES]))
+        self.handle.registerTimer(int(seen.timestamp() * 1000) + self.timeout_us // 1000)
+        yield pd.DataFrame(out, columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.entry.clear()
-        yield pd.DataFrame(columns=["ts", "body", *ENRICHED.values()])
+        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        yield pd.DataFrame([(at, None, EVICTED, None, None, None)], columns=self.columns)
 
     def close(self) -> None:
         pass
@@ -100,10 +139,20 @@ JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 def stream_enrich(
     events: DataFrame, timeout_s: float = 300, ts: str = "timestamp", delay: str = "300 seconds",
+    arrival: str | None = None, with_notes: bool = False, name: str = "enrichment",
 ) -> DataFrame:
     """Streaming twin of :func:`flowloom.operators.enrich.enrich_flows`.
 
-    ``seq`` must be present. Rows without a usable id are spread, not stored.
+    ``seq`` must be present. Every flow comes out once: ``late`` tells the
+    flows more than ``delay`` behind the latest row of their id, which have no
+    records attached; late records attach to nothing. Rows without a usable id
+    are spread, have no clock and are never late.
+
+    ``arrival`` names a column that grows from batch to batch (the default is
+    the time of the micro-batch); an id without rows for ``timeout_s`` of it is
+    forgotten. The numbers of late flows, late records and forgotten ids are
+    metrics of the query under ``name``; ``with_notes`` keeps the rows behind
+    the last two, with no columns but ``note``.
     """
     use_rocksdb(events.sparkSession)
     usable = F.col("flow_id").isNotNull() & (F.col("flow_id") != 0)
@@ -113,126 +162,198 @@ def stream_enrich(
     record = F.coalesce(*[
         F.when(F.col("event_type") == k, F.coalesce(F.to_json(k), F.lit("{}"))) for k in RECORD_TYPES
     ])
-    lone = F.when(usable, F.lit(0)).otherwise(spread())
-    packed = events.where(wanted).select(
-        F.struct(F.col("flow_id"), lone.alias("lone")).alias("k"),
-        F.col(ts).alias("ts"), F.unix_micros(ts).alias("us"), F.col("seq"), "event_type",
-        F.to_json(F.struct(*events.columns), JSON_TIME).alias("body"), record.alias("record"),
-    ).select("k.*", "ts", "us", "seq", "event_type", "body", "record")
+    kept = events.where(wanted)
+    body = F.to_json(F.struct(*events.columns), JSON_TIME)
+    packed = with_arrival(kept.select(
+        F.struct(F.col("flow_id"), F.when(usable, F.lit(0)).otherwise(spread()).alias("lone")).alias("k"),
+        *([F.col(arrival)] if arrival else []), F.unix_micros(ts).alias("us"), F.col("seq"),
+        "event_type", body.alias("body"), record.alias("record"),
+    ), arrival).select("k.*", ARRIVAL, "us", "seq", "event_type", "body", "record")
     layout = T.StructType([
-        T.StructField("ts", T.TimestampType()), T.StructField("body", T.StringType()),
+        T.StructField(ARRIVAL, T.TimestampType()), T.StructField("body", T.StringType()),
+        T.StructField("note", T.StringType()),
         *[T.StructField(c, T.StringType()) for c in ENRICHED.values()],
     ])
     out = (
-        packed.withWatermark("ts", delay).groupBy("flow_id", "lone")
+        packed.groupBy("flow_id", "lone")
         .transformWithStateInPandas(
-            statefulProcessor=EnrichProcessor(timeout_s), outputStructType=layout,
-            outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts",
+            statefulProcessor=EnrichProcessor(timeout_s, behind(delay)), outputStructType=layout,
+            outputMode="Append", timeMode="EventTime", eventTimeColumnName=ARRIVAL,
         )
     )
     schema = _event_schema(events)
-    return out.select(
-        F.from_json("body", schema, JSON_TIME).alias("e"), F.col("ts").alias("event_ts"),
+    note = F.col("note")
+    out = out.observe(
+        name, F.count_if((note == LATE) & F.col("body").isNotNull()).alias("late_flows"),
+        F.count_if((note == LATE) & F.col("body").isNull()).alias("late_records"),
+        F.count_if(note == EVICTED).alias("evicted"),
+    )
+    if not with_notes:
+        out = out.where(F.col("body").isNotNull())
+    typed = out.select(
+        F.from_json("body", schema, JSON_TIME).alias("e"), ARRIVAL, "note",
+        F.coalesce(note == LATE, F.lit(False)).alias("late"),
         *[F.from_json(c, KINDS[k]).alias(c) for k, c in ENRICHED.items()],
-    ).select("e.*", "event_ts", *ENRICHED.values())
+    )
+    return typed.select(
+        "e.*", F.col(f"e.{ts}").alias("event_ts"), ARRIVAL, "late", *ENRICHED.values(),
+        *(["note"] if with_notes else []),
+    )
+
+
+#: What a buffered row keeps for the behaviour values.
+ITEM = T.StructType([
+    T.StructField("us", T.LongType()), T.StructField("dest_ip", T.StringType()),
+    T.StructField("dest_port", T.IntegerType()), T.StructField("total_bytes", T.LongType()),
+    T.StructField("dns_queries", T.ArrayType(T.StringType())),
+    T.StructField("http_uri", T.StringType()), T.StructField("tls_sni", T.StringType()),
+])
+FEATURES = T.StructField("features", T.ArrayType(T.FloatType()))
 
 
 class BufferProcessor(StatefulProcessor):
     """The last ``size`` rows per source, emptied by a long gap.
 
-    Every row comes out with the buffer after it. ``fire="clear"`` empties the
-    buffer once it is full, so full windows do not overlap. Rows flagged
-    ``fast`` pass through. Idle sources are evicted by a timer.
+    Every row comes out with the buffer after it; without ``partial``, only
+    with a full one. ``fire="clear"`` empties the buffer once it is full, so
+    full windows do not overlap. Rows flagged ``fast`` pass through, and so do
+    late ones: those flagged, and those more than ``delay_us`` behind the
+    source's latest row. A source without a row for ``gap_s`` of arrival time
+    is evicted, with a row that says so.
+
+    The buffer is a list of typed items. Rows of a micro-batch are appended to
+    it; it is written anew only where old ones have to go.
     """
 
-    def __init__(self, size: int, gap_s: float, fire: str):
+    columns = [ARRIVAL, "body", "note", "window", "window_rows"]
+
+    def __init__(self, size: int, gap_s: float, fire: str, delay_us: int, partial: bool,
+                 layout: T.StructType):
         if fire not in ("slide", "clear"):
             raise ValueError("fire must be 'slide' or 'clear'")
         self.size, self.gap_us, self.clears = size, int(gap_s * 1_000_000), fire == "clear"
+        self.delay_us, self.partial, self.layout = delay_us, partial, layout
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getValueState("buffer", "us long, items array<string>")
+        self.clock = handle.getValueState("clock", "clock long, last long")
+        self.items = handle.getListState("items", self.layout)
+
+    def item(self, row) -> tuple:
+        """The row's values, with missing numbers and lists as None."""
+        def plain(field: T.StructField):
+            x = getattr(row, field.name)
+            if isinstance(field.dataType, T.ArrayType):
+                return None if x is None else [
+                    float(v) if field is FEATURES or field.name == "features" else v for v in x
+                ]
+            if x is None or x != x:
+                return None
+            return x if isinstance(field.dataType, T.StringType) else int(x)
+
+        return tuple(plain(f) for f in self.layout)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch, out = list(in_order(rows)), []
+
+        def passed(row):
+            return (row.arrival_ts, row.body, LATE if row.late else None, [], 0)
+
         if all(row.fast for row in batch):
-            out = [(row.ts, row.body, "[]", 0) for row in batch]
-            yield pd.DataFrame(out, columns=["ts", "body", "window", "window_rows"])
+            yield pd.DataFrame([passed(row) for row in batch], columns=self.columns)
             return
-        stored, last, kept = self.buffer.exists(), None, []
-        if stored:
-            last, items = self.buffer.get()
-            kept = list(items)
+        stored = self.clock.exists()
+        clock, last = self.clock.get() if stored else (None, None)
+        kept = [tuple(i) for i in self.items.get()] if stored and self.items.exists() else []
+        held, fresh, seen = len(kept), 0, None  # the first ``held`` items are in the list state
+        names = self.layout.names
         for row in batch:
-            if row.fast:
-                out.append((row.ts, row.body, "[]", 0))
+            seen = row.arrival_ts if seen is None else max(seen, row.arrival_ts)
+            late = row.late or (clock is not None and row.us < clock - self.delay_us)
+            if row.fast or late:
+                out.append((row.arrival_ts, row.body, LATE if late else None, [], 0))
                 continue
+            clock = int(row.us) if clock is None else max(clock, int(row.us))
             if last is not None and row.us - last > self.gap_us:
-                kept = []
-            kept = [*kept, row.item][-self.size:]
-            last = int(row.us)
-            out.append((row.ts, row.body, "[" + ",".join(kept) + "]", len(kept)))
-            if self.clears and len(kept) == self.size:
-                kept, last = [], None
-        if stored:
-            forget_timers(self.handle)
-        if kept:
-            self.buffer.update((last, kept))
-            self.handle.registerTimer((last + self.gap_us) // 1000 + 1)
-        elif stored:
-            self.buffer.clear()
-        yield pd.DataFrame(out, columns=["ts", "body", "window", "window_rows"])
+                kept, held = [], -1
+            kept, last = [*kept, self.item(row)], int(row.us)
+            if len(kept) > self.size:
+                kept, held = kept[1:], -1
+            full = len(kept) == self.size
+            window = [dict(zip(names, i)) for i in kept] if full or self.partial else []
+            out.append((row.arrival_ts, row.body, None, window, len(kept)))
+            if self.clears and full:
+                kept, held, last = [], -1, None
+        if clock is not None:
+            self.clock.update((clock, last))
+            if held < 0 or not stored:
+                self.items.clear()
+                held = 0
+            if kept[held:]:
+                self.items.appendList(kept[held:])
+            if stored:
+                forget_timers(self.handle)
+            self.handle.registerTimer(int(seen.timestamp() * 1000) + self.gap_us // 1000)
+        yield pd.DataFrame(out, columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.buffer.clear()
-        yield pd.DataFrame(columns=["ts", "body", "window", "window_rows"])
+        self.clock.clear()
+        self.items.clear()
+        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        yield pd.DataFrame([(at, None, EVICTED, [], 0)], columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
-#: What a buffered row keeps for the behaviour values.
-ITEM = T.StructType([
-    T.StructField("us", T.LongType()), T.StructField("dest_ip", T.StringType()),
-    T.StructField("dest_port", T.IntegerType()), T.StructField("total_bytes", T.LongType()),
-    T.StructField("dns_queries", T.ArrayType(T.StringType())),
-    T.StructField("http_uri", T.StringType()), T.StructField("tls_sni", T.StringType()),
-])
-
-
 def stream_windows(
     flows: DataFrame, key: str = "src_ip", ts: str = "event_ts", size: int = WINDOW_SIZE,
     gap_s: float = SESSION_GAP_S, fire: str = "slide", fast: str | None = None,
-    with_features: bool = False, delay: str | None = None,
+    with_features: bool = False, delay: str = "300 seconds", partial: bool = True,
+    with_notes: bool = False, name: str = "windows",
 ) -> DataFrame:
     """Flow rows with ``rows`` (the source's buffer) and ``window_rows``.
 
-    Rows with fewer than ``size`` buffered flows are provisional. ``fast``
-    names a boolean column of rows that skip the buffer; they are spread over
-    tasks instead of meeting at their source.
+    Rows with fewer than ``size`` buffered flows are provisional; without
+    ``partial`` they carry no buffer. ``fast`` names a boolean column of rows
+    that skip the buffer; they are spread over tasks instead of meeting at
+    their source. Late rows (a column ``late`` of the input, or more than
+    ``delay`` behind the source's latest row) skip it too, with ``late`` set
+    and no buffer. The numbers of late rows and of evicted sources are metrics
+    of the query under ``name``; ``with_notes`` keeps the rows of evictions,
+    with no columns but ``note`` and, the source being gone, no key.
     """
     use_rocksdb(flows.sparkSession)
-    quick = F.col(fast) if fast else F.lit(False)
-    item = T.StructType(ITEM.fields + (
-        [T.StructField("features", T.ArrayType(T.FloatType()))] if with_features else []
-    ))
-    stamped = flows.withColumn("us", F.unix_micros(ts))
-    packed = stamped.select(
-        F.col(key), F.when(quick, spread()).otherwise(F.lit(0)).alias("lone"),
-        F.col(ts).alias("ts"), "us", "seq", F.coalesce(quick, F.lit(False)).alias("fast"),
-        F.to_json(F.struct(*flows.columns), JSON_TIME).alias("body"),
-        F.to_json(F.struct(*item.names)).alias("item"),
+    quick = F.coalesce(F.col(fast), F.lit(False)) if fast else F.lit(False)
+    late = F.coalesce(F.col("late"), F.lit(False)) if "late" in flows.columns else F.lit(False)
+    item = T.StructType(ITEM.fields + ([FEATURES] if with_features else []))
+    rows = flows if ARRIVAL in flows.columns else with_arrival(flows, None)
+    own = [c for c in rows.columns if c not in (ARRIVAL, "late")]
+    packed = rows.withColumn("us", F.unix_micros(ts)).select(
+        F.col(key), F.when(quick | late, spread()).otherwise(F.lit(0)).alias("lone"),
+        ARRIVAL, "seq", (quick | late).alias("fast"), late.alias("late"),
+        F.to_json(F.struct(*own), JSON_TIME).alias("body"),
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in item],
     )
-    if delay:
-        packed = packed.withWatermark("ts", delay)
-    layout = "ts timestamp, body string, window string, window_rows int"
+    layout = T.StructType([
+        T.StructField(ARRIVAL, T.TimestampType()), T.StructField("body", T.StringType()),
+        T.StructField("note", T.StringType()), T.StructField("window", T.ArrayType(item)),
+        T.StructField("window_rows", T.IntegerType()),
+    ])
     out = packed.groupBy(key, "lone").transformWithStateInPandas(
-        statefulProcessor=BufferProcessor(size, gap_s, fire), outputStructType=layout,
-        outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts",
+        statefulProcessor=BufferProcessor(size, gap_s, fire, behind(delay), partial, item),
+        outputStructType=layout, outputMode="Append", timeMode="EventTime",
+        eventTimeColumnName=ARRIVAL,
+    )
+    note = F.col("note")
+    out = out.observe(
+        name, F.count_if(note == LATE).alias("late_rows"), F.count_if(note == EVICTED).alias("evicted")
     )
-    schema = _event_schema(flows)
+    if not with_notes:
+        out = out.where(F.col("body").isNotNull())
+    schema = T.StructType([f for f in _event_schema(rows) if f.name in own])
     return out.select(
-        F.from_json("body", schema, JSON_TIME).alias("e"),
-        F.from_json("window", T.ArrayType(item)).alias("rows"), "window_rows",
-    ).select("e.*", "rows", "window_rows")
+        F.from_json("body", schema, JSON_TIME).alias("e"), ARRIVAL,
+        F.coalesce(note == LATE, F.lit(False)).alias("late"), F.col("window").alias("rows"),
+        "window_rows", "note",
+    ).select("e.*", ARRIVAL, "late", "rows", "window_rows", *(["note"] if with_notes else []))
