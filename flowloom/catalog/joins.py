@@ -8,7 +8,7 @@ from ..functions.labels import MALWARE_TERMS
 from ..functions.timefmt import micros
 from ..operators.labeling import (
     FIVE_TUPLE, apply_offset, class_names, clock_offset, default_label, five_tuple_key,
-    folded_label, interval_label, nearest_label, rule_label, unmatched,
+    folded_label, interval_label, merged_spans, nearest_label, rule_label, unmatched,
 )
 from ..operators.metrics import compare_counts, relabel_report
 from ..schema import FLOW_CLASSES
@@ -301,6 +301,35 @@ def interval_label_query(spark, sf_dir):
     return interval_label(raw_flows(spark, sf_dir), windows, victims).select("seq", "label")
 
 
+#: A window per record, up to 100 minutes long: most of them overlap.
+MANY_WINDOWS_SQL = EVE_SQL + """,
+w AS (SELECT us AS a, us + k * 60000000 AS b FROM eve WHERE kind IN ('dns', 'tls')),
+v AS (SELECT DISTINCT dest_ip AS ip FROM flows WHERE k % 16 < 12)"""
+
+
+def many_windows(spark, sf_dir):
+    records = eve(spark, sf_dir).where(F.col("event_type").isin("dns", "tls"))
+    end = F.timestamp_micros(F.unix_micros("ts") + F.col("k").cast("long") * 60_000_000)
+    return records.select(F.col("ts").alias("start"), end.alias("end"))
+
+
+@query("merged_spans", f"""WITH {MANY_WINDOWS_SQL},
+reach AS (SELECT a, b, max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM w),
+numbered AS (SELECT *, sum(CASE WHEN far IS NULL OR a > far + 1 THEN 1 ELSE 0 END) OVER (ORDER BY a, b) AS span FROM reach)
+SELECT min(a) AS a, max(b) AS b FROM numbered GROUP BY span""")
+def merged_spans_query(spark, sf_dir):
+    return merged_spans(many_windows(spark, sf_dir))
+
+
+@query("overlapping_interval_label", f"""WITH {MANY_WINDOWS_SQL}
+SELECT seq, CASE WHEN (src_ip IN (SELECT ip FROM v) OR dest_ip IN (SELECT ip FROM v))
+  AND EXISTS (SELECT 1 FROM w WHERE f.us >= w.a AND f.us <= w.b) THEN 1 ELSE 0 END AS label FROM flows f""")
+def overlapping_interval_label(spark, sf_dir):
+    """As many windows as records, few of them alone."""
+    victims = flows(spark, sf_dir).where(F.col("k") % 16 < 12).select(F.col("dest_ip").alias("ip"))
+    return interval_label(raw_flows(spark, sf_dir), many_windows(spark, sf_dir), victims).select("seq", "label")
+
+
 @query("class_lookup", f"""WITH {EVE_SQL} SELECT seq, CASE k % 8 WHEN 0 THEN 'Benign' WHEN 1 THEN 'DoS'
   WHEN 2 THEN 'DDoS' WHEN 3 THEN 'WebAttack' WHEN 4 THEN 'Infiltration' WHEN 5 THEN 'Bot' ELSE 'Unknown' END AS class_name
 FROM flows""")

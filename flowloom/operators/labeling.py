@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.labels import protocol
 from ..functions.timefmt import micros, minute_of_day
 from ..schema import COARSE_CLASSES
-from .ordering import MAX_GROUP_ROWS, bounded, neighbours, running_totals
+from .ordering import MAX_GROUP_ROWS, bounded, carried, neighbours, running_totals
 
 #: Columns produced by :func:`five_tuple_key`.
 FIVE_TUPLE = ["ep_low", "ep_high", "proto_key"]
@@ -377,6 +377,34 @@ def rule_label(
     )
 
 
+def merged_spans(
+    windows: DataFrame, start: str = "start", end: str = "end", max_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Windows (both ends inclusive) merged into disjoint spans: ``a, b`` in microseconds.
+
+    A running count of open windows along all their ends: a span begins where
+    the count leaves zero and closes where it is back. Windows that touch make
+    one span; those without an end, or with their ends in the wrong order,
+    count for nothing.
+    """
+    first, last = micros(F.col(start)), micros(F.col(end))
+    ends = F.explode(F.array(
+        F.struct(F.col("a").alias("pos"), F.lit(1).alias("step")),
+        F.struct((F.col("b") + 1).alias("pos"), F.lit(-1).alias("step")),
+    ))
+    steps = (
+        windows.select(first.alias("a"), last.alias("b")).where("a <= b")
+        .select(ends.alias("e")).select("e.*")
+        .groupBy("pos").agg(F.sum("step").alias("step")).where("step <> 0")
+    )
+    counted = running_totals(steps, [], [F.col("pos")], {"open": F.col("step")}, max_rows)
+    edges = counted.where((F.col("open") == 0) | (F.col("open") == F.col("step"))).select(
+        "pos", (F.col("step") > 0).cast("long").alias("begins")
+    )
+    numbered = running_totals(edges, [], [F.col("pos")], {"span": F.col("begins")}, max_rows)
+    return numbered.groupBy("span").agg(F.min("pos").alias("a"), (F.max("pos") - 1).alias("b")).drop("span")
+
+
 def interval_label(
     df: DataFrame,
     windows: DataFrame,
@@ -384,40 +412,54 @@ def interval_label(
     ts: str = "ts",
     into: str = "label",
     bucket_s: int = 3600,
+    max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """1 when the time lies in an attack window and an endpoint is a victim.
 
-    ``windows``: start, end (inclusive), a configured list whose windows seldom
-    overlap. ``victims``: ip. Windows are listed per time bucket, so the lookup is an equi-join on the bucket with a single
-    row per bucket, and flows are never multiplied. Both lists are broadcast
-    only after a look at their size.
+    ``windows``: start, end (inclusive), any number, overlapping at will.
+    ``victims``: ip. The windows are merged into disjoint spans; the flows of
+    victims then meet, in time buckets, the latest edge of a span at or before
+    them. Flows are never multiplied, no list is collected, and flows without
+    a victim stay where they are.
     """
     width = F.lit(bucket_s * MICROS).cast("long")
 
     def bucket(col: Column) -> Column:
         return F.floor(col / width).cast("long")
 
-    first, last = micros(F.col("start")), micros(F.col("end"))
-    by_bucket = (
-        windows.where(first <= last).select(
-            F.explode(F.sequence(bucket(first), bucket(last))).alias("__bucket"),
-            F.struct(first.alias("a"), last.alias("b")).alias("w"),
-        ).groupBy("__bucket").agg(F.collect_set("w").alias("__windows"))
+    spans = merged_spans(windows, max_rows=max_rows)
+    # A span is cut at the bounds of its buckets, so that each bucket knows its own edges.
+    cut = spans.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("a")), bucket(F.col("b"))))).select(
+        "__bucket", F.greatest("a", F.col("__bucket") * width).alias("a"),
+        F.least("b", (F.col("__bucket") + 1) * width - 1).alias("b"),
+    )
+    edges = cut.select("__bucket", F.explode(F.array(
+        F.struct(F.col("a").alias("pos"), F.lit(True).alias("inside")),
+        F.struct((F.col("b") + 1).alias("pos"), F.lit(False).alias("inside")),
+    )).alias("e")).select(
+        "__bucket", F.col("e.pos").alias("__pos"), F.lit(False).alias("__flow"),
+        F.col("e.inside").alias("__edge"),
     )
-    by_bucket = bounded(by_bucket)
-    hosts = bounded(victims.select(F.col("ip")).distinct())
+    hosts = bounded(victims.select(F.col("ip")).where("ip IS NOT NULL").distinct())
     at = micros(F.col(ts))
-    return (
-        df.withColumn("__bucket", bucket(at))
-        .join(by_bucket, "__bucket", "left")
-        .join(hosts.withColumnsRenamed({"ip": "src_ip"}).withColumn("__vs", F.lit(1)), "src_ip", "left")
+    marked = (
+        df.join(hosts.withColumnsRenamed({"ip": "src_ip"}).withColumn("__vs", F.lit(1)), "src_ip", "left")
         .join(hosts.withColumnsRenamed({"ip": "dest_ip"}).withColumn("__vd", F.lit(1)), "dest_ip", "left")
-        .withColumn(into, F.when(
-            F.exists("__windows", lambda w: at.between(w["a"], w["b"]))
-            & F.coalesce("__vs", "__vd").isNotNull(), 1,
-        ).otherwise(0))
-        .drop("__bucket", "__windows", "__vs", "__vd")
+        .withColumn("__hit", F.coalesce("__vs", "__vd").isNotNull() & F.col(ts).isNotNull())
+    )
+    calm = marked.where(~F.col("__hit")).select(*df.columns, F.lit(0).alias(into))
+    asked = marked.where("__hit").select(
+        *df.columns, bucket(at).alias("__bucket"), at.alias("__pos"), F.lit(True).alias("__flow"),
+    )
+    # An edge sorts before a flow of the same time.
+    rows = carried(
+        asked.unionByName(edges, allowMissingColumns=True), ["__bucket"], ["__pos", "__flow"],
+        "__edge", "__inside", max_rows,
+    )
+    found = rows.where("__flow").select(
+        *df.columns, F.when(F.col("__inside"), 1).otherwise(0).alias(into)
     )
+    return calm.unionByName(found)
 
 
 # Infrastructure traffic that is not an attack by itself.

@@ -12,6 +12,7 @@ from .ordering import (
     MAX_GROUP_ROWS, _attach, bounded, hash_cuts, hash_position, hash_rank, hash_running_total,
     row_numbers,
 )
+from .selection import rows_between, value_cuts
 
 _POSITION = "__position"
 #: Bundles of tasks whose first rows are merged before the final rank.
@@ -89,13 +90,14 @@ def slice_rows(
     df: DataFrame, skip: int, take: int, order: Sequence[str] = ("seq",),
     keys: Sequence[str] = (), max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Skip the first rows in order, then take some; per key when keys are given."""
-    if skip + take <= max_rows:
-        df = _leading(df, keys, skip + take, order)
-    ranked = row_numbers(df, keys, [F.col(c) for c in order], "__rn", max_rows)
-    return ranked.where(
-        (F.col("__rn") > skip) & (F.col("__rn") <= skip + take)
-    ).drop("__rn")
+    """Skip the first rows in order, then take some; per key when keys are given.
+
+    The rows at both cuts are found by counting, and every row is compared
+    with them where it is: the table itself is neither sorted nor shuffled.
+    """
+    return rows_between(
+        df, keys, order, lambda n: F.least(F.lit(skip), n), lambda n: F.lit(skip + take), max_rows
+    )
 
 
 def stratified_split(
@@ -127,13 +129,11 @@ def ordered_split(
 ) -> DataFrame:
     """The first fraction of the rows by position is ``train``, the rest ``val``.
 
-    Only the order columns are ranked, to find the last training row; all rows
+    Only the order columns are read to find the last training row; all rows
     are then compared with it.
     """
-    narrow = df.select(*order)
-    ranked = row_numbers(narrow, [], [F.col(c) for c in order], "__rn", max_rows, total="__n")
-    last = ranked.where(F.col("__rn") == F.floor(F.col("__n") * fraction)).drop("__rn", "__n")
-    cut = bounded(last.select(F.struct(*order).alias("__cut"), F.lit(True).alias("__k")))
+    cuts = value_cuts(df, [], order, {"train": lambda n: F.floor(n * F.lit(fraction))}, max_rows)
+    cut = bounded(cuts.select(F.col("cut").alias("__cut"), F.lit(True).alias("__k")))
     # One row, or none when the share is less than a row.
     marked = df.withColumn("__k", F.lit(True)).join(cut, "__k", "left")
     return marked.withColumn(
