@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.features import assemble, flow_features, flow_meta
 from ..operators.metrics import counts_by, run_counters
 from ..operators.scoring import (
-    argmax, as_json, class_probs, decide, fast_path, gate_window, pooled_window, prob_alerts,
-    score_windows, window_alarms,
+    WindowModel, argmax, as_json, class_probs, decide, fast_path, gate_window, pooled_window,
+    prob_alerts, score_windows, train_window_model, window_alarms,
 )
 from ..operators.windows import sliding_behaviour, window_tensor
 from ..functions.timefmt import micros
 from ..plans.detect import detect
+from ..session import scratch_path
 from .registry import ENRICHED_SQL, enriched, eve, query
 from .windows import BEHAVIOUR_SQL, GAP_S, SIZE, WITH_SESSIONS, prepared
 
@@ -190,6 +191,25 @@ def pooled_windows(spark, sf_dir):
                      F.round(F.get("pooled", F.lit(18)), 4).alias("mean_port"))
 
 
+WINDOW_CLASS_SQL = f"""{WITH_SESSIONS}, counted AS (SELECT seq, session_row,
+  count_if(proto = 'TCP') OVER (PARTITION BY src_ip, session ORDER BY session_row ROWS BETWEEN {SIZE - 1} PRECEDING AND CURRENT ROW) AS tcp
+  FROM sessions)"""
+
+
+@query("window_model", f"""{WINDOW_CLASS_SQL} SELECT seq, CASE WHEN tcp <= 2 THEN 3 WHEN tcp = 4 THEN 5 ELSE 8 END AS label,
+  CASE WHEN tcp <= 2 THEN 3 WHEN tcp = 4 THEN 5 ELSE 8 END AS predicted
+FROM counted WHERE session_row >= {SIZE} AND (tcp <= 2 OR tcp = 4 OR tcp >= 6)""")
+def window_model(spark, sf_dir):
+    """Classes apart by the number of TCP flows in a window: learnt, saved, loaded, and all told right."""
+    windows = window_tensor(assemble(flow_features(prepared(spark, sf_dir))), size=SIZE)
+    tcp = F.aggregate(F.col("window"), F.lit(0.0), lambda a, r: a + F.get(r, F.lit(25)).cast("double"))
+    label = F.when(tcp <= 2, 3).when(tcp == 4, 5).when(tcp >= 6, 8)
+    known = windows.select("seq", "window", label.alias("label")).where("label IS NOT NULL")
+    path = scratch_path(spark, "window-model")
+    train_window_model(known, regularisation=0.0).save(spark, path)
+    return WindowModel.load(spark, path).predict(known).select("seq", "label", "predicted")
+
+
 @query("alert_json", f"""WITH {PROBS_SQL} SELECT seq, flow_label AS label, round(probs[2], 4) AS p_dos, round(probs[6], 4) AS p_bot,
   6 AS n_probs FROM found""")
 def alert_json(spark, sf_dir):

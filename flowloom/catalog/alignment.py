@@ -93,6 +93,16 @@ def coral_aligned_means(spark, sf_dir):
     return cells.groupBy("side", "pos").agg((F.round(F.avg("x"), 4) + F.lit(0.0)).alias("mean"))
 
 
+@query("coral_aligned_covariance", f"""WITH {SCALED_SQL} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+  round(c - (CASE WHEN i = j THEN 1e-5 ELSE 0 END), 4) + 0.0 AS cov FROM cov WHERE side = 1""")
+def coral_aligned_covariance(spark, sf_dir):
+    """Without regularisation, aligned source rows have the target's covariance."""
+    source, target = domains(spark, sf_dir)
+    adapter = CoralAdapter.fit(source, target, regularisation=0.0)
+    table_ = covariance_table(spark, covariance(adapter.transform_source(source), "aligned"))
+    return table_.select("i", "j", (F.round("cov", 4) + F.lit(0.0)).alias("cov"))
+
+
 @query("coral_transform")
 def coral_transform(spark, sf_dir):
     source, target = domains(spark, sf_dir)

@@ -109,6 +109,24 @@ def strided_windows(spark, sf_dir):
     return rounded(df.select("seq", "src_ip", "dst_ip_entropy"), 5)
 
 
+@query("strided_behaviour",
+       f"{WITH_SESSIONS}, {BEHAVIOUR_SQL} SELECT seq, src_ip, start_us, end_us, {ROUNDED_BEHAVIOUR} FROM behaviour WHERE (session_row - {SIZE}) % 2 = 0")
+def strided_behaviour(spark, sf_dir):
+    """All eight values of overlapping windows, from panes."""
+    df = sliding_behaviour(prepared(spark, sf_dir), size=SIZE, stride=2)
+    return rounded(df.select("seq", "src_ip", micros(F.col("window_start")).alias("start_us"),
+                             micros(F.col("window_end")).alias("end_us"), *WINDOW_FEATURES))
+
+
+@query("disjoint_behaviour",
+       f"{WITH_SESSIONS}, {BEHAVIOUR_SQL} SELECT seq, src_ip, start_us, end_us, {ROUNDED_BEHAVIOUR} FROM behaviour WHERE session_row % {SIZE} = 0")
+def disjoint_behaviour(spark, sf_dir):
+    """Windows one after the other: one aggregate."""
+    df = sliding_behaviour(prepared(spark, sf_dir), size=SIZE, stride=SIZE)
+    return rounded(df.select("seq", "src_ip", micros(F.col("window_start")).alias("start_us"),
+                             micros(F.col("window_end")).alias("end_us"), *WINDOW_FEATURES))
+
+
 @query("window_labels", f"""{WITH_SESSIONS}, counted AS (
   SELECT seq, src_ip, session_row,
     sum(CASE WHEN k % 4 = 1 THEN 1 ELSE 0 END) OVER w AS c1,

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -83,46 +84,97 @@ class Scaler:
         return cls(np.array([r["mean"] for r in rows]), np.array([r["scale"] for r in rows]))
 
 
-def gram_cells(df: DataFrame, vector: str, mean: np.ndarray) -> DataFrame:
-    """(i, j, s) cells, i <= j, of the centred Gram matrix, and n at (-1, -1).
+#: Groups that the moments of all tasks are merged in before the driver merges theirs.
+BUNDLES = 64
 
-    Each task reduces its rows to one matrix; the cells of all tasks are then
-    summed by a regular aggregation.
+
+@dataclass
+class Moments:
+    """Count, mean, centred Gram matrix and extremes of vectors; two of them merge into one.
+
+    A column whose extremes agree is constant: its sums are exactly zero
+    whatever the rounding of its mean.
     """
-    centre = np.asarray(mean, dtype=float)
-    upper = np.triu_indices(len(centre))
 
+    n: float
+    mean: np.ndarray
+    gram: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> "Moments":
+        low, high = x.min(axis=0), x.max(axis=0)
+        flat = low == high
+        mean = np.where(flat, low, x.mean(axis=0))
+        centred = x - mean
+        return cls(float(len(x)), mean, centred.T @ centred, low, high)
+
+    def merged(self, other: "Moments") -> "Moments":
+        n = self.n + other.n
+        low, high = np.minimum(self.low, other.low), np.maximum(self.high, other.high)
+        step = other.mean - self.mean
+        mean = np.where(low == high, low, self.mean + step * (other.n / n))
+        gram = self.gram + other.gram + np.outer(step, step) * (self.n * other.n / n)
+        return Moments(n, mean, gram, low, high)
+
+    @property
+    def deviation(self) -> np.ndarray:
+        """Population deviation per column."""
+        return np.sqrt(np.diag(self.gram) / self.n)
+
+    def covariance(self) -> np.ndarray:
+        """Sample covariance."""
+        return self.gram / (self.n - 1)
+
+    def scaler(self) -> Scaler:
+        std = self.deviation
+        return Scaler(self.mean, np.where(std == 0, 1.0, std))
+
+    def row(self) -> pd.DataFrame:
+        parts = {c: [getattr(self, c).ravel()] for c in ("mean", "gram", "low", "high")}
+        return pd.DataFrame({"n": [self.n], **parts})
+
+    @classmethod
+    def from_row(cls, row) -> "Moments":
+        mean, gram, low, high = (np.asarray(row[c], dtype=float) for c in ("mean", "gram", "low", "high"))
+        return cls(row["n"], mean, gram.reshape(len(mean), len(mean)), low, high)
+
+
+_MOMENTS = "n double, mean array<double>, gram array<double>, low array<double>, high array<double>"
+
+
+def moments(df: DataFrame, vector: str = "features") -> Moments:
+    """Moments of a vector column in one scan.
+
+    Each task reduces its rows to one matrix; bundles of tasks merge theirs,
+    and the driver merges ``BUNDLES`` of d x d numbers, whatever the number of
+    tasks. Rows are told to be of one width; another raises an error.
+    """
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, gram = 0, np.zeros((len(centre), len(centre)))
+        whole = None
         for batch in batches:
             if len(batch):
-                x = np.stack(batch[vector].to_numpy()).astype(float) - centre
-                gram += x.T @ x
-                n += len(x)
-        yield pd.DataFrame({
-            "i": np.append(upper[0], -1), "j": np.append(upper[1], -1),
-            "s": np.append(gram[upper], float(n)),
-        })
-
-    cells = df.select(vector).mapInPandas(partial, "i int, j int, s double")
-    return cells.groupBy("i", "j").agg(F.sum("s").alias("s"))
-
-
-def covariance(
-    df: DataFrame, vector: str = "features", mean: np.ndarray | None = None,
-    regularisation: float = 0.0,
-) -> np.ndarray:
-    """Sample covariance (n - 1) plus a multiple of the identity."""
-    if mean is None:
-        mean, _ = column_stats(df, elements(vector, vector_width(df, vector)))
-    d = len(mean)
-    out, n = np.zeros((d, d)), 0.0
-    for cell in gram_cells(df, vector, mean).collect():  # d * (d + 1) / 2 + 1 rows
-        if cell["i"] < 0:
-            n = cell["s"]
-        else:
-            out[cell["i"], cell["j"]] = out[cell["j"], cell["i"]] = cell["s"]
-    return out / (n - 1) + regularisation * np.eye(d)
+                part = Moments.of(np.stack(batch[vector].to_numpy()).astype(float))
+                whole = part if whole is None else whole.merged(part)
+        if whole is not None:
+            yield whole.row()
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        return reduce(Moments.merged, (Moments.from_row(r) for _, r in rows.iterrows())).row()
+
+    parts = df.select(vector).mapInPandas(partial, _MOMENTS)
+    bundle = F.pmod(F.spark_partition_id(), F.lit(BUNDLES))
+    merged = parts.groupBy(bundle.alias("bundle")).applyInPandas(merge, _MOMENTS).collect()
+    if not merged:
+        raise ValueError("no rows to fit on")
+    return reduce(Moments.merged, map(Moments.from_row, merged))
+
+
+def covariance(df: DataFrame, vector: str = "features", regularisation: float = 0.0) -> np.ndarray:
+    """Sample covariance (n - 1) plus a multiple of the identity; one scan."""
+    out = moments(df, vector).covariance()
+    return out + regularisation * np.eye(len(out))
 
 
 def covariance_table(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
@@ -175,24 +227,24 @@ class CoralAdapter:
         regularisation: float = REGULARISATION, scale_on: str | None = "source",
         identity_target: bool = False,
     ) -> "CoralAdapter":
-        """Fit means, scale and covariances; ``scale_on``: source, union or None."""
-        d = vector_width(source, vector)
-        if vector_width(target, vector) != d:
+        """Fit means, scale and covariances in one scan of each side; ``scale_on``: source, union or None."""
+        sides = [moments(side, vector) for side in (source, target)]
+        d = len(sides[0].mean)
+        if len(sides[1].mean) != d:
             raise ValueError("source and target differ in their number of features")
         if scale_on == "source":
-            scaler = Scaler.fit(source, vector)
+            scaler = sides[0].scaler()
         elif scale_on == "union":
-            scaler = Scaler.fit(source.select(vector).union(target.select(vector)), vector)
+            scaler = sides[0].merged(sides[1]).scaler()
         elif scale_on is None:
             scaler = Scaler(np.zeros(d), np.ones(d))
         else:
             raise ValueError("scale_on must be 'source', 'union' or None")
         stats = []
-        for side in (source, target):
-            raw_mean, _ = column_stats(side, elements(vector, d))
+        for side in sides:
             # Scaling is linear: the covariance follows from the raw one.
-            cov = covariance(side, vector, raw_mean) / np.outer(scaler.scale, scaler.scale)
-            stats.append(((raw_mean - scaler.mean) / scaler.scale,
+            cov = side.covariance() / np.outer(scaler.scale, scaler.scale)
+            stats.append(((side.mean - scaler.mean) / scaler.scale,
                           cov + regularisation * np.eye(d)))
         (sm, sc), (tm, tc) = stats
         adapter = cls(scaler, sm, tm, sc, tc, regularisation, identity_target)

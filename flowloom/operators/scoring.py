@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassifier, LogisticRegression, LogisticRegressionModel,
+    MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, OneVsRest,
+    RandomForestClassifier,
+)
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ..schema import (
     DEFAULT_THRESHOLD, FLOW_CLASSES, WINDOW_CLASSES, WINDOW_CONFIDENCE,
 )
+from ..session import shared_dir
+from .align import Scaler
 from .labeling import class_names
 from .metrics import attach_weights, class_report, class_weights, report_summary
 
@@ -221,8 +228,6 @@ def importances(model: Model, names: Sequence[str], spark) -> DataFrame:
 def cross_validate(df: DataFrame, fold: str, label: str, k: int, features: str = "features",
                    **training) -> DataFrame:
     """Macro F1 per held-out fold; scaler and model are fitted inside the fold."""
-    from .align import Scaler
-
     results = []
     for i in range(k):
         train, held = df.where(F.col(fold) != i), df.where(F.col(fold) == i)
@@ -254,14 +259,121 @@ def score_windows(
     return df.mapInPandas(batches, schema)
 
 
-def pooled_window(df: DataFrame, window: str = "window", into: str = "pooled") -> DataFrame:
-    """Mean of each feature over the rows of a window, for a vector classifier."""
+#: What a window's rows are pooled to, per feature.
+POOLS = ("mean", "deviation", "last")
+
+
+def pooled_window(df: DataFrame, window: str = "window", into: str = "pooled",
+                  parts: Sequence[str] = ("mean",)) -> DataFrame:
+    """Statistics of each feature over the rows of a window, for a vector classifier.
+
+    ``parts`` of ``mean``, population ``deviation`` and ``last`` row, one
+    after the other.
+    """
+    unknown = set(parts) - set(POOLS)
+    if unknown:
+        raise ValueError(f"unknown parts {sorted(unknown)}")
     rows = F.size(window)
-    width = F.size(F.get(F.col(window), F.lit(0)))
-    mean = F.transform(
-        F.sequence(F.lit(0), width - 1),
-        lambda i: F.aggregate(
+    places = F.sequence(F.lit(0), F.size(F.get(F.col(window), F.lit(0))) - 1)
+
+    def mean(i: Column) -> Column:
+        return F.aggregate(
             F.col(window), F.lit(0.0), lambda acc, r: acc + F.get(r, i).cast("double")
-        ) / rows,
+        ) / rows
+
+    def deviation(i: Column) -> Column:
+        centre = F.get(F.col("__mean"), i)
+        return F.sqrt(F.aggregate(
+            F.col(window), F.lit(0.0),
+            lambda acc, r: acc + (F.get(r, i).cast("double") - centre) * (F.get(r, i).cast("double") - centre),
+        ) / rows)
+
+    pools = {
+        "mean": F.col("__mean"), "deviation": F.transform(places, deviation),
+        "last": F.transform(F.get(F.col(window), rows - 1), lambda x: x.cast("double")),
+    }
+    return df.withColumn("__mean", F.transform(places, mean)).withColumn(
+        into, F.concat(*[pools[p] for p in parts])
+    ).drop("__mean")
+
+
+@dataclass
+class WindowModel:
+    """A classifier of stacked windows with the scaler it was trained with.
+
+    ``classes`` are the labels in the order of the probabilities.
+    """
+
+    model: Model
+    scaler: Scaler
+    classes: list[int]
+    parts: tuple[str, ...] = POOLS
+
+    def score(self, df: DataFrame, window: str = "window", into: str = "window_probs") -> DataFrame:
+        """Add one probability per class; what ``score_window`` of a detector is."""
+        pooled = self.scaler.apply(pooled_window(df, window, "__pooled", self.parts), "__pooled", "__scaled")
+        return score_flows(pooled, self.model, "__scaled", into).drop("__pooled", "__scaled")
+
+    def predict(self, df: DataFrame, window: str = "window", into: str = "predicted") -> DataFrame:
+        """Add the likeliest label."""
+        labels = F.array(*[F.lit(c) for c in self.classes])
+        scored = self.score(df, window, "__probs")
+        return scored.withColumn(into, F.get(labels, argmax(F.col("__probs")))).drop("__probs")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        self.scaler.to_df(spark).write.mode("overwrite").parquet(f"{path}/scaler")
+        spark.createDataFrame(
+            [(type(self.model).__name__, self.classes, list(self.parts))],
+            "kind string, classes array<int>, parts array<string>",
+        ).write.mode("overwrite").parquet(f"{path}/params")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "WindowModel":
+        params = spark.read.parquet(f"{path}/params").first()
+        kinds = {k.__name__: k for k in (LogisticRegressionModel, MultilayerPerceptronClassificationModel)}
+        return cls(
+            kinds[params["kind"]].load(f"{path}/model"),
+            Scaler.from_df(spark.read.parquet(f"{path}/scaler")),
+            list(params["classes"]), tuple(params["parts"]),
+        )
+
+
+def train_window_model(
+    windows: DataFrame, label: str = "label", window: str = "window",
+    parts: Sequence[str] = POOLS, hidden: Sequence[int] = (), weighted: bool = True,
+    regularisation: float = 1e-4, iterations: int = 200, seed: int = 42,
+) -> WindowModel:
+    """Train a window classifier by gradient descent on pooled, scaled windows.
+
+    Multinomial regression, or with ``hidden`` layer sizes a perceptron.
+    Classes are the labels that occur, balanced by weights unless told not to
+    (the perceptron takes none). Rows without a label are left out. The
+    pooled windows are checkpointed: scaler, weights and every iteration read
+    them.
+    """
+    shared_dir(windows.sparkSession)
+    known = windows.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias(label), window)
+    pooled = pooled_window(known, window, "__pooled", parts).select(label, "__pooled").checkpoint()
+    classes = sorted(r[0] for r in pooled.select(label).distinct().collect())  # as many as labels
+    if len(classes) < 2:
+        raise ValueError("windows of two classes at least are needed")
+    scaler = Scaler.fit(pooled, "__pooled")
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
+    data = scaler.apply(pooled, "__pooled", "__scaled").select(
+        place.cast("double").alias("y"), array_to_vector(F.col("__scaled")).alias("vec")
     )
-    return df.withColumn(into, mean)
+    if hidden:
+        layers = [len(scaler.mean), *hidden, len(classes)]
+        model = MultilayerPerceptronClassifier(
+            featuresCol="vec", labelCol="y", layers=layers, maxIter=iterations, seed=seed
+        ).fit(data)
+        return WindowModel(model, scaler, classes, tuple(parts))
+    regression = LogisticRegression(
+        featuresCol="vec", labelCol="y", family="multinomial", regParam=regularisation,
+        maxIter=iterations, tol=1e-9, standardization=False,
+    )
+    if weighted:
+        data = attach_weights(data, class_weights(data, "y"), "y", "weight")
+        regression.setWeightCol("weight")
+    return WindowModel(regression.fit(data), scaler, classes, tuple(parts))

@@ -127,6 +127,7 @@ def sliding_behaviour(
     keep: Mapping[str, Column] | None = None,
     chunk_rows: int = MAX_GROUP_ROWS,
     partial: bool = False,
+    collect: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """The eight behaviour values of every full window, on its last row.
 
@@ -138,9 +139,16 @@ def sliding_behaviour(
     window is not full yet.
 
     ``keep`` adds further columns computed over the same frame: each value is
-    a column that aggregates (e.g. ``F.collect_list``).
+    a column that aggregates (e.g. ``F.max``). ``collect`` adds the values of
+    a column in the window's rows, in order, under another name.
+
+    Windows further than a row apart are put together from panes, see
+    :func:`pane_behaviour`, unless every row or ``keep`` is asked for.
     """
     keys = list(keys)
+    if not partial and not keep and 4 * panes_per_window(size, stride) <= 3 * size:
+        return pane_behaviour(df, keys, ts, size, stride, chunk_rows, collect)
+    keep = dict(keep or {}) | {n: F.collect_list(c) for n, c in (collect or {}).items()}
     rows = with_halo(df, "session_row", chunk_rows, size - 1)
     w, last, last_deltas = _frames(keys, size)
     at = micros(F.col(ts))
@@ -162,7 +170,7 @@ def sliding_behaviour(
         "__dns": F.collect_list("dns_queries").over(last),
         "__uri": F.collect_list(F.nullif(F.col("http_uri"), F.lit(""))).over(last),
         "__sni": F.collect_list(F.nullif(F.col("tls_sni"), F.lit(""))).over(last),
-        **{name: agg.over(last) for name, agg in (keep or {}).items()},
+        **{name: agg.over(last) for name, agg in keep.items()},
     })
     wanted = ~F.col("__halo")
     if not partial:
@@ -187,6 +195,134 @@ def sliding_behaviour(
     return rows.drop(*[c for c in rows.columns if c.startswith("__")])
 
 
+def panes_per_window(size: int, stride: int) -> int:
+    """Stretches between the edges of windows, starts or ends, that make up one window."""
+    return size // stride if size % stride == 0 else 2 * (size // stride) + 1
+
+
+def _moments(values: Column) -> Column:
+    """Count, mean and summed squared deviation of an array."""
+    n = F.size(values)
+    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.greatest(n, F.lit(1))
+    return lists._bound(mean, lambda m: F.struct(
+        n.cast("double").alias("n"), m.alias("m"),
+        F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)).alias("q"),
+    ))
+
+
+def _merged_moments(parts: Column) -> Column:
+    """Moments of a union from the moments of its parts."""
+    def total(body) -> Column:
+        return F.aggregate(parts, F.lit(0.0), lambda a, p: a + body(p))
+
+    n = total(lambda p: p["n"])
+    mean = total(lambda p: p["n"] * p["m"]) / F.greatest(n, F.lit(1.0))
+    return lists._bound(mean, lambda m: F.struct(
+        n.alias("n"), m.alias("m"),
+        total(lambda p: p["q"] + p["n"] * (p["m"] - m) * (p["m"] - m)).alias("q"),
+    ))
+
+
+def pane_behaviour(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str = "ts",
+    size: int = WINDOW_SIZE,
+    stride: int = WINDOW_SIZE,
+    chunk_rows: int = MAX_GROUP_ROWS,
+    collect: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """:func:`sliding_behaviour` for windows ``stride`` rows apart, from partial aggregates.
+
+    The edges of all windows cut a session into panes: one per stride where
+    the stride divides the size, else two. An aggregate reduces each pane to
+    the moments of its sizes and steps, its ends and its short lists, and
+    brings its last row along; a window merges its panes. Rows between the
+    windows' ends are never framed. Where windows do not overlap, the
+    aggregate is all there is.
+    """
+    keys, rest = list(keys), size % stride
+    k = panes_per_window(size, stride)
+    place = F.col("session_row") - 1
+    block, offset = F.floor(place / F.lit(stride)).cast("long"), F.pmod(place, F.lit(stride))
+    late = offset >= rest
+    pane = block if rest == 0 else block * 2 + late.cast("long")
+    length = F.lit(stride) if rest == 0 else F.when(late, stride - rest).otherwise(rest)
+    bytes_ = F.col("total_bytes").cast("double")
+    group = [*keys, "session", "__pane"]
+    collected = {f"__c{i}": c for i, c in enumerate((collect or {}).values())}
+    line = F.struct("session_row", F.col(ts).alias("ts"), micros(F.col(ts)).alias("us"),
+                    *[F.col(c).alias(n) for n, c in collected.items()])
+    present = lambda c: F.collect_list(F.nullif(F.col(c), F.lit("")))
+    panes = df.withColumns({"__pane": pane, "__length": length}).groupBy(*group).agg(
+        F.count(F.lit(1)).alias("__n"), F.first("__length").alias("__length"),
+        F.sort_array(F.collect_list(line)).alias("__lines"),
+        F.max_by(F.struct(*df.columns), "session_row").alias("__last"),
+        F.struct(F.count(bytes_).cast("double").alias("n"), F.coalesce(F.avg(bytes_), F.lit(0.0)).alias("m"),
+                 F.coalesce(F.var_pop(bytes_) * F.count(bytes_), F.lit(0.0)).alias("q")).alias("__sizes"),
+        F.collect_list("dest_ip").alias("__dest"), F.collect_list("dest_port").alias("__port"),
+        F.collect_list("dns_queries").alias("__dns"), present("http_uri").alias("__uri"),
+        present("tls_sni").alias("__sni"),
+    ).where(F.col("__n") == F.col("__length"))
+    of_lines = lambda name: F.transform("__lines", lambda r: r[name])
+    seconds = lambda later, earlier: (later - earlier) / F.lit(1e6)
+    ahead = F.filter(F.zip_with(
+        F.slice("__lines", F.lit(2), F.size("__lines") - 1), F.slice("__lines", F.lit(1), F.size("__lines") - 1),
+        lambda b, a: seconds(b["us"], a["us"]),
+    ), lambda d: d > 0)
+    part = F.struct(
+        F.col("__pane").alias("pane"), _moments(ahead).alias("steps"), F.col("__sizes").alias("sizes"),
+        F.get("__lines", F.lit(0))["us"].alias("from"), F.get("__lines", F.size("__lines") - 1)["us"].alias("to"),
+        F.get("__lines", F.lit(0))["ts"].alias("start"),
+        *[F.col(f"__{c}").alias(c) for c in ("dest", "port", "dns", "uri", "sni")],
+        *[of_lines(n).alias(n) for n in collected],
+    )
+    panes = panes.select(*group, "__last", part.alias("__part"))
+    if k == 1:
+        rows = panes.withColumn("__parts", F.array("__part"))
+    else:
+        ranked = with_halo(panes.withColumn("__rank", F.col("__pane") + 1), "__rank", max(chunk_rows, k), k - 1)
+        frame = Window.partitionBy(*keys, "session", "__chunk").orderBy("__pane").rowsBetween(1 - k, 0)
+        rows = ranked.withColumn("__parts", F.collect_list("__part").over(frame))
+        # Windows end with every pane, or with every other one; all their panes are whole.
+        ends = F.lit(True) if rest == 0 else F.col("__pane") % 2 == 0
+        rows = rows.where(~F.col("__halo") & ends & (F.size("__parts") == k) & (
+            F.get("__parts", F.lit(0))["pane"] == F.col("__pane") - (k - 1)
+        ))
+
+    def field(name: str) -> Column:
+        return F.transform("__parts", lambda p: p[name])
+
+    between = F.filter(F.zip_with(
+        F.slice("__parts", F.lit(2), F.lit(k - 1)), F.slice("__parts", F.lit(1), F.lit(k - 1)),
+        lambda b, a: seconds(b["from"], a["to"]),
+    ), lambda d: d > 0)
+    single = F.transform(between, lambda d: F.struct(F.lit(1.0).alias("n"), d.alias("m"), F.lit(0.0).alias("q")))
+    rows = rows.withColumns({
+        "__steps": _merged_moments(F.concat(field("steps"), single)),
+        "__sizes": _merged_moments(field("sizes")),
+    })
+    zero, steps, sizes = F.lit(0.0), F.col("__steps"), F.col("__sizes")
+    minutes = F.greatest(steps["n"] * steps["m"], F.lit(1.0)) / 60.0
+    values = {
+        "beacon_interval_mean": F.when(steps["n"] > 0, steps["m"]).otherwise(zero),
+        "beacon_interval_std": F.when(steps["n"] > 0, F.sqrt(steps["q"] / steps["n"])).otherwise(zero),
+        "dst_ip_entropy": lists.entropy(F.flatten(field("dest"))),
+        "dns_per_min": F.size(F.array_distinct(F.flatten(F.flatten(field("dns"))))) / minutes,
+        "uri_entropy": lists.entropy(F.flatten(field("uri"))),
+        "same_dst_port_ratio": lists.modal_share(F.flatten(field("port"))),
+        "tls_sni_reuse": lists.reuse_ratio(F.flatten(field("sni"))),
+        "payload_size_variance": F.when(sizes["n"] > 0, sizes["q"] / sizes["n"]),
+    }
+    return rows.select(
+        *[F.col("__last")[c].alias(c) for c in df.columns],
+        F.get("__parts", F.lit(0))["start"].alias("window_start"), F.col("__last")[ts].alias("window_end"),
+        *[F.flatten(field(n)).alias(name) for n, name in zip(collected, collect or {})],
+        *[(values[n] if size >= 2 else zero).alias(n) for n in WINDOW_FEATURES],
+        F.lit(size).cast("long").alias("window_rows"),
+    )
+
+
 def window_tensor(
     df: DataFrame,
     keys: Sequence[str] = ("src_ip",),
@@ -202,7 +338,7 @@ def window_tensor(
     """
     rows = sliding_behaviour(
         df, keys, ts, size, stride,
-        keep={"flow_rows": F.collect_list(features)}, chunk_rows=chunk_rows,
+        collect={"flow_rows": features}, chunk_rows=chunk_rows,
     )
     return stack_window(rows)
 

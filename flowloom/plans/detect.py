@@ -75,7 +75,7 @@ def detect(
     )
     framed = sliding_behaviour(
         sessions, ["src_ip"], ts, size, chunk_rows=max_rows,
-        keep={"flow_rows": F.collect_list("features")} if with_window else None,
+        collect={"flow_rows": "features"} if with_window else None,
     )
     if with_window:
         framed = stack_window(framed)

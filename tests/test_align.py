@@ -117,3 +117,37 @@ def test_weights_and_grid(spark):
     odd = [0.1, 0.5, 0.51]
     got = spark.createDataFrame([(s,) for s in scores], "s double").select("s", thresholds_met(F.col("s"), odd).alias("m"))
     assert all(r["m"] == sum(r["s"] >= t for t in odd) for r in got.collect())
+
+
+def test_moments_merge_in_any_cut(spark):
+    """Means far from zero, a constant column, one row, empty tasks: as numpy has it."""
+    from flowloom.operators.align import Moments, moments
+
+    rng = np.random.default_rng(2)
+    x = np.c_[rng.normal(1e6, 1, 300), np.full(300, 0.1), rng.integers(0, 3, 300).astype(float)]
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "features array<double>")
+    for parts in (1, 7, 400):
+        m = moments(df.repartition(parts))
+        assert m.n == 300 and np.allclose(m.mean, x.mean(axis=0)) and m.deviation[1] == 0 and m.scaler().scale[1] == 1
+        assert np.allclose(m.covariance(), np.cov(x.T), rtol=1e-9, atol=1e-9)
+    halves = Moments.of(x[:1]).merged(Moments.of(x[1:]))
+    assert np.allclose(halves.gram, Moments.of(x).gram) and np.allclose(halves.mean, x.mean(axis=0))
+    with pytest.raises(ValueError, match="no rows"):
+        moments(df.limit(0))
+
+
+def test_one_scan_a_side(spark, tmp_path):
+    """A fit reads each side once."""
+    from flowloom.operators.align import CoralAdapter
+
+    rng = np.random.default_rng(4)
+    for side in "st":
+        spark.createDataFrame([(rng.normal(size=3).tolist(),) for _ in range(50)], "features array<double>").write.parquet(f"{tmp_path}/{side}")
+    seen = []
+    source, target = (spark.read.parquet(f"{tmp_path}/{side}") for side in "st")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("coral-fit", "fit")
+    CoralAdapter.fit(source, target)
+    seen = tracker.getJobIdsForGroup("coral-fit")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 2 <= len(seen) <= 4  # with adaptive execution, a job per shuffle and one for its result

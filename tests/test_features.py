@@ -4,7 +4,7 @@ import math
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from flowloom.functions import lists
 from flowloom.functions.coerce import finite, hex_value, number
@@ -14,7 +14,7 @@ from flowloom.operators.enrich import enrich_flows
 from flowloom.operators.features import assemble, flow_features, flow_meta, no_enrichment, window_meta
 from flowloom.operators.scoring import decide, gate_window, window_alarms
 from flowloom.operators.windows import (
-    behaviour_of, label_windows, session_totals, sessionize, sliding_behaviour, tumbling_windows,
+    behaviour_of, label_windows, pane_behaviour, session_totals, sessionize, sliding_behaviour, tumbling_windows,
     window_tensor,
 )
 from flowloom.schema import EVE, FLOW_FEATURES, WINDOW_FEATURES
@@ -257,3 +257,36 @@ def test_window_meta(spark):
     row = window_meta(enrich_flows(events(spark, DNS, FLOW))).first()
     assert row["dns_queries"] == ["a.b"] and row["total_bytes"] == 3600 and row["http_uri"] is None
     assert set(f.name for f in EVE) <= set(row.asDict())
+
+
+@pytest.mark.parametrize("size, stride", [(6, 6), (6, 3), (8, 3), (7, 5), (5, 4), (9, 9)])
+def test_panes_equal_frames(spark, size, stride):
+    """Windows from panes and from row frames: sessions of all lengths, chunks, and rows with gaps between them."""
+    flows = spark.range(400).select(
+        F.col("id").alias("seq"), F.concat(F.lit("s"), F.col("id") % 7).alias("src_ip"),
+        F.timestamp_micros((F.col("id") * F.col("id") % 9973) * 40_000_000).alias("ts"),
+        F.when(F.col("id") % 5 > 0, F.concat(F.lit("d"), F.col("id") % 3)).alias("dest_ip"),
+        (F.col("id") * 7 % 4).cast("int").alias("dest_port"), (F.col("id") * 31 % 997).alias("total_bytes"),
+        F.array(F.concat(F.lit("n"), F.col("id") % 4)).alias("dns_queries"),
+        F.when(F.col("id") % 3 > 0, F.lit("/u")).otherwise("").alias("http_uri"), F.lit(None).cast("string").alias("tls_sni"))
+    ready = sessionize(flows, ["src_ip"], gap_s=8000).where("session_row % 23 <> 22")
+    last = Window.partitionBy("src_ip", "session").orderBy("session_row").rowsBetween(-(size - 1), 0)
+    # Row frames do not see gaps; compare where there is none.
+    whole = ready.withColumn("first", F.min("session_row").over(last)).where(F.col("session_row") - F.col("first") == size - 1).select("seq")
+    from flowloom.schema import WINDOW_FEATURES
+
+    def values(df):
+        return df.join(whole, "seq").select("seq", "window_start", "window_end", "window_rows", "seqs", *[F.round(c, 5) for c in WINDOW_FEATURES])
+
+    frames = sliding_behaviour(ready, size=size, stride=stride, keep={"seqs": F.collect_list("seq")})
+    for chunk in (10**6, 12):
+        panes = pane_behaviour(ready, ["src_ip"], "ts", size, stride, chunk, {"seqs": "seq"})
+        assert panes.columns[:len(ready.columns)] == ready.columns
+        assert rows(values(panes)) == rows(values(frames)) != []
+        assert panes.count() == values(panes).count()
+
+
+def test_disjoint_windows_need_no_frame(spark):
+    out = sliding_behaviour(window_rows(spark, 120).withColumns({"session": F.lit(0), "session_row": F.col("seq") + 1}), stride=40)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan.replace("window", "") and out.count() == 3
