@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.timefmt import micros
+from ..operators.features import flow_features
+from ..operators.labeling import mixed_label
 from ..session import scratch_path
 from ..sources.eve import read_eve, read_flow_lines
 from ..sources.labels import match_capture_dates, read_binetflow, read_label_csv
@@ -123,6 +125,46 @@ def scan_label_csv(spark, sf_dir):
                        F.lit(full).alias("full_key"))
 
 
+@query("mixed_label_csv", f"""WITH {EVE_SQL} SELECT seq, true AS mixed, CASE k % 3 WHEN 0 THEN 'Benign' WHEN 1 THEN 'DoS' ELSE 'WebAttack' END AS label
+FROM flows WHERE event_id % 6 = 0
+UNION ALL SELECT f.seq, true, NULL FROM flows f WHERE f.event_id % 6 IN (2, 4) AND NOT EXISTS (
+  SELECT 1 FROM flows l WHERE l.event_id % 2 = 1 AND l.dest_port = f.dest_port AND l.proto = f.proto)""")
+def mixed_label_csv(spark, sf_dir):
+    """Label files with endpoints beside files without: the former still label by the full key."""
+    path = scratch_path(spark, "mixed-labels")
+    rows = flows(spark, sf_dir).withColumn("src_port", F.col("seq").cast("int"))
+    third = F.pmod(F.col("k"), F.lit(3))
+    common = [
+        F.col("dest_port").alias("Dst Port"), F.when(F.col("proto") == "TCP", "6").otherwise("17").alias("Protocol"),
+        F.date_format(F.timestamp_micros(F.unix_micros("ts") + 3_600_000_000), "dd/MM/yyyy HH:mm:ss").alias("Timestamp"),
+        F.when(third == 0, "BENIGN").when(third == 1, "DoS Hulk").otherwise("Web Attack - Brute").alias("Label"),
+    ]
+    ends = [F.col("src_ip").alias("Src IP"), F.col("src_port").alias("Src Port"), F.col("dest_ip").alias("Dst IP")]
+    named = F.pmod("event_id", F.lit(6)) == 0
+    rows.where(named).select(*ends, *common).write.option("header", "true").csv(f"{path}/full")
+    rows.where(F.pmod("event_id", F.lit(2)) == 1).select(*common).write.option("header", "true").csv(f"{path}/bare")
+    labels, full = read_label_csv(spark, [f"{path}/full", f"{path}/bare"])
+    found = mixed_label(rows, labels).where(named | F.col("true_label").isNull())
+    return found.select("seq", F.lit(not full).alias("mixed"), F.col("true_label").alias("label"))
+
+
+@query("integer_flags", f"""WITH {EVE_SQL} SELECT flow_id, CAST(src_port AS INTEGER) AS src_port, """ + ", ".join(
+    f"CASE WHEN (event_id % 64) & {mask} <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS tcp_{name}"
+    for name, mask in (("fin", 1), ("syn", 2), ("rst", 4), ("psh", 8), ("ack", 16), ("urg", 32))) + " FROM flows")
+def integer_flags(spark, sf_dir):
+    """Flags sent as decimal numbers by some sensors and as hexadecimal texts by others."""
+    rows = flows(spark, sf_dir)
+    flags = F.pmod("event_id", F.lit(64))
+    tcp = F.when(F.pmod("event_id", F.lit(2)) == 0, F.to_json(F.struct(flags.alias("tcp_flags_tc")))).otherwise(
+        F.to_json(F.struct(F.lower(F.hex(flags)).alias("tcp_flags_tc"))))
+    line = F.format_string(
+        '{"event_type":"flow","flow_id":%d,"src_port":%d,"flow":{"age":1},"tcp":%s}', "flow_id", "src_port", tcp)
+    path = scratch_path(spark, "flags")
+    rows.select(line.alias("value")).write.text(path)
+    feats = flow_features(read_eve(spark, path), "compact")
+    return feats.select("flow_id", "src_port", *[f"feat.tcp_{n}" for n in ("fin", "syn", "rst", "psh", "ack", "urg")])
+
+
 @query("scenario_manifest", f"""WITH {EVE_SQL} SELECT 's' || CAST(user_id % 4 AS VARCHAR) AS scenario, count(*) AS flows,
   CASE WHEN user_id % 4 < 2 THEN 1 ELSE 2 END AS run FROM flows GROUP BY 1, 3""")
 def scenario_manifest(spark, sf_dir):

@@ -12,11 +12,13 @@ from ..operators.windows import behaviour_of
 from ..plans.events_eve import events_as_eve
 from ..schema import WINDOW_FEATURES
 from ..session import scratch_path
+from ..sources.eve import stream_eve
 from ..streaming.live import live_alerts, observe_progress
 from ..streaming.progress import ProgressTotals
 from ..streaming.state import KINDS, stream_enrich, stream_windows, with_arrival
 from .alerts import SLOW_SQL, THRESHOLD, demo_score, demo_window_score
 from .registry import ENRICHED_SQL, EVE_SQL, query, rounded, table
+from .scans import as_lines
 from .windows import BEHAVIOUR_SQL, GAP_S, ROUNDED_BEHAVIOUR, SIZE, WITH_SESSIONS
 
 #: Longer than the table's time span, so that the batch queries agree.
@@ -53,6 +55,21 @@ def stream_enrich_query(spark, sf_dir):
     return drain(out, "stream-enrich")
 
 
+@query("live_scan", f"""WITH {EVE_SQL} SELECT kind AS event_type, flow_id, us AS ts_us,
+  CASE WHEN kind = 'flow' THEN '10.0.0.' || CAST(user_id % 250 AS VARCHAR) END AS src_ip FROM eve""")
+def live_scan(spark, sf_dir):
+    """JSON segments picked up by the live scan, four files a batch; malformed lines vanish."""
+    path = scratch_path(spark, "segments")
+    rows = events_as_eve(table(spark, sf_dir, "events"))
+    torn = F.when(F.col("event_id") % 50 == 7, "{torn")
+    as_lines(rows).write.text(path)
+    rows.where(torn.isNotNull()).select(torn.alias("value")).write.mode("append").text(path)
+    out = stream_eve(spark, path, max_files=4).select(
+        "event_type", "flow_id", micros(F.col("timestamp")).alias("ts_us"),
+        F.when(F.col("event_type") == "flow", F.col("src_ip")).alias("src_ip"))
+    return drain(out, "live-scan")
+
+
 @query("stream_windows",
        f"{WITH_SESSIONS}, {BEHAVIOUR_SQL} SELECT seq, src_ip, {ROUNDED_BEHAVIOUR} FROM behaviour")
 def stream_windows_query(spark, sf_dir):

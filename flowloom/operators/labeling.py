@@ -165,6 +165,23 @@ def folded_label(
     )
 
 
+#: Key of label rows with endpoints, and of those without.
+PRECISE = ["src_ip", "src_port", "dest_ip", "dest_port", "proto"]
+COARSE = ["dest_port", "proto"]
+
+
+def mixed_label(flows: DataFrame, labels: DataFrame, into: str = "true_label", **options) -> DataFrame:
+    """:func:`folded_label` where only some label rows have endpoints.
+
+    Rows with endpoints label flows by the full key; what is left takes the
+    label of the coarse key from the rows without.
+    """
+    known = F.col("src_ip").isNotNull() & F.col("src_port").isNotNull() & F.col("dest_ip").isNotNull()
+    first = folded_label(flows, labels.where(known), PRECISE, into="__precise", **options)
+    both = folded_label(first, labels.where(~known), COARSE, into="__coarse", **options)
+    return both.withColumn(into, F.coalesce("__precise", "__coarse")).drop("__precise", "__coarse")
+
+
 def unmatched(df: DataFrame, label: str = "true_label") -> DataFrame:
     """Flows that found no label."""
     return df.where(F.col(label).isNull())

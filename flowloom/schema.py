@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import types as T
 
 # Feature names in model order. -------------------------------
@@ -115,8 +117,20 @@ def _as_text(kind: T.DataType) -> T.DataType:
     return kind if isinstance(kind, T.BooleanType) else T.StringType()
 
 
-#: JSON scan layout: scalars stay text, so a port sent as ``"80"`` is kept.
-EVE_TEXT = T.StructType(_as_text(EVE).fields + [T.StructField("_corrupt_record", _S)])
+def _with_variant(layout: T.StructType, path: Sequence[str]) -> T.StructType:
+    """The layout with one field kept as the JSON value it is."""
+    name, *rest = path
+    return T.StructType([
+        f if f.name != name else T.StructField(name, _with_variant(f.dataType, rest) if rest else T.VariantType())
+        for f in layout
+    ])
+
+
+#: JSON scan layout: scalars stay text, so a port sent as ``"80"`` is kept. The flags of the answering
+#: side are hexadecimal as text and decimal as a number, so their kind is kept.
+EVE_TEXT = _with_variant(T.StructType(
+    _as_text(EVE).fields + [T.StructField("_corrupt_record", _S)]
+), ("tcp", "tcp_flags_tc"))
 
 BINETFLOW = _struct(*[
     (name, _S) for name in (

@@ -34,8 +34,18 @@ def _typed(col: Column, kind: T.DataType) -> Column:
     return col.try_cast(kind)
 
 
+def _hex_text(flags: Column) -> Column:
+    """Flags as hexadecimal text, from a JSON text (hexadecimal) or number (decimal)."""
+    number = F.try_variant_get(flags, "$", "double")
+    return F.when(F.schema_of_variant(flags) == "STRING", F.try_variant_get(flags, "$", "string")).when(
+        number.between(0, 0xFFFFFFFF), F.lower(F.hex(F.floor(number)))
+    )
+
+
 def type_events(raw: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Text-typed records -> :data:`flowloom.schema.EVE` plus ``extra`` columns."""
+    if isinstance(raw.schema["tcp"].dataType["tcp_flags_tc"].dataType, T.VariantType):
+        raw = raw.withColumn("tcp", F.col("tcp").withField("tcp_flags_tc", _hex_text(F.col("tcp.tcp_flags_tc"))))
     return raw.select(
         *[_typed(F.col(f.name), f.dataType).alias(f.name) for f in EVE], *extra
     )

@@ -61,17 +61,23 @@ def read_label_csv(spark: SparkSession, path: str | Sequence[str]) -> tuple[Data
     Files may differ in their headers, in names and in order: those with the
     same header are read together, and each header is resolved on its own.
     Only the named columns are read. Rows with an unreadable port or time are
-    skipped. Headers are looked up file by file on the driver.
+    skipped. Where only some files have endpoints, the rows of the others have
+    nulls there, see :func:`flowloom.operators.labeling.mixed_label`. One pass
+    over the files' first lines finds the headers; the driver sees one row per
+    header.
     """
-    listed = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path))
-    files: dict[tuple[str, ...], list[str]] = {}
-    for row in listed.select("path").orderBy("path").collect():
-        head = spark.read.option("header", "true").csv(row["path"]).columns
-        files.setdefault(tuple(head), []).append(row["path"])
-    tables = [_label_rows(spark, names) for names in files.values()]
-    full = all(has for _, has in tables)
-    shared = [c for c in tables[0][0].columns if full or c not in OPTIONAL_COLUMNS]
-    return reduce(DataFrame.unionByName, [rows.select(*shared) for rows, _ in tables]), full
+    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+    )
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    found = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("files").collect()
+    if not found:
+        raise ValueError("label table has no file with a line")
+    tables = [_label_rows(spark, row["files"]) for row in found]
+    some, full = (check(has for _, has in tables) for check in (any, all))
+    kept = [rows if some else rows.drop(*OPTIONAL_COLUMNS) for rows, _ in tables]
+    return reduce(DataFrame.unionByName, kept), full
 
 
 def _label_rows(spark: SparkSession, path: Sequence[str]) -> tuple[DataFrame, bool]:
@@ -93,18 +99,14 @@ def _label_rows(spark: SparkSession, path: Sequence[str]) -> tuple[DataFrame, bo
     def col(name: str):
         return F.col(f"`{name}`")
 
+    ends = {k: F.trim(col(v)) if full else F.lit(None).cast("string") for k, v in optional.items()}
     out = {
         "dest_port": F.trim(col(found["dest_port"])).try_cast("int"),
         "proto": protocol(col(found["proto"]), upper=True),
         "ts": parse_ts(col(found["timestamp"]), LABEL_CSV_FORMATS),
         "label": attack_family(col(found["label"])),
+        **ends, "src_port": ends["src_port"].try_cast("int"),
     }
-    if full:
-        out |= {
-            "src_ip": F.trim(col(optional["src_ip"])),
-            "src_port": F.trim(col(optional["src_port"])).try_cast("int"),
-            "dest_ip": F.trim(col(optional["dest_ip"])),
-        }
     rows = raw.select(
         *[c.alias(n) for n, c in out.items()], line_position().alias("seq"),
         F.col("_metadata.file_path").alias("file"),
