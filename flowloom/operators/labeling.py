@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.labels import protocol
 from ..functions.timefmt import micros, minute_of_day
 from ..schema import COARSE_CLASSES
-from .ordering import MAX_GROUP_ROWS, bounded, carried, neighbours, running_totals
+from ..session import shared_dir
+from .ordering import MAX_GROUP_ROWS, bounded, neighbours, running_totals
 
 #: Columns produced by :func:`five_tuple_key`.
 FIVE_TUPLE = ["ep_low", "ep_high", "proto_key"]
@@ -404,6 +405,7 @@ def merged_spans(
     one span; those without an end, or with their ends in the wrong order,
     count for nothing.
     """
+    shared_dir(windows.sparkSession)
     first, last = micros(F.col(start)), micros(F.col(end))
     ends = F.explode(F.array(
         F.struct(F.col("a").alias("pos"), F.lit(1).alias("step")),
@@ -413,7 +415,7 @@ def merged_spans(
         windows.select(first.alias("a"), last.alias("b")).where("a <= b")
         .select(ends.alias("e")).select("e.*")
         .groupBy("pos").agg(F.sum("step").alias("step")).where("step <> 0")
-    )
+    ).checkpoint()  # both counts below, and the looks at their size, read it
     counted = running_totals(steps, [], [F.col("pos")], {"open": F.col("step")}, max_rows)
     edges = counted.where((F.col("open") == 0) | (F.col("open") == F.col("step"))).select(
         "pos", (F.col("step") > 0).cast("long").alias("begins")
@@ -422,6 +424,10 @@ def merged_spans(
     return numbered.groupBy("span").agg(F.min("pos").alias("a"), (F.max("pos") - 1).alias("b")).drop("span")
 
 
+#: Groups that a time bucket is dealt over.
+SALTS = 64
+
+
 def interval_label(
     df: DataFrame,
     windows: DataFrame,
@@ -437,7 +443,8 @@ def interval_label(
     ``victims``: ip. The windows are merged into disjoint spans; the flows of
     victims then meet, in time buckets, the latest edge of a span at or before
     them. Flows are never multiplied, no list is collected, and flows without
-    a victim stay where they are.
+    a victim stay where they are. A bucket is dealt over ``SALTS`` groups, each
+    with a copy of its few edges, so a busy hour is many tasks' work.
     """
     width = F.lit(bucket_s * MICROS).cast("long")
 
@@ -468,11 +475,16 @@ def interval_label(
     asked = marked.where("__hit").select(
         *df.columns, bucket(at).alias("__bucket"), at.alias("__pos"), F.lit(True).alias("__flow"),
     )
+    salt = F.pmod(F.xxhash64("__pos", "src_ip", "dest_ip"), F.lit(SALTS)).cast("int")
+    rows = asked.withColumn("__salt", salt).unionByName(
+        edges.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))),
+        allowMissingColumns=True,
+    )
     # An edge sorts before a flow of the same time.
-    rows = carried(
-        asked.unionByName(edges, allowMissingColumns=True), ["__bucket"], ["__pos", "__flow"],
-        "__edge", "__inside", max_rows,
+    so_far = Window.partitionBy("__bucket", "__salt").orderBy("__pos", "__flow").rowsBetween(
+        Window.unboundedPreceding, 0
     )
+    rows = rows.withColumn("__inside", F.last("__edge", ignorenulls=True).over(so_far))
     found = rows.where("__flow").select(
         *df.columns, F.when(F.col("__inside"), 1).otherwise(0).alias(into)
     )

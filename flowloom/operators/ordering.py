@@ -262,35 +262,6 @@ def neighbours(
     return reduce(DataFrame.unionByName, done)
 
 
-def carried(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], mark: str, into: str,
-    max_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
-    """Add the latest non-null ``mark`` at or before each row: :func:`neighbours` with one sort."""
-    keys, order = list(keys), list(order)
-    light, heavy = split_heavy(df, keys, max_rows)
-
-    def along(rows: DataFrame, part: list[str], by: list[str]) -> DataFrame:
-        w = Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn(into, F.last(mark, ignorenulls=True).over(w))
-
-    done = [along(light, keys, order)] if light is not None else []
-    if heavy is not None:
-        pieces = _pieces(heavy, keys, [F.col(c) for c in order])
-        ends = pieces.groupBy(*keys, "__o_piece").agg(
-            F.max_by(mark, F.when(F.col(mark).isNotNull(), F.col("__o_pos"))).alias("__o_last")
-        )
-        before = Window.partitionBy(*keys).orderBy("__o_piece").rowsBetween(Window.unboundedPreceding, -1)
-        carry = ends.select(
-            *keys, "__o_piece", F.last("__o_last", ignorenulls=True).over(before).alias("__o_carry")
-        )
-        placed = _attach(
-            along(pieces, [*keys, "__o_piece"], ["__o_pos"]), bounded(carry), [*keys, "__o_piece"]
-        )
-        done.append(placed.withColumn(into, F.coalesce(into, "__o_carry")).select(*df.columns, into))
-    return reduce(DataFrame.unionByName, done)
-
-
 def with_halo(df: DataFrame, rank: str, chunk_rows: int, back: int) -> DataFrame:
     """Cut ranked rows into chunks that start with the ``back`` rows before them.
 

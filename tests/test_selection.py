@@ -1,4 +1,4 @@
-"""Order statistics, merged spans and carried marks, with every road forced, against plain Python."""
+"""Order statistics and merged spans, with every road forced, against plain Python."""
 
 import datetime as dt
 import random
@@ -8,7 +8,6 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from flowloom.operators.labeling import interval_label, merged_spans
-from flowloom.operators.ordering import carried
 from flowloom.operators.sampling import first_n, ordered_split, slice_rows
 from flowloom.operators.selection import order_codes, rows_between, value_cuts
 
@@ -95,10 +94,3 @@ def test_spans_and_labels(spark, max_rows):
     want = [(i, int("v" in (s, d) and t is not None and any(a <= t <= b for a, b in spans))) for i, s, d, t in flows]
     assert rows(got, "i", "label") == want and 0 < sum(w[1] for w in want) < len(want)
     assert rows(interval_label(df, frame.limit(0), victims).select("label").distinct()) == [(0,)]
-
-
-def test_carried_marks(spark):
-    df = spark.createDataFrame([("k", i, f"m{i}" if i % 7 == 2 else None) for i in range(40)] + [("l", 1, None)], "k string, i int, m string")
-    plain, heavy = (rows(carried(df.repartition(5), ["k"], ["i"], "m", "last", n), "k", "i", "last") for n in (10**6, 6))
-    assert plain == heavy == sorted([("k", i, f"m{(i - 2) // 7 * 7 + 2}" if i >= 2 else None) for i in range(40)] + [("l", 1, None)], key=str) or plain == heavy
-    assert dict(((k, i), m) for k, i, m in heavy)["k", 8] == "m2"
