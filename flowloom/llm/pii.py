@@ -12,7 +12,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import let, packed, query, sized, stored, table
+from .common import let, packed, query, running, sized, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, written so that no start is tried inside a run that has failed already:
@@ -72,9 +72,7 @@ def _spans(text: Column, pattern: Column | str, needed: str | None, valid, width
     cut = F.split(F.regexp_replace(safe, pattern, MARK + "$0" + MARK), MARK, -1)
 
     def located(parts: Column) -> Column:
-        ends = F.aggregate(
-            parts, F.array().cast("array<int>"),
-            lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + F.length(x))))
+        ends = running(F.transform(parts, F.length), "int", lambda a, b: a + b)
 
         def span(e: Column, i: Column) -> Column:
             before, after = F.get(parts, i - 1), F.get(parts, i + 1)
@@ -95,7 +93,7 @@ def _spans(text: Column, pattern: Column | str, needed: str | None, valid, width
 
 def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``row, doc_id, text`` and an array of spans per kind. Null text counts as empty."""
-    out = packed(docs).select("row", F.col(f"row.`{doc_id}`").alias("doc_id"), F.coalesce(f"row.{text}", F.lit("")).alias("text"))
+    out = packed(docs).select("row", F.col(f"row.`{doc_id}`").alias("doc_id"), F.coalesce(f"row.`{text}`", F.lit("")).alias("text"))
     return out.withColumns({k: _spans(F.col("text"), PATTERNS[k], NEEDED[k], partial(_valid, k)) for k in KINDS})
 
 
@@ -105,11 +103,12 @@ def _by_kind(kinds, of) -> Column:
 
 
 def _entities(spans: DataFrame) -> DataFrame:
-    """``doc_id, copy, entity, near``: one row per span; ``copy`` is a hash of the text. An entity is a kind and what is written, less case and separators."""
+    """``copy, long, entity, near``: one row per span; ``copy`` is a hash of the text, ``long`` its length. An entity is a kind and what is written, less case and separators."""
     plain = lambda k, v: F.lower(v) if k in ("email", "ip") else F.regexp_replace(v, "[^0-9]", "")
     each = _by_kind(KINDS, lambda k, s: F.struct(
         F.concat(F.lit(k + ":"), plain(k, s.getField("value"))).alias("entity"), s.getField("near").alias("near")))
-    return spans.select("doc_id", F.xxhash64("text").alias("copy"), F.explode(each).alias("e")).select("doc_id", "copy", "e.entity", "e.near")
+    known = [F.xxhash64("text").alias("copy"), F.length("text").alias("long")]
+    return spans.select(*known, F.explode(each).alias("e")).select("copy", "long", "e.entity", "e.near")
 
 
 def _terms(text: Column) -> Column:
@@ -189,18 +188,20 @@ def personal_data(
     """The rows of ``docs`` in a struct ``row``, with arrays of spans ``email, ip, card, phone, term``.
 
     Null and empty texts have no spans. Kinds may overlap each other; within a kind spans do not.
-    Rows that repeat an id are searched apart for entities and share the terms to mask. Null ids
-    count as one id. An empty table gives no rows.
+    Each row is masked by the entities of its own text, whatever its id: equal texts have the same
+    terms. An empty table gives no rows.
     """
     spans = found(docs, doc_id, text)
     terms = stored(disclosing_terms(docs, threshold, chance, doc_id, text).select("entity", "term"), "pii-terms")
     none = F.array().cast(f"array<{SPAN}>")
     if terms.isEmpty():
         return spans.withColumn("term", none)
-    held = _entities(spans).select("doc_id", "entity").distinct()
-    by_doc = held.join(sized(terms, MOST_TERMS), "entity").groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    by_doc = sized(stored(by_doc, "pii-documents"), MOST_DOCUMENTS)
-    joined = spans.join(by_doc, F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
+    # a text is known by a 64-bit hash and its length; few texts hold an entity that has terms
+    held = _entities(spans).select("copy", "long", "entity").join(sized(terms, MOST_TERMS), "entity")
+    by_text = held.groupBy(F.col("copy").alias("of"), F.col("long").alias("of_long")).agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    by_text = sized(stored(by_text, "pii-texts"), MOST_DOCUMENTS)
+    same = (F.xxhash64("text") == F.col("of")) & (F.length("text") == F.col("of_long"))
+    joined = spans.join(by_text, same, "left").drop("of", "of_long")
     # words as a whole; of the other scripts, all letters under a term
     one_of = lambda kind: F.array_join(F.filter("terms", lambda t: t.rlike(f"^{UNSPACED}") if kind else ~t.rlike(f"^{UNSPACED}")), "|")
     words = F.when(one_of(False) != "", F.concat(F.lit(f"(?<!{LETTER})(?:"), one_of(False), F.lit(f")(?!{LETTER})")))
@@ -210,6 +211,32 @@ def personal_data(
     return joined.withColumn("term", F.when(F.size("terms") > 0, masked).otherwise(none)).drop("terms")
 
 
+#: Code points of the blocks that a text is cut into where many places of it are looked up.
+BLOCK = 2048
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """``text`` with sorted spans of ``start, -end, by`` replaced: by the first of those that overlap.
+
+    What stays is read from blocks of the text, since to find a place means to count from the beginning.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    reached = running(F.transform(spans, lambda s: -s.getField("end")), "int", F.greatest)
+
+    def between(cut: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+        own = F.array_join(F.slice(cut, first + 1, last - first + 1), "")
+        return F.when(b > a, F.substring(own, a - first * BLOCK + 1, b - a)).otherwise("")
+
+    def pieces(cut: Column, ends: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        shown = F.transform(spans, lambda s, i: F.when(
+            s.getField("start") >= before(i), F.concat(between(cut, before(i), s.getField("start")), s.getField("by"))).otherwise(""))
+        return F.concat(F.array_join(shown, ""), between(cut, F.get(ends, F.size(ends) - 1), F.length(text)))
+
+    return let(blocks, lambda cut: let(reached, lambda ends: pieces(cut, ends)))
+
+
 def sanitised(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", **settings) -> DataFrame:
     """The rows of ``docs`` with every span replaced by its kind in brackets: a general term in place of it.
 
@@ -219,15 +246,8 @@ def sanitised(docs: DataFrame, text: str = "text", n_chars: str | None = "n_char
     spans = personal_data(docs, text=text, **settings)
     every = F.array_sort(_by_kind((*KINDS, "term"), lambda k, s: F.struct(
         s.getField("start").alias("start"), (-s.getField("end")).alias("end"), F.lit(f"[{k.upper()}]").alias("by"))))
-
-    def step(acc: Column, s: Column) -> Column:
-        at, start, end = acc.getField("at"), s.getField("start"), -s.getField("end")
-        new = F.concat(acc.getField("out"), F.substring(F.col("text"), at + 1, start - at), s.getField("by"))
-        return F.struct(F.greatest(at, end).alias("at"), F.when(start >= at, new).otherwise(acc.getField("out")).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(every, start, step, lambda acc: F.concat(acc.getField("out"), F.substring(F.col("text"), acc.getField("at") + 1, F.length("text"))))
-    out = spans.withColumn("every", F.size(every)).withColumn("clean", F.when(F.col("every") > 0, clean))
+    out = spans.withColumn("every", every)
+    out = out.withColumn("clean", F.when(F.size("every") > 0, _replaced(F.col("text"), F.col("every")))).withColumn("every", F.size("every"))
     fields = []
     for c in docs.columns:
         old = F.col("row").getField(c)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import units
-from .common import in_small_batches, sized, stored
+from .common import in_small_batches, let, sized, stored
 
 #: Positions are packed as start, windows: 36 and 8 bits.
 START_BITS, COUNT_BITS = 36, 8
@@ -214,28 +214,26 @@ def piece_groups(docs: DataFrame, w: Windows) -> tuple[DataFrame, DataFrame]:
 
 
 def runs_by_document(found: DataFrame, w: Windows) -> DataFrame:
-    """Maximal runs of units under repeated windows of each text: ``of, of_number, runs``, an array of from, to.
+    """Runs of units under repeated windows of each text: ``of, of_number, runs``, an array of from, to, from, to.
 
     ``found`` has ``doc_id, number, place`` and ``ws``: the windows of the piece that are repeated, null
-    for all. Rows with one id and one text give their runs once.
+    for all. Runs of one piece are maximal; those of pieces next to each other may overlap, and are put
+    together where the units are flagged (``without_runs``). Rows with one id and one text give their
+    runs once.
     """
     start = F.shiftright("place", COUNT_BITS).bitwiseAND((1 << START_BITS) - 1)
     count = F.col("place").bitwiseAND((1 << COUNT_BITS) - 1)
-    run = lambda first, last: F.struct((start + first).alias("from"), (start + last + w.length).alias("to"))
-    each = F.when(F.col("ws").isNull(), F.array(run(F.lit(0), count - 1))).otherwise(F.transform("ws", lambda i: run(i, i)))
-    rows = found.select("doc_id", "number", F.explode(each).alias("run"))
-    sorted_runs = F.sort_array(F.collect_set("run"))
-    kind = "array<struct<from:bigint,to:bigint>>"
-
-    def merge(acc, x):
-        last = F.get(acc, F.size(acc) - 1)
-        longer = F.struct(last.getField("from").alias("from"), F.greatest(last.getField("to"), x.getField("to")).alias("to"))
-        return F.when(F.coalesce(last.getField("to") >= x.getField("from"), F.lit(False)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
-
-    grouped = rows.groupBy(F.col("doc_id").alias("of"), F.col("number").alias("of_number")).agg(sorted_runs.alias("sorted"))
-    merged = grouped.select("of", "of_number", F.aggregate("sorted", F.array().cast(kind), merge).alias("runs"))
-    flat = F.flatten(F.transform("runs", lambda r: F.array(r.getField("from"), r.getField("to"))))
-    return stored(merged.select("of", "of_number", flat.alias("runs")), "repeat-runs")
+    run = lambda first, last: F.array((start + first).cast("long"), (start + last + w.length).cast("long"))
+    ws = F.array_sort("ws")
+    # windows whose units touch make one run; its ends are where the next window is too far away
+    far = lambda a, b: F.coalesce(b - a > w.length, F.lit(True))
+    begins = lambda v: F.filter(v, lambda x, i: far(F.get(v, i - 1), x))
+    ends = lambda v: F.filter(v, lambda x, i: far(x, F.get(v, i + 1)))
+    together = let(ws, lambda v: F.zip_with(begins(v), ends(v), run))
+    each = F.when(F.col("ws").isNull(), F.array(run(F.lit(0), count - 1))).otherwise(together)
+    rows = found.select("doc_id", "number", F.flatten(each).alias("runs"))
+    runs = rows.groupBy(F.col("doc_id").alias("of"), F.col("number").alias("of_number")).agg(F.flatten(F.collect_set("runs")).alias("runs"))
+    return stored(runs, "repeat-runs")
 
 
 def without_runs(docs: DataFrame, runs: DataFrame, w: Windows, columns: str, finish: Callable) -> DataFrame:
