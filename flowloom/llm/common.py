@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import configure, scratch_path
@@ -50,10 +51,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 #: A number per row, where ids may repeat or be missing.
 KEY = "flowloom row"
+#: Bits of the number that count rows within a file, and files up to which their table is broadcast.
+ROW_BITS, MOST_FILES = 36, 1_000_000
+PLACE = ("flowloom file", "flowloom position", "flowloom ordinal")
 
 
-def keyed(df: DataFrame, name: str) -> DataFrame:
-    """``df``, stored with a number of its own for each row in ``KEY``."""
+def keyed(df: DataFrame, name: str, scanned: bool = False) -> DataFrame:
+    """``df`` with a number of its own for each row in ``KEY``.
+
+    ``scanned`` says that ``df`` is read from files and nothing multiplies its rows: the number is then
+    the row's place, by file and position, and nothing is written. Otherwise ``df`` is stored first.
+    """
+    placed = None
+    if scanned:
+        try:
+            placed = df.withColumns({PLACE[0]: F.col("_metadata.file_path"), PLACE[1]: F.col("_metadata.row_index")})
+        except AnalysisException:
+            # not one scan, but a union of several, say: its rows have no place
+            placed = None
+    if placed is not None:
+        # one row per file, so that one task numbers them
+        files = placed.select(PLACE[0]).distinct().coalesce(1).withColumn(PLACE[2], F.monotonically_increasing_id())
+        numbers = sized(stored(files, f"{name}-files"), MOST_FILES)
+        number = F.shiftleft(F.col(f"`{PLACE[2]}`"), ROW_BITS) + F.col(f"`{PLACE[1]}`")
+        rows = placed.join(numbers, PLACE[0]).withColumn(KEY, number)
+        return rows.select(*[f"`{c}`" for c in df.columns], f"`{KEY}`")
     return stored(df.withColumn(KEY, F.monotonically_increasing_id()), name)
 
 
@@ -70,6 +92,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, kind: str, add: Callable[[Column, Column], Column]) -> Column:
+    """The running totals of an array of ``kind`` under ``add``, which is associative, as an array.
+
+    An array that grows step by step is copied at each step, so totals run in blocks of about the root
+    of its size, then over the blocks.
+    """
+
+    def scan(block: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            last = F.get(acc, F.size(acc) - 1)
+            return F.concat(acc, F.array(F.when(last.isNull(), x).otherwise(add(last, x))))
+
+        return F.aggregate(block, F.array().cast(f"array<{kind}>"), step)
+
+    def joined(blocks: Column, before: Column) -> Column:
+        def moved(block: Column, i: Column) -> Column:
+            return F.when(i == 0, block).otherwise(F.transform(block, lambda x: add(F.get(before, i - 1), x)))
+
+        return F.flatten(F.transform(blocks, moved))
+
+    def totals(v: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(v), step), lambda i: scan(F.slice(v, i, step)))
+        return let(blocks, lambda b: let(scan(F.transform(b, lambda x: F.get(x, F.size(x) - 1))), lambda before: joined(b, before)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, totals(v)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and wordless texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(GAP_CHARS))

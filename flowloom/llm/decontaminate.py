@@ -212,9 +212,12 @@ def hit_counts(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", covered.alias("n_hit"), listed.alias("items"))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **settings) -> DataFrame:
-    """The rows of ``docs`` without an exact hit. Each row is judged by its own text, whatever its id ``doc_id``."""
-    rows = keyed(docs, "documents-to-clean")
+def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", scanned: bool = False, **settings) -> DataFrame:
+    """The rows of ``docs`` without an exact hit. Each row is judged by its own text, whatever its id ``doc_id``.
+
+    Where ``docs`` is ``scanned`` from files no text is written again (see ``keyed``).
+    """
+    rows = keyed(docs, "documents-to-clean", scanned)
     hit = hit_counts(contamination(rows, items, doc_id=KEY, **settings)).where("n_hit > 0")
     hit = sized(stored(hit.select(F.col("doc_id").alias(KEY)), "contaminated"), MOST_DOCUMENTS)
     return rows.join(hit, KEY, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -290,13 +290,14 @@ def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", **settings) -> Data
     return named.unionByName(kept.where(F.col(f"`{doc_id}`").isNull()))
 
 
-def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", **settings) -> DataFrame:
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", scanned: bool = False, **settings) -> DataFrame:
     """One row of ``docs`` of each group: the one with the least id, null last; of equal ids, one of the rows.
 
     Groups are of rows: different texts of one id, or without one, all stay, and near copies of each
-    other without an id leave one.
+    other without an id leave one. Where ``docs`` is ``scanned`` from files no text is written again
+    (see ``keyed``).
     """
-    rows = keyed(docs, "documents-to-group")
+    rows = keyed(docs, "documents-to-group", scanned)
     groups = jaccard_groups(rows, doc_id=KEY, **settings).select(F.col("doc_id").alias(KEY), F.col("component_id").alias("of"))
     ids = rows.select(KEY, F.col(f"`{doc_id}`").alias("id"))
     groups = stored(groups.join(ids, KEY), "row-groups")

@@ -1,12 +1,14 @@
 """Whole jobs: rare entities, rows without an id of their own."""
 
 import hashlib
+import itertools
 import random
+import time
 
 import brute
 from pyspark.sql import functions as F
 
-from flowloom.llm import decontaminate, jaccard_join, mixing, pii, seed_extend, suffix
+from flowloom.llm import common, decontaminate, jaccard_join, mixing, pii, seed_extend, suffix
 
 
 def test_terms_near_rare_entities(spark):
@@ -78,3 +80,57 @@ def test_rows_decide_not_ids(spark):
     taken = mixing.mix(df).agg(F.sum("taken")).first()[0]
     out = mixing.mixed_documents(df).collect()
     assert sum(r.copies * len(r.text.split()) for r in out) == taken and len(out) <= len(docs)
+
+
+def test_rows_by_their_place_in_files(spark, tmp_path):
+    """Rows read from files are numbered without being written, and a mix of them takes the same words."""
+    key = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    docs = [(None if i % 3 else i % 9, f"w{i} " * (1 + i % 40), "abc"[i % 3]) for i in range(600)]
+    docs += [(None, "same words each time", "a")] * 300
+    spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    numbered = common.keyed(df, "unused", scanned=True)
+    assert numbered.select(common.KEY).distinct().count() == len(docs) and numbered.columns == [*df.columns, common.KEY]
+    assert key(numbered.drop(common.KEY)) == key(df)
+    assert common.keyed(df.union(df), "twice", scanned=True).select(common.KEY).distinct().count() == 2 * len(docs)
+    out = mixing.mixed_documents(df, scanned=True)
+    assert key(out) == key(mixing.mixed_documents(df, scanned=True))
+    taken = {s: 0 for s in "abc"}
+    for r in out.collect():
+        taken[r.source] += r.copies * len(r.text.split())
+    per = mixing.mix(df).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    # equal rows are taken in part, rows without an id one by one: no source is off by more than a text
+    assert len(per) == 3 and all(abs(r.taken - r.target) <= 40 for r in per)
+    assert all(abs(a - b) <= 40 for a, b in zip(sorted(taken.values()), sorted(r.target for r in per)))
+
+
+def test_terms_stay_with_their_text(spark):
+    """Rows without an id, or of one id, do not share terms: each is masked by its own entities."""
+    filler = [(i + 10, " ".join(f"common{(i * 7 + k) % 50}" for k in range(60))) for i in range(300)]
+    for of in (None, 7):
+        near = [(of, f"write to Zebulon zeb{of}@mail.example now, said note {k}") for k in range(3)]
+        apart = [(of, "the name Zebulon alone")]
+        df = spark.createDataFrame(filler + near + apart, "doc_id long, `a.text` string")
+        out = [r[1] for r in pii.sanitised(df, text="a.text", threshold=0.5, chance=1e9).collect()]
+        assert "the name Zebulon alone" in out and not any("@" in t for t in out)
+
+
+def test_many_places_in_one_text(spark):
+    """Replacement and runs grow with the text, not with its square."""
+    n = 20000
+    text = " ".join(f"u{i}@h{i % 7}.org é\U0001F600" for i in range(n))
+    one = spark.createDataFrame([(None, text), (1, "x@y.z 10.0.0.1@y.z")], "doc_id long, text string")
+    began = time.time()
+    got = [r.text for r in pii.sanitised(one, n_chars=None).collect()]
+    assert got == ["[EMAIL] é\U0001F600 " * (n - 1) + "[EMAIL] é\U0001F600", "[EMAIL] [EMAIL]"]
+    window = " ".join(f"q{i}" for i in range(13))
+    pair = spark.createDataFrame([(1, window), (2, " ".join(f"{window} z{i}" for i in range(n)))], "doc_id long, text string")
+    kept = seed_extend.keep_first(pair).where("doc_id = 2").first()
+    assert kept.n_removed == 13 * n and kept.kept == " ".join(f"z{i}" for i in range(n))
+    assert time.time() - began < 120
+
+
+def test_running_totals(spark):
+    df = spark.createDataFrame([(list(range(n, 0, -1)),) for n in (0, 1, 2, 3, 10, 17, 100)], "v array<int>")
+    got = df.select("v", common.running(F.col("v"), "int", lambda a, b: a + b).alias("t"), common.running(F.col("v"), "int", F.greatest).alias("m")).collect()
+    assert all(r.t == list(itertools.accumulate(r.v)) and r.m == list(itertools.accumulate(r.v, max)) for r in got)
