@@ -19,12 +19,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links on word shingles hold together: the one with the least id."""
-    return one_of_each_group(docs)
+    return one_of_each_group(docs, scanned=True)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"), scanned=True)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with their number of copies."""
-    return mixed_documents(docs)
+    return mixed_documents(docs, scanned=True)
 
 
 STAGES = [
