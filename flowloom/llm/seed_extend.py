@@ -1,9 +1,9 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup on winnowed anchors.
 
 Documents meet on winnowed anchors (see ``repeats``). Where an anchor's surroundings are equal as a
-whole, the match reaches over the whole piece. Where they differ, it is extended to both sides of the
-anchor as far as a window goes: each window that keeps the anchor is one way to split the threshold
-between left and right. Matches that are long enough run together into maximal repeats.
+whole, the match covers the whole piece. Where they differ, the windows that keep the anchor are
+compared by hash, instead of a match grown from the seed to both sides; the repeated windows are the
+same. Those that touch run together into maximal repeats.
 """
 
 from __future__ import annotations
