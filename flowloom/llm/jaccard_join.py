@@ -28,6 +28,8 @@ MOST_LISTS = 3_000_000
 #: Before lists are searched: rounds in which sets are tied by a least token, to so many of those that
 #: have it; and orders of tokens whose least ones are compared first.
 ROUNDS, HEADS, ORDERS = 3, 12, 16
+#: Words of 64 bits of a set's parities. Entries of one list on the left of a task, above which it is dealt to several.
+WORDS, LIST_PART = 8, 1_000
 #: Two hashes of a token for two hashes of its set.
 NODE, CHECK = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 #: Frequent tokens that are put last, by falling count, and what is counted as frequent: in a batch, in all.
@@ -51,8 +53,20 @@ def _node(s: np.ndarray) -> int:
     return int(units.mixed(s ^ NODE).sum(dtype=U64))
 
 
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, whether each of ``64 * WORDS`` slots holds an odd number of its tokens, as 64-bit words.
+
+    Two sets differ in at least as many tokens as slots of theirs differ.
+    """
+    slots = 64 * WORDS
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    slot = (np.concatenate(sets) >> U64(32)).astype(np.int64) % slots if sets else np.zeros(0, np.int64)
+    odd = np.bincount(rows * slots + slot, minlength=len(sets) * slots) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), slots), axis=1).view(U64)
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n, node, check, lows``: set size, two hashes of the set, and its least token in ``ORDERS`` orders."""
+    """``doc_id, n, node, check, lows, odd``: set size, two hashes of the set, its least token in ``ORDERS`` orders, parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,12 +81,13 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     columns[1, some] = np.add.reduceat(units.mixed(tokens ^ CHECK), first)
                     for k in range(ORDERS):
                         columns[2 + k, some] = np.minimum.reduceat(units.mixed(tokens ^ U64(k)), first)
-                lows = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * ORDERS, pa.int32()), _long(columns[2:].T.ravel()))
+                each = lambda k, values: pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * k, pa.int32()), _long(values.ravel()))  # noqa: B023, E731
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(at, len(sets)), pa.array(n), _long(columns[0]), _long(columns[1]), lows],
-                    ["doc_id", "n", "node", "check", "lows"])
+                    [batch.column("doc_id").slice(at, len(sets)), pa.array(n), _long(columns[0]), _long(columns[1]),
+                     each(ORDERS, columns[2:].T), each(WORDS, _parities(sets))],
+                    ["doc_id", "n", "node", "check", "lows", "odd"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, lows array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, lows array<long>, odd array<long>")
 
 
 def frequent_tokens(docs: DataFrame, size: int) -> np.ndarray:
@@ -91,7 +106,7 @@ def frequent_tokens(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, size: int, percent: int, frequent, light: int) -> DataFrame:
-    """``token, single, node, n, comp``: prefix tokens of heavy sets and pairs of them of light sets.
+    """``token, single, at, node, n, comp``: prefix tokens of heavy sets, with their place, and pairs of them of light sets.
 
     Light sets close enough to the boundary to match a heavy one have entries of both kinds.
     """
@@ -114,16 +129,16 @@ def _entries(docs: DataFrame, size: int, percent: int, frequent, light: int) ->
                     comp = node if comps[at + i] is None else comps[at + i]
                     prefix = n + (-percent * n // 100) + 1
                     if 100 * n >= percent * light:
-                        out.append((s[:prefix], True, node, n, comp))
+                        out.append((s[:prefix], True, node, n, comp, np.arange(prefix)))
                     if n <= light:
                         a, b = np.triu_indices(prefix + 1 if prefix < n else n, 1)
-                        out.append((units.mixed(s[a] * U64(0x9E3779B97F4A7C15) + units.mixed(s[b])), False, node, n, comp))
+                        out.append((units.mixed(s[a] * U64(0x9E3779B97F4A7C15) + units.mixed(s[b])), False, node, n, comp, np.zeros(len(a), np.int64)))
                 if out:
                     k = [len(x[0]) for x in out]
                     column = lambda j, kind: pa.array(np.repeat(np.array([x[j] for x in out], kind), k))  # noqa: B023, E731
-                    yield pa.record_batch([_long(np.concatenate([x[0] for x in out])), column(1, bool), column(2, np.int64), column(3, np.int32), column(4, np.int64)], ["token", "single", "node", "n", "comp"])
+                    yield pa.record_batch([_long(np.concatenate([x[0] for x in out])), column(1, bool), column(2, np.int64), column(3, np.int32), column(4, np.int64), pa.array(np.concatenate([x[5] for x in out]), pa.int32())], ["token", "single", "node", "n", "comp", "at"])
 
-    return docs.select("text", "comp").mapInArrow(run, "token long, single boolean, node long, n int, comp long")
+    return docs.select("text", "comp").mapInArrow(run, "token long, single boolean, node long, n int, comp long, at int")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, percent: int, unique: bool) -> DataFrame:
@@ -197,6 +212,36 @@ def boundary(nodes: DataFrame, percent: int) -> int:
     return best
 
 
+def _met(lists: DataFrame, nodes: DataFrame, percent: int, light: int) -> DataFrame:
+    """``a, b``: nodes of different components that meet in a list and may agree to ``percent``; may repeat.
+
+    A pair is made only where the sizes allow the overlap, the parities of the sets do not show that too
+    many tokens differ, and the token lies in both of the prefixes that the overlap of these two sizes
+    leaves, shorter than those listed. Two light sets meet by pairs of tokens alone. None of these tests
+    drops a link. A list of more than ``LIST_PART`` entries is dealt to several tasks.
+    """
+    tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    odd = lists.select("node").distinct().join(nodes.select("node", "odd"), "node").dropDuplicates(["node"])
+    entries = stored(lists.join(odd, "node"), "list-entries")
+
+    def side(df: DataFrame, x: str, part) -> DataFrame:
+        words = [F.get("odd", F.lit(k)).alias(f"odd{k}_{x}") for k in range(WORDS)]
+        return df.select("token", "single", part.alias("part"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"),
+                         F.col("comp").alias(f"c_{x}"), F.col("at").alias(f"at_{x}"), *words).repartition(tasks, "token", "single", "part")
+
+    left = side(entries, "a", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    right = side(entries, "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = F.col("n_a") + F.col("n_b")
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    overlap = F.ceil(percent * both / (100 + percent))
+    early = (F.col("at_a") <= F.col("n_a") - overlap) & (F.col("at_b") <= F.col("n_b") - overlap)
+    placed = F.when(F.col("single"), early & (F.greatest("n_a", "n_b") > light)).otherwise(True)
+    differ = sum((F.bit_count(F.col(f"odd{k}_a").bitwiseXOR(F.col(f"odd{k}_b"))) for k in range(WORDS)), F.lit(0))
+    close = (100 + percent) * differ <= (100 - percent) * both
+    met = left.join(right, ["token", "single", "part"])
+    return met.where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits & placed & close).select("a", "b")
+
+
 def jaccard_groups(
     docs: DataFrame, percent: int = 75, size: int = 5, doc_id: str = "doc_id", text: str = "text", light: int | None = None,
 ) -> DataFrame:
@@ -211,15 +256,14 @@ def jaccard_groups(
     First, in a few rounds, the nodes of one least token are tied to one of them, and compared: each
     round in another order of the tokens, and without what is one component by then. Then lists are
     searched for pairs of different components only: a list within one component is dropped before
-    any pair is made, and a pair goes on to be compared only if it has as many common prefix tokens
-    as it needs. Every link is either found or lies within a component.
+    any pair is made, and a pair goes on to be compared only if it passes the tests of ``_met``. Every link is either found or lies within a component.
     """
     last = (1 << 63) - 1
     texts = in_small_batches(docs).select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(last)).alias("doc_id"), F.col(f"`{text}`").alias("text"))
     spark = docs.sparkSession
     signed = stored(signatures(texts, size), "shingle-sets")
     nodes = stored(signed.where("n > 0").groupBy("node", "check").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("lows").alias("lows")), "set-nodes")
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("lows").alias("lows"), F.first("odd").alias("odd")), "set-nodes")
     # Texts of nodes only: ids under which no node is represented are copies.
     of = signed.where("n > 0").select("doc_id").distinct().join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti")
     copies = sized(stored(of.withColumnRenamed("doc_id", "copy"), "copies"), MOST_IDS)
@@ -246,20 +290,12 @@ def jaccard_groups(
     limit = boundary(nodes, percent) if light is None else light
     frequent = spark.sparkContext.broadcast(frequent_tokens(texts, size))
     entries = _entries(labelled, size, percent, frequent, limit)
-    mixed = entries.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one < other")
-    mixed = sized(stored(mixed.select("token"), "mixed-lists"), MOST_LISTS)
-    lists = stored(entries.join(mixed, "token", "left_semi"), "lists")
-    left = lists.select("token", "single", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("c_a"))
-    right = lists.select("token", "single", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("c_b"))
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    met = left.join(right, ["token", "single"]).where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits)
-    counted = met.groupBy("a", "b", "n_a", "n_b").agg(F.count_if("single").alias("common"), F.count_if(~F.col("single")).alias("subsets"))
-    prefix = lambda n: n - F.ceil(F.lit(percent) * n / 100) + 1
-    overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    needed = overlap - F.greatest(F.col("n_a") - prefix(F.col("n_a")), F.col("n_b") - prefix(F.col("n_b")))
-    both_light = F.greatest("n_a", "n_b") <= limit
-    enough = F.when(both_light, F.col("subsets") > 0).otherwise((F.col("common") > 0) & (F.col("common") >= needed))
-    pairs = stored(counted.where(enough).select("a", "b"), "pairs")
+    mixed = entries.groupBy("token").agg(
+        F.min("comp").alias("one"), F.max("comp").alias("other"), F.ceil(F.count("*") / LIST_PART).cast("int").alias("parts")).where("one < other")
+    mixed = sized(stored(mixed.select("token", "parts"), "mixed-lists"), MOST_LISTS)
+    lists = stored(entries.join(mixed, "token"), "lists")
+    met = _met(lists, nodes, percent, limit)
+    pairs = stored(met.select("a", "b").distinct(), "pairs")
     more = _verified(texts, pairs, nodes, size, percent, unique)
     final = stored(components(edges.union(stored(more, "links"))), "components")
 
