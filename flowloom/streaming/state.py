@@ -21,8 +21,12 @@ from ..schema import DNS, HTTP, SESSION_GAP_S, TLS, WINDOW_SIZE
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KINDS = {"http": HTTP, "tls": TLS, "dns": DNS}
-#: Groups per key that rows without state are spread over.
+#: Groups that rows without state are spread over.
 SPREAD = 256
+#: Rows of a source that a call gives back at once.
+OUT_ROWS = 4096
+#: Groups that the ids of the enrichment share. A call costs some twenty milliseconds, however few its rows are.
+BUCKETS = 1024
 #: Column of arrival times, and by how much a later batch may lie behind an earlier one.
 ARRIVAL, SLACK = "arrival_ts", "60 seconds"
 #: What a row is besides an ordinary one: behind its key's clock, or a key given up by a timer.
@@ -39,13 +43,17 @@ def spread() -> Column:
     return F.pmod(F.xxhash64("seq"), F.lit(SPREAD)).cast("int") + 1
 
 
-def in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    """The key's rows of this micro-batch by event time, then sequence.
+def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The group's rows of this micro-batch by event time, then sequence.
 
     A micro-batch is bounded by the source (``maxFilesPerTrigger``).
     """
-    batch = pd.concat(list(rows), ignore_index=True)
-    return batch.sort_values(["us", "seq"], kind="stable").itertuples(index=False)
+    return pd.concat(list(rows), ignore_index=True).sort_values(["us", "seq"], kind="stable")
+
+
+def columns_of(batch: pd.DataFrame, *names: str) -> Iterator[tuple]:
+    """Rows as plain tuples of the named columns."""
+    return zip(*[batch[n].tolist() for n in names])
 
 
 def behind(delay: str) -> int:
@@ -67,11 +75,14 @@ def forget_timers(handle: StatefulProcessorHandle) -> None:
 class EnrichProcessor(StatefulProcessor):
     """First http, tls and dns record per id, consumed by the next flow.
 
+    A group is a bucket of ids: the cost of a call, of its state and of its
+    timer is shared by all of them. Its state is a list with one item per id.
+
     An entry lives ``timeout_s`` of event time from its first record: older
     entries are ignored when a row arrives. The id's latest event time outlives
     the entry; rows more than ``delay_us`` behind it are late, and late flows
     come out without records. Ids without a row for ``timeout_s`` of arrival
-    time are evicted, with a row that says so.
+    time are evicted, each with a row that says so.
     """
 
     columns = [ARRIVAL, "body", "note", *ENRICHED.values()]
@@ -81,50 +92,63 @@ class EnrichProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entry = handle.getValueState(
-            "entry", "clock long, us long, http string, tls string, dns string"
+        self.entries = handle.getListState(
+            "entries", "id long, expires long, clock long, us long, http string, tls string, dns string"
         )
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if key[1]:  # rows without a usable id: nothing to keep
-            yield pd.DataFrame(
-                [(row.arrival_ts, row.body, None, None, None, None) for row in in_order(rows)],
-                columns=self.columns,
-            )
+    def held(self) -> dict[int, tuple]:
+        """Id -> when it is given up, its clock, and the time and records of its entry."""
+        return {i: rest for i, *rest in self.entries.get()} if self.entries.exists() else {}
+
+    def keep(self, held: dict[int, tuple]) -> None:
+        if not held:
+            self.entries.clear()
             return
-        # Every state call is a round trip to the JVM: none without a reason.
-        stored, entry, out, clock, seen = self.entry.exists(), None, [], None, None
-        if stored:
-            clock, us, *records = self.entry.get()
-            entry = None if us is None else {"us": us, **dict(zip(RECORD_TYPES, records))}
-        for row in in_order(rows):
-            seen = row.arrival_ts if seen is None else max(seen, row.arrival_ts)
-            is_flow = row.event_type == "flow"
-            if clock is not None and row.us < clock - self.delay_us:
-                out.append((row.arrival_ts, row.body if is_flow else None, LATE, None, None, None))
+        self.entries.put([(i, *rest) for i, rest in held.items()])
+        self.handle.registerTimer(min(rest[0] for rest in held.values()))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch, out = in_order(rows), []
+        batch["ms"] = batch[ARRIVAL].dt.as_unit("ms").astype("int64")
+        lone = (batch["id"] == 0).all()
+        held = {} if lone else self.held()
+        for i, kind, us, at, ms, body, record in columns_of(
+            batch, "id", "event_type", "us", ARRIVAL, "ms", "body", "record"
+        ):
+            if i == 0:  # no usable id: nothing to keep
+                out.append((at, body, None, None, None, None))
+                continue
+            is_flow = kind == "flow"
+            expires, clock, since, *records = held.get(i, (0, None, None, None, None, None))
+            expires = max(expires, ms + self.timeout_us // 1000)
+            if clock is not None and us < clock - self.delay_us:
+                out.append((at, body if is_flow else None, LATE, None, None, None))
+                held[i] = (expires, clock, since, *records)
                 continue
-            clock = int(row.us) if clock is None else max(clock, int(row.us))
-            if entry is not None and row.us - entry["us"] > self.timeout_us:
-                entry = None
+            clock = int(us) if clock is None else max(clock, int(us))
+            if since is not None and us - since > self.timeout_us:
+                since, records = None, [None] * len(RECORD_TYPES)
             if is_flow:
-                found = entry or {}
-                out.append((row.arrival_ts, row.body, None, *[found.get(k) for k in RECORD_TYPES]))
-                entry = None
+                out.append((at, body, None, *records))
+                since, records = None, [None] * len(RECORD_TYPES)
             else:
-                entry = entry or {"us": int(row.us), **dict.fromkeys(RECORD_TYPES)}
-                if entry[row.event_type] is None:
-                    entry[row.event_type] = row.record
-        if stored:
+                since, place = int(us) if since is None else since, RECORD_TYPES.index(kind)
+                if records[place] is None:
+                    records[place] = record
+            held[i] = (expires, clock, since, *records)
+        if not lone:
             forget_timers(self.handle)
-        held = entry or dict.fromkeys(("us", *RECORD_TYPES))
-        self.entry.update((clock, held["us"], *[held[k] for k in RECORD_TYPES]))
-        self.handle.registerTimer(int(seen.timestamp() * 1000) + self.timeout_us // 1000)
+            self.keep(held)
         yield pd.DataFrame(out, columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.entry.clear()
-        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-        yield pd.DataFrame([(at, None, EVICTED, None, None, None)], columns=self.columns)
+        fired, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        held = self.held()
+        gone = [rest[0] for rest in held.values() if rest[0] <= fired or rest[0] < now]
+        self.keep({i: rest for i, rest in held.items() if not (rest[0] <= fired or rest[0] < now)})
+        yield pd.DataFrame(
+            [(pd.Timestamp(ms, unit="ms"), None, EVICTED, None, None, None) for ms in gone], columns=self.columns
+        )
 
     def close(self) -> None:
         pass
@@ -140,6 +164,7 @@ JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 def stream_enrich(
     events: DataFrame, timeout_s: float = 300, ts: str = "timestamp", delay: str = "300 seconds",
     arrival: str | None = None, with_notes: bool = False, name: str = "enrichment",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Streaming twin of :func:`flowloom.operators.enrich.enrich_flows`.
 
@@ -152,7 +177,8 @@ def stream_enrich(
     the time of the micro-batch); an id without rows for ``timeout_s`` of it is
     forgotten. The numbers of late flows, late records and forgotten ids are
     metrics of the query under ``name``; ``with_notes`` keeps the rows behind
-    the last two, with no columns but ``note``.
+    the last two, with no columns but ``note``. Ids share ``buckets`` groups;
+    their number must stay the same as long as a checkpoint is used.
     """
     use_rocksdb(events.sparkSession)
     usable = F.col("flow_id").isNotNull() & (F.col("flow_id") != 0)
@@ -164,18 +190,22 @@ def stream_enrich(
     ])
     kept = events.where(wanted)
     body = F.to_json(F.struct(*events.columns), JSON_TIME)
+    # Records are given away through ``record``; only flows come out again.
+    body = F.when(F.col("event_type") == "flow", body)
+    at = F.coalesce(F.when(usable, F.col("flow_id")), F.lit(0)).cast("long")
+    bucket = F.pmod(F.xxhash64(F.when(usable, at).otherwise(F.col("seq"))), F.lit(buckets)).cast("int")
     packed = with_arrival(kept.select(
-        F.struct(F.col("flow_id"), F.when(usable, F.lit(0)).otherwise(spread()).alias("lone")).alias("k"),
+        bucket.alias("bucket"), at.alias("id"),
         *([F.col(arrival)] if arrival else []), F.unix_micros(ts).alias("us"), F.col("seq"),
         "event_type", body.alias("body"), record.alias("record"),
-    ), arrival).select("k.*", ARRIVAL, "us", "seq", "event_type", "body", "record")
+    ), arrival).select("bucket", "id", ARRIVAL, "us", "seq", "event_type", "body", "record")
     layout = T.StructType([
         T.StructField(ARRIVAL, T.TimestampType()), T.StructField("body", T.StringType()),
         T.StructField("note", T.StringType()),
         *[T.StructField(c, T.StringType()) for c in ENRICHED.values()],
     ])
     out = (
-        packed.groupBy("flow_id", "lone")
+        packed.groupBy("bucket")
         .transformWithStateInPandas(
             statefulProcessor=EnrichProcessor(timeout_s, behind(delay)), outputStructType=layout,
             outputMode="Append", timeMode="EventTime", eventTimeColumnName=ARRIVAL,
@@ -239,49 +269,48 @@ class BufferProcessor(StatefulProcessor):
         self.clock = handle.getValueState("clock", "clock long, last long")
         self.items = handle.getListState("items", self.layout)
 
-    def item(self, row) -> tuple:
-        """The row's values, with missing numbers and lists as None."""
-        def plain(field: T.StructField):
-            x = getattr(row, field.name)
+    def values(self, batch: pd.DataFrame) -> Iterator[tuple]:
+        """The values of each row, with missing numbers and lists as None."""
+        def plain(field: T.StructField) -> list:
+            column = batch[field.name].tolist()
             if isinstance(field.dataType, T.ArrayType):
-                return None if x is None else [
-                    float(v) if field is FEATURES or field.name == "features" else v for v in x
-                ]
-            if x is None or x != x:
-                return None
-            return x if isinstance(field.dataType, T.StringType) else int(x)
+                own = float if field.name == "features" else (lambda v: v)
+                return [None if x is None else [own(v) for v in x] for x in column]
+            own = (lambda v: v) if isinstance(field.dataType, T.StringType) else int
+            return [None if x is None or x != x else own(x) for x in column]
 
-        return tuple(plain(f) for f in self.layout)
+        return zip(*[plain(f) for f in self.layout])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch, out = list(in_order(rows)), []
-
-        def passed(row):
-            return (row.arrival_ts, row.body, LATE if row.late else None, [], 0)
-
-        if all(row.fast for row in batch):
-            yield pd.DataFrame([passed(row) for row in batch], columns=self.columns)
+        batch, out = in_order(rows), []
+        if batch["fast"].all():
+            out = [(at, body, LATE if late else None, [], 0)
+                   for at, body, late in columns_of(batch, ARRIVAL, "body", "late")]
+            yield pd.DataFrame(out, columns=self.columns)
             return
         stored = self.clock.exists()
         clock, last = self.clock.get() if stored else (None, None)
         kept = [tuple(i) for i in self.items.get()] if stored and self.items.exists() else []
-        held, fresh, seen = len(kept), 0, None  # the first ``held`` items are in the list state
-        names = self.layout.names
-        for row in batch:
-            seen = row.arrival_ts if seen is None else max(seen, row.arrival_ts)
-            late = row.late or (clock is not None and row.us < clock - self.delay_us)
-            if row.fast or late:
-                out.append((row.arrival_ts, row.body, LATE if late else None, [], 0))
+        held = len(kept)  # the first ``held`` items are in the list state
+        names, seen = self.layout.names, batch[ARRIVAL].max()
+        kept = [dict(zip(names, i)) for i in kept]
+        taken = columns_of(batch, ARRIVAL, "body", "us", "fast", "late")
+        for (at, body, us, fast, late), item in zip(taken, self.values(batch)):
+            if len(out) == OUT_ROWS:
+                yield pd.DataFrame(out, columns=self.columns)
+                out = []
+            late = late or (clock is not None and us < clock - self.delay_us)
+            if fast or late:
+                out.append((at, body, LATE if late else None, [], 0))
                 continue
-            clock = int(row.us) if clock is None else max(clock, int(row.us))
-            if last is not None and row.us - last > self.gap_us:
+            clock = int(us) if clock is None else max(clock, int(us))
+            if last is not None and us - last > self.gap_us:
                 kept, held = [], -1
-            kept, last = [*kept, self.item(row)], int(row.us)
+            kept, last = [*kept, dict(zip(names, item))], int(us)
             if len(kept) > self.size:
                 kept, held = kept[1:], -1
             full = len(kept) == self.size
-            window = [dict(zip(names, i)) for i in kept] if full or self.partial else []
-            out.append((row.arrival_ts, row.body, None, window, len(kept)))
+            out.append((at, body, None, kept if full or self.partial else [], len(kept)))
             if self.clears and full:
                 kept, held, last = [], -1, None
         if clock is not None:
@@ -290,7 +319,7 @@ class BufferProcessor(StatefulProcessor):
                 self.items.clear()
                 held = 0
             if kept[held:]:
-                self.items.appendList(kept[held:])
+                self.items.appendList([tuple(i.values()) for i in kept[held:]])
             if stored:
                 forget_timers(self.handle)
             self.handle.registerTimer(int(seen.timestamp() * 1000) + self.gap_us // 1000)
@@ -316,8 +345,8 @@ def stream_windows(
 
     Rows with fewer than ``size`` buffered flows are provisional; without
     ``partial`` they carry no buffer. ``fast`` names a boolean column of rows
-    that skip the buffer; they are spread over tasks instead of meeting at
-    their source. Late rows (a column ``late`` of the input, or more than
+    that skip the buffer; they are spread over groups of their own instead of
+    meeting at their source. Late rows (a column ``late`` of the input, or more than
     ``delay`` behind the source's latest row) skip it too, with ``late`` set
     and no buffer. The numbers of late rows and of evicted sources are metrics
     of the query under ``name``; ``with_notes`` keeps the rows of evictions,
@@ -330,7 +359,8 @@ def stream_windows(
     rows = flows if ARRIVAL in flows.columns else with_arrival(flows, None)
     own = [c for c in rows.columns if c not in (ARRIVAL, "late")]
     packed = rows.withColumn("us", F.unix_micros(ts)).select(
-        F.col(key), F.when(quick | late, spread()).otherwise(F.lit(0)).alias("lone"),
+        F.when(~(quick | late), F.col(key)).alias(key),
+        F.when(quick | late, spread()).otherwise(F.lit(0)).alias("lone"),
         ARRIVAL, "seq", (quick | late).alias("fast"), late.alias("late"),
         F.to_json(F.struct(*own), JSON_TIME).alias("body"),
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in item],

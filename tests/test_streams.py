@@ -75,3 +75,31 @@ def test_late_flows_alert(spark, segments, tmp_path):
 
 def test_intervals_of_text():
     assert behind("300 seconds") == 300_000_000 and behind("40 days") == 40 * 86_400_000_000
+
+
+def test_ids_share_a_group(spark, tmp_path):
+    """Clocks, records, lateness and evictions stay apart where all ids are in one bucket."""
+    lines = [
+        [(5, "http", 100), (6, "tls", 100), (7, "flow", 90)],
+        [(5, "flow", 110), (6, "flow", 1), (None, "flow", 2)],
+        [(8, "flow", 200)], [(8, "flow", 210)],
+    ]
+    schema = "seq long, flow_id long, event_type string, timestamp timestamp, arrived timestamp, http struct<url:string>, tls struct<sni:string>, dns struct<rcode:string>"
+    for n, part in enumerate(lines):
+        texts = [json.dumps({
+            "seq": 10 * n + i, "flow_id": flow_id, "event_type": kind, "timestamp": f"2024-01-01T00:{s // 60:02d}:{s % 60:02d}Z",
+            "arrived": f"2024-01-0{n + 1}T00:00:00Z", **({kind: {}} if kind != "flow" else {}),
+        }) for i, (flow_id, kind, s) in enumerate(part)]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        path = tmp_path / "in" / f"{n}.json"
+        path.write_text("\n".join(texts))
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    progress = ProgressTotals()
+    out = run(stream_enrich(source, delay="60 seconds", arrival="arrived", with_notes=True, timeout_s=90_000, buckets=1).select(
+        "seq", "late", F.col("enr_http").isNotNull().alias("http"), F.col("enr_tls").isNotNull().alias("tls"), "note"), tmp_path / "b", progress)
+    assert rows(out.where("seq IS NOT NULL").select("seq", "late", "http", "tls")) == [
+        (2, False, False, False), (10, False, True, False), (11, True, False, False), (12, False, False, False),
+        (20, False, False, False), (30, False, False, False)]
+    # Id 7 came on the first day only, ids 5 and 6 last on the second; 8 is still held.
+    assert progress.totals["enrichment.evicted"] == out.where("note = 'evicted'").count() == 3
