@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -215,9 +217,10 @@ def clock_offset(
 ) -> DataFrame:
     """Clock difference per scenario: centre of the modal bin of pair differences.
 
-    All same-key pairs with ``|dt| < horizon_s`` count, but no pair is built:
-    the number of labels of a key below a time comes from a running count, so
-    each distinct flow time asks once per bin edge. The histogram spans the
+    All same-key pairs with ``|dt| < horizon_s`` count. A key with no more
+    label times than ``bins`` has its pairs put into their bins. For the others
+    no pair is built: the number of labels below a time comes from a running
+    count, so each distinct flow time asks once per bin edge. The histogram spans the
     smallest to the largest difference; equal extremes widen by half a second;
     the last bin is closed. A centre within ``snap_s`` of a whole hour becomes
     that hour. Scenarios without pairs get 0.
@@ -235,10 +238,20 @@ def clock_offset(
         .groupBy(*group, "__pos").agg(F.count(F.lit(1)).alias("__n"))
     )
 
+    def of_key(rows: DataFrame, keyed_rows: DataFrame) -> DataFrame:
+        """Rows with what their key has; null keys are one key."""
+        other = keyed_rows.select(*[F.col(c).alias(f"__k_{c}") for c in group],
+                                  *[c for c in keyed_rows.columns if c not in group])
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in group])
+        return rows.join(other, same).drop(*[f"__k_{c}" for c in group])
+
+    sizes = stamps.groupBy(*group).agg(F.count(F.lit(1)).alias("__labels"))
+    few, many = sizes.where(F.col("__labels") <= bins), sizes.where(F.col("__labels") > bins).drop("__labels")
+
     def labels_below(asks: DataFrame) -> DataFrame:
         """Labels of the key strictly before each asked position."""
         extra = [c for c in asks.columns if c not in (*group, "__pos")]
-        rows = stamps.withColumns({
+        rows = of_key(stamps, many).withColumns({
             **{c: F.lit(None).cast(asks.schema[c].dataType) for c in extra},
             "__side": F.lit(1),
         }).unionByName(asks.withColumns({"__n": F.lit(0).cast("long"), "__side": F.lit(0)}))
@@ -260,27 +273,43 @@ def clock_offset(
     spread = bounded(spread)
     # Differences at or above edge e come from labels at or before t - e. The
     # last edge asks for those beyond the maximum, which closes the last bin.
-    edge = F.col("__from") + (F.col("__to") - F.col("__from")) * F.col("__edge") / bins
+    def below(edge: Column) -> Column:
+        """Labels strictly below this differ by the edge or more; those outside the horizon do not count."""
+        e = F.col("__from") + (F.col("__to") - F.col("__from")) * edge / bins
+        return F.greatest(F.least(
+            F.floor(F.col("__t") - e).cast("long") + 1, F.col("__t") + horizon
+        ), F.col("__t") - horizon + 1)
+
     asked = (
-        weighed.join(spread, scenario)
+        of_key(weighed, many).join(spread, scenario)
         .withColumn("__edge", F.explode(F.sequence(F.lit(0), F.lit(bins))))
-        .withColumn("__pos", F.when(
-            F.col("__edge") == bins, F.col("__t") - F.col("__max")
-        ).otherwise(F.floor(F.col("__t") - edge).cast("long") + 1).cast("long"))
-        # Labels outside the horizon do not count.
-        .withColumn("__pos", F.greatest(
-            F.least("__pos", F.col("__t") + horizon), F.col("__t") - horizon + 1
-        ))
+        .withColumn("__pos", F.when(F.col("__edge") == bins, F.greatest(F.least(
+            F.col("__t") - F.col("__max"), F.col("__t") + horizon
+        ), F.col("__t") - horizon + 1).cast("long")).otherwise(below(F.col("__edge"))))
         .select(*group, "__pos", "__edge", "__w")
     )
     # Strictly below pos = at or before t - e.
     above = labels_below(asked).groupBy(scenario, "__edge").agg(
         F.sum(F.col("__below") * F.col("__w")).alias("__above")
     )
-    per_bin = above.join(spread, scenario).withColumn(
-        "__pairs",
-        F.col("__above") - F.lead("__above").over(Window.partitionBy(scenario).orderBy("__edge")),
-    ).where(F.col("__edge") < bins)
+    counted = above.select(scenario, "__edge", (
+        F.col("__above") - F.lead("__above").over(Window.partitionBy(scenario).orderBy("__edge"))
+    ).alias("__pairs")).where(F.col("__edge") < bins)
+    # The bin of a pair by division, then set right by the edges above.
+    built = of_key(of_key(weighed, few), stamps).where(
+        F.abs(F.col("__t") - F.col("__pos")) < horizon
+    ).join(spread, scenario)
+    share = (F.col("__t") - F.col("__pos") - F.col("__from")) / (F.col("__to") - F.col("__from"))
+    guess = F.greatest(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
+    more = F.least(F.col("__guess") + 1, F.lit(bins - 1))
+    built = built.withColumn("__guess", guess).withColumn(
+        "__edge", F.when(F.col("__pos") < below(more), more)
+        .when(F.col("__pos") < below(F.col("__guess")), F.col("__guess"))
+        .otherwise(F.greatest(F.col("__guess") - 1, F.lit(0)))
+    ).groupBy(scenario, "__edge").agg(F.sum(F.col("__w") * F.col("__n")).alias("__pairs"))
+    per_bin = counted.unionByName(built).groupBy(scenario, "__edge").agg(
+        F.sum("__pairs").alias("__pairs")
+    ).join(spread, scenario)
     width = (F.col("__to") - F.col("__from")) / bins
     modal = per_bin.groupBy(scenario).agg(F.max_by(
         F.col("__from") + width * (F.col("__edge") + 0.5),

@@ -1,5 +1,6 @@
 """The heavy-key road gives the same rows as the plain windows."""
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import Window, functions as F
@@ -219,3 +220,18 @@ def test_heavy_keys_are_found_in_a_sample(spark):
     assert heavy.count() == 20_000 and light.count() == 40_000
     got = row_numbers(df, ["key"], [F.col("seq")], max_rows=5_000).where("key = -1")
     assert got.where(F.col("rn") != F.col("seq") / 3 + 1).count() == 0
+
+
+def test_clock_offset_of_short_and_long_keys(spark):
+    """Keys with few and with many label times, null keys among them, fall into the same bins as all pairs."""
+    flows = spark.range(600).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 1, None).otherwise(F.concat(F.lit("k"), (F.col("id") % 40).cast("string"))).alias("key"),
+        F.timestamp_micros(F.col("id") * 7_654_321 % 3_000_000_000).alias("ts"), F.lit("a").alias("scenario"))
+    labels = flows.withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 HOUR"))
+    pairs = [(f.ts - e.ts).total_seconds() for f in flows.collect() for e in labels.collect() if f.key == e.key]
+    lo, hi = min(pairs), max(pairs)
+    counts = np.histogram(pairs, 100, (lo, hi))[0]
+    centre = lo + (hi - lo) / 100 * (int(counts.argmax()) + 0.5)
+    centre = round(centre / 3600) * 3600 if abs(centre - round(centre / 3600) * 3600) < 10 else centre
+    got = clock_offset(flows, labels, ["key"])
+    assert rows(got.select("scenario", "pairs", F.round("offset_s", 3))) == [("a", len(pairs), round(centre, 3))]
