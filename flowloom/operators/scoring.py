@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, LogisticRegressionModel,
@@ -251,12 +254,16 @@ def score_windows(
     """Apply a scorer to Arrow batches of windows: DataFrame -> class probabilities."""
     schema = T.StructType(df.schema.fields + [T.StructField(into, T.ArrayType(T.DoubleType()))])
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            part[into] = [[float(p) for p in row] for row in score(part)]
-            yield part
+            given = part.to_pandas()
+            for name, kind in given.dtypes.items():
+                if isinstance(kind, pd.DatetimeTZDtype):
+                    given[name] = given[name].dt.tz_convert(None)
+            probs = [[float(p) for p in row] for row in score(given)]
+            yield part.append_column(into, pa.array(probs, pa.list_(pa.float64())))
 
-    return df.mapInPandas(batches, schema)
+    return df.mapInArrow(batches, schema)
 
 
 #: What a window's rows are pooled to, per feature.
@@ -273,28 +280,57 @@ def pooled_window(df: DataFrame, window: str = "window", into: str = "pooled",
     unknown = set(parts) - set(POOLS)
     if unknown:
         raise ValueError(f"unknown parts {sorted(unknown)}")
-    rows = F.size(window)
-    places = F.sequence(F.lit(0), F.size(F.get(F.col(window), F.lit(0))) - 1)
+    schema = T.StructType(df.schema.fields + [T.StructField(into, T.ArrayType(T.DoubleType()))])
+    place = df.columns.index(window)
+
+    def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column(into, _pooled(batch.column(place), parts))
 
-    def mean(i: Column) -> Column:
-        return F.aggregate(
-            F.col(window), F.lit(0.0), lambda acc, r: acc + F.get(r, i).cast("double")
-        ) / rows
+    return df.mapInArrow(batches, schema)
 
-    def deviation(i: Column) -> Column:
-        centre = F.get(F.col("__mean"), i)
-        return F.sqrt(F.aggregate(
-            F.col(window), F.lit(0.0),
-            lambda acc, r: acc + (F.get(r, i).cast("double") - centre) * (F.get(r, i).cast("double") - centre),
-        ) / rows)
 
+def _pooled(windows: pa.Array, parts: Sequence[str]) -> pa.Array:
+    """Pools of windows: all at once where they are of one shape without nulls, else one by one."""
+    flows = windows.flatten()
+    values = flows.flatten()
+    n, rows = len(windows), len(flows) // max(len(windows), 1)
+    width = len(values) // max(len(flows), 1)
+    whole = not (windows.null_count or flows.null_count or values.null_count) and rows and (
+        pc.all(pc.equal(pc.list_value_length(windows), rows)).as_py()
+        and pc.all(pc.equal(pc.list_value_length(flows), width)).as_py()
+    )
+    if not whole:
+        return pa.array([_pooled_alone(w, parts) for w in windows.to_pylist()], pa.list_(pa.float64()))
+    x = values.to_numpy(zero_copy_only=False).reshape(n, rows, width)
+    mean = np.zeros((n, width))
+    for r in range(rows):
+        mean += x[:, r]
+    mean /= rows
+    spread = np.zeros((n, width))
+    if "deviation" in parts:
+        for r in range(rows):
+            spread += (x[:, r] - mean) ** 2
+    pools = {"mean": mean, "deviation": np.sqrt(spread / rows), "last": x[:, -1].astype(float)}
+    flat = np.concatenate([pools[p] for p in parts], axis=1)
+    ends = np.arange(n + 1, dtype=np.int32) * flat.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))
+
+
+def _pooled_alone(rows: list | None, parts: Sequence[str]) -> list | None:
+    """Pools of one window; a value that a row lacks makes its feature's mean and deviation null."""
+    if not rows or rows[0] is None or not parts:
+        return None if parts else []
+    columns = [[None if r is None or i >= len(r) else r[i] for r in rows] for i in range(len(rows[0]))]
+    known = [None not in c for c in columns]
+    mean = [sum(c) / len(rows) if k else None for c, k in zip(columns, known)]
     pools = {
-        "mean": F.col("__mean"), "deviation": F.transform(places, deviation),
-        "last": F.transform(F.get(F.col(window), rows - 1), lambda x: x.cast("double")),
+        "mean": mean, "last": rows[-1],
+        "deviation": [(sum((x - m) ** 2 for x in c) / len(rows)) ** 0.5 if k else None
+                      for c, k, m in zip(columns, known, mean)],
     }
-    return df.withColumn("__mean", F.transform(places, mean)).withColumn(
-        into, F.concat(*[pools[p] for p in parts])
-    ).drop("__mean")
+    out = [pools[p] for p in parts]
+    return None if None in out else [x for pool in out for x in pool]
 
 
 @dataclass

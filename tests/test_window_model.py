@@ -60,3 +60,17 @@ def test_detection_with_a_trained_model(spark, sf_dir):
     out = detect(eve, demo_score, model.score, threshold=THRESHOLD, size=5, gap_s=gap, with_window=True)
     stages = {r["stage"]: r["n"] for r in out.groupBy("ai.stage").agg(F.count("*").alias("n")).collect()}
     assert set(stages) == {"xgb_only", "xgb+lstm"} and min(stages.values()) > 0
+
+
+def test_pooling_of_uneven_windows(spark):
+    """Windows of one shape are pooled together, others one by one, with the same meaning."""
+    even = [(1, [[1.0, 2.0], [3.0, 6.0]]), (2, [[0.0, 0.0], [4.0, 8.0]])]
+    odd = [(3, [[1.0, None], [3.0, 6.0]]), (4, None), (5, [[5.0]])]
+    got = {}
+    for part in (even, odd):
+        df = spark.createDataFrame(part, "id int, window array<array<float>>").coalesce(1)
+        pooled = pooled_window(df, parts=("mean", "deviation", "last"))
+        assert "mapinarrow" in pooled._jdf.queryExecution().toString().lower()  # not an expression per feature
+        got |= {r.id: r.pooled for r in pooled.collect()}
+    assert got == {1: [2.0, 4.0, 1.0, 2.0, 3.0, 6.0], 2: [2.0, 4.0, 2.0, 4.0, 4.0, 8.0],
+                   3: [2.0, None, 1.0, None, 3.0, 6.0], 4: None, 5: [5.0, 0.0, 5.0]}
