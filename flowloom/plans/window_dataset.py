@@ -30,9 +30,9 @@ def window_dataset(
     """``group_id``, ``label``, ``window`` of the attack windows, all of them by default.
 
     ``total_cap`` shares a quota out over the classes, which default to all
-    labels in the data. Labels and quota work on narrow rows; then only the rows
-    of chosen windows are kept, and matrices are built from those, so that no
-    matrix is shuffled. The session table is checkpointed because both sides
+    labels in the data. Labels and quota work on narrow rows; then only the blocks
+    of rows that chosen windows touch are kept, and matrices are built from those,
+    so that no matrix is shuffled. The session table is checkpointed because both sides
     read it.
     """
     keys = list(keys)
@@ -51,11 +51,14 @@ def window_dataset(
     )
     place = [*keys, "session", "session_row"]
     chosen = chosen.select(*place, "group_id", F.col("window_label").alias("chosen_label")).checkpoint()
-    begin = F.greatest(F.lit(1), F.col("session_row") - size + 1)
+    # A window lies in the block of ``size`` rows that it ends in and the one before.
+    block = F.floor((F.col("session_row") - 1) / F.lit(size)).cast("long")
     members = chosen.select(
-        *keys, "session", F.explode(F.sequence(begin, F.col("session_row"))).alias("session_row")
+        *keys, "session", F.explode(F.array(block - 1, block)).alias("__block")
     ).distinct()
-    rows = sessions.join(members, place, "left_semi").join(chosen, place, "left")
+    rows = sessions.withColumn("__block", block).join(
+        members, [*keys, "session", "__block"], "left_semi"
+    ).drop("__block").join(chosen, place, "left")
     tensors = window_tensor(rows, keys, ts, size=size, stride=stride, chunk_rows=max_rows)
     return tensors.where(F.col("chosen_label").isNotNull()).select(
         "group_id", F.col("chosen_label").alias("label"), "window", "session", "session_row"
