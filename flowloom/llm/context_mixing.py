@@ -11,8 +11,8 @@ up to the text's.
 Counting is a job over all training texts: tasks count into tables of their own, which are merged in
 groups of ``FAN_IN``, so that no task sees all of them. The merged tables are the only thing sent to the
 tasks: a byte a slot, the number of slots following the size of the training texts up to
-``MOST_BITS``. Mixer and refinement start from a fit on ``SAMPLE`` texts (the opinions leave the
-bit itself out there) and go on learning within each stretch of ``STRETCH`` bytes of a text; a stretch
+``MOST_BITS``. Mixer and refinement start from a fit on all training texts (the opinions leave the
+bit itself out there; the ends of all stretches are averaged by their bytes) and go on learning within each stretch of ``STRETCH`` bytes of a text; a stretch
 sees the bytes before it as context. So a score depends on the training texts and on the text alone.
 """
 
@@ -34,8 +34,6 @@ LEAST_BITS, MOST_BITS, BYTES_PER_SLOT = 18, 21, 64
 #: Slots of a context that travel together; with a bit each, they are numbered in 16 bits.
 SHARD_BITS = 15
 FAN_IN = 64
-#: Texts that mixer and refinement start from, their first stretch each.
-SAMPLE = 400
 STRETCH = 2048
 #: Bytes of text handled at once.
 BLOCK = 1 << 20
@@ -257,13 +255,28 @@ def _stretches(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
     return row, starts[row] + offset, np.minimum(lengths[row] - offset, STRETCH)
 
 
-def fitted(levels: np.ndarray, bits: int, sample: list[str], rounds: int = 2) -> Mixer:
-    """A mixer that has seen the first stretch of each text of the sample."""
-    mixer = Mixer()
-    batch = pa.RecordBatch.from_arrays([pa.array([s.encode()[:STRETCH - 1].decode(errors="ignore") for s in sample], pa.string())], names=["text"])
+def fitted(docs: DataFrame, levels: np.ndarray, bits: int, rounds: int = 2) -> Mixer:
+    """A mixer that has seen every stretch of all texts (column ``text``)."""
+    shared, mixer = docs.sparkSession.sparkContext.broadcast(levels), Mixer()
+    shape, cut = mixer.weights.shape, mixer.weights.size
     for _ in range(rounds):
-        for _, flat, starts, lengths, hashes in texts(batch, size=1 << 30):
-            _, mixer = mix(levels, bits, mixer, flat, hashes, starts, lengths, fit=True)
+        def learn(batches: Iterator[pa.RecordBatch], start: Mixer = mixer) -> Iterator[pa.RecordBatch]:
+            size, total = 0, np.zeros(cut + start.refined.size)
+            for batch in batches:
+                for _, flat, starts, lengths, hashes in texts(batch):
+                    _, at, n = _stretches(starts, lengths)
+                    _, end = mix(shared.value, bits, start, flat, hashes, at, n, fit=True)
+                    total += np.r_[end.weights.ravel(), end.refined.ravel()] * float(n.sum())
+                    size += int(n.sum())
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total),
+                                                  pa.array([size] * len(total), pa.int64())], names=["place", "total", "size"])
+
+        means = docs.mapInArrow(learn, "place int, total double, size long").groupBy("place").agg(
+            (F.sum("total") / F.sum("size")).alias("mean")).orderBy("place").collect()  # some hundred numbers
+        if means:
+            mean, mixer = np.array([r.mean for r in means], np.float32), Mixer()
+            mixer.weights, mixer.refined = mean[:cut].reshape(shape), mean[cut:].reshape(mixer.refined.shape)
     return mixer
 
 
@@ -273,11 +286,9 @@ def mixed_scores(docs: DataFrame, learns: Column, text: str = "text") -> DataFra
     plain = docs.select(KEY, F.col(f"`{text}`").alias("text"), learns.alias("learns"))
     size = plain.where("learns").agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_PER_SLOT).bit_length()))
-    levels = levels_of(count_bits(plain.where("learns").select("text"), bits), bits)
-    least = plain.where(F.col("learns") & F.col("text").isNotNull()).select(
-        KEY, F.xxhash64("text").alias("h"), F.substring("text", 1, STRETCH).alias("text"))
-    sample = [r.text for r in least.orderBy("h", KEY).limit(SAMPLE).collect()]
-    model = spark.sparkContext.broadcast((OPINION_12[levels], fitted(levels, bits, sample)))
+    known = plain.where("learns").select("text")
+    levels = levels_of(count_bits(known, bits), bits)
+    model = spark.sparkContext.broadcast((OPINION_12[levels], fitted(known, levels, bits)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, mixer = model.value

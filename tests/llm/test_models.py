@@ -244,3 +244,19 @@ def test_held_out_bits(spark, sf_dir):
     single = sum(-math.log2((train[b] + 0.5) / (n + 128)) for r in held.doc_id for b in docs[r])
     assert len(out) == len(docs) and -held["score"].sum() * math.log2(10) < 0.67 * single
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in out.itertuples())
+
+
+def test_mixer_learns_from_all_texts(spark):
+    """Every stretch of every training text counts, not some texts' first ones."""
+    texts = [f"text {i} " + chr(97 + i % 26) * (i % 90) for i in range(450)] + ["a long one, " * 500, None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    bits = cm.LEAST_BITS
+    levels = cm.levels_of(cm.count_bits(df, bits), bits)
+    mixer = cm.Mixer()
+    batch = cm.pa.RecordBatch.from_arrays([cm.pa.array(texts, cm.pa.string())], names=["text"])
+    for _ in range(2):
+        for _, flat, starts, lengths, hashes in cm.texts(batch, size=1 << 30):
+            _, at, n = cm._stretches(starts, lengths)
+            _, mixer = cm.mix(levels, bits, mixer, flat, hashes, at, n, fit=True)
+    got = cm.fitted(df, levels, bits)
+    assert np.allclose(got.weights, mixer.weights, atol=1e-5) and np.allclose(got.refined, mixer.refined, atol=1e-5)
