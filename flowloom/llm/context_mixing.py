@@ -255,7 +255,17 @@ def _stretches(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
     return row, starts[row] + offset, np.minimum(lengths[row] - offset, STRETCH)
 
 
-def fitted(docs: DataFrame, levels: np.ndarray, bits: int, rounds: int = 2) -> Mixer:
+def fitted(levels: np.ndarray, bits: int, sample: list[str], rounds: int = 2) -> Mixer:
+    """A mixer that has seen the first stretch of each text of the sample."""
+    mixer = Mixer()
+    batch = pa.RecordBatch.from_arrays([pa.array([s.encode()[:STRETCH - 1].decode(errors="ignore") for s in sample], pa.string())], names=["text"])
+    for _ in range(rounds):
+        for _, flat, starts, lengths, hashes in texts(batch, size=1 << 30):
+            _, mixer = mix(levels, bits, mixer, flat, hashes, starts, lengths, fit=True)
+    return mixer
+
+
+def fitted_on_all(docs: DataFrame, levels: np.ndarray, bits: int, rounds: int = 2) -> Mixer:
     """A mixer that has seen every stretch of all texts (column ``text``)."""
     shared, mixer = docs.sparkSession.sparkContext.broadcast(levels), Mixer()
     shape, cut = mixer.weights.shape, mixer.weights.size
@@ -288,7 +298,7 @@ def mixed_scores(docs: DataFrame, learns: Column, text: str = "text") -> DataFra
     bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_PER_SLOT).bit_length()))
     known = plain.where("learns").select("text")
     levels = levels_of(count_bits(known, bits), bits)
-    model = spark.sparkContext.broadcast((OPINION_12[levels], fitted(known, levels, bits)))
+    model = spark.sparkContext.broadcast((OPINION_12[levels], fitted_on_all(known, levels, bits)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, mixer = model.value

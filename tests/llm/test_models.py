@@ -258,5 +258,5 @@ def test_mixer_learns_from_all_texts(spark):
         for _, flat, starts, lengths, hashes in cm.texts(batch, size=1 << 30):
             _, at, n = cm._stretches(starts, lengths)
             _, mixer = cm.mix(levels, bits, mixer, flat, hashes, at, n, fit=True)
-    got = cm.fitted(df, levels, bits)
+    got = cm.fitted_on_all(df, levels, bits)
     assert np.allclose(got.weights, mixer.weights, atol=1e-5) and np.allclose(got.refined, mixer.refined, atol=1e-5)
