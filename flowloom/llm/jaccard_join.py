@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import units
 from .common import KEY, in_small_batches, keyed, query, sized, stored, table
@@ -28,7 +28,7 @@ MOST_LISTS = 3_000_000
 #: Before lists are searched: rounds in which sets are tied by a least token, to so many of those that
 #: have it; and orders of tokens whose least ones are compared first.
 ROUNDS, HEADS, ORDERS = 3, 12, 16
-#: Words of 64 bits of a set's parities. Entries of one list on the left of a task, above which it is dealt to several.
+#: Least words of 64 bits of a set's parities. Entries of one list on the left of a task, above which it is dealt to several.
 WORDS, LIST_PART = 8, 1_000
 #: Two hashes of a token for two hashes of its set.
 NODE, CHECK = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
@@ -53,16 +53,35 @@ def _node(s: np.ndarray) -> int:
     return int(units.mixed(s ^ NODE).sum(dtype=U64))
 
 
-def _parities(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set, whether each of ``64 * WORDS`` slots holds an odd number of its tokens, as 64-bit words.
+def _parities(sets: list[np.ndarray]) -> pa.Array:
+    """For each set, whether each of its slots holds an odd number of its tokens, as 64-bit words.
 
-    Two sets differ in at least as many tokens as slots of theirs differ.
+    There is a slot for each token at least, their number being ``64 * WORDS`` or that doubled several
+    times: folded to the fewer slots, two sets differ in at least as many tokens as slots of theirs differ.
     """
-    slots = 64 * WORDS
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    slot = (np.concatenate(sets) >> U64(32)).astype(np.int64) % slots if sets else np.zeros(0, np.int64)
-    odd = np.bincount(rows * slots + slot, minlength=len(sets) * slots) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(len(sets), slots), axis=1).view(U64)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    slots = 64 * WORDS << np.ceil(np.log2(np.maximum(sizes / (64 * WORDS), 1))).astype(np.int64)
+    ends = np.cumsum(slots)
+    slot = (np.concatenate(sets) >> U64(32)).astype(np.int64) % np.repeat(slots, sizes) if sets else np.zeros(0, np.int64)
+    odd = np.bincount(np.repeat(ends - slots, sizes) + slot, minlength=slots.sum()) & 1
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends // 64), pa.int32()), _long(np.packbits(odd.astype(np.uint8)).view(U64)))
+
+
+def _folded(odd: Column, words: Column) -> Column:
+    """Parities of fewer slots: as many words as asked for, a power of two of them."""
+    return F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.aggregate(
+        F.sequence(i, F.size(odd) - 1, words), F.lit(0).cast("long"), lambda all, j: all.bitwiseXOR(F.get(odd, j))))
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those pairs ``a, b`` of nodes whose parities do not show that too many tokens differ. No link is dropped."""
+    two = pairs
+    for x in "ab":
+        two = two.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")), x)
+    words = F.least(F.size("odd_a"), F.size("odd_b"))
+    apart = F.zip_with(_folded(F.col("odd_a"), words), _folded(F.col("odd_b"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+    differ = F.aggregate(apart, F.lit(0).cast("long"), lambda all, k: all + k)
+    return two.where((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -84,7 +103,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 each = lambda k, values: pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * k, pa.int32()), _long(values.ravel()))  # noqa: B023, E731
                 yield pa.record_batch(
                     [batch.column("doc_id").slice(at, len(sets)), pa.array(n), _long(columns[0]), _long(columns[1]),
-                     each(ORDERS, columns[2:].T), each(WORDS, _parities(sets))],
+                     each(ORDERS, columns[2:].T), _parities(sets)],
                     ["doc_id", "n", "node", "check", "lows", "odd"])
 
     return docs.mapInArrow(run, "doc_id long, n long, node long, check long, lows array<long>, odd array<long>")
@@ -142,9 +161,14 @@ def _entries(docs: DataFrame, size: int, percent: int, frequent, light: int) ->
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, percent: int, unique: bool) -> DataFrame:
-    """Those pairs ``a, b`` of nodes whose sets agree to ``percent``, compared whole."""
-    involved = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    ids = sized(stored(nodes.join(involved, "node", "left_semi").select(F.col("rep").alias("of")).distinct(), "pair-ids"), MOST_IDS)
+    """Those pairs ``a, b`` of nodes whose sets agree to ``percent``, compared whole.
+
+    A pair takes both sets along, so the parities are compared first.
+    """
+    ends = lambda pairs: pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    own = stored(nodes.join(sized(stored(ends(pairs), "pair-nodes"), MOST_IDS), "node", "left_semi").select("node", "rep", "n", "odd"), "pair-parities")
+    pairs = stored(_alike(pairs, own, percent), "near-pairs")
+    ids = sized(stored(own.join(ends(pairs), "node", "left_semi").select(F.col("rep").alias("of")).distinct(), "pair-ids"), MOST_IDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,6 +198,9 @@ def _stars(nodes: DataFrame, percent: int, k: int) -> DataFrame:
     whole = ["n", "node", "comp", "lows"]
     first = lambda j: F.min(F.struct(F.xxhash64("low", "node", F.lit(j)).alias("turn"), *whole)).alias(f"h{j}")
     rows = nodes.select(low, F.shiftrightunsigned("node", 56).alias("slot"), *whole)
+    # a node whose least token is no other node's is tied to itself only
+    shared = sized(stored(rows.groupBy("low").count().where("count > 1").select("low"), "shared-tokens"), MOST_LISTS)
+    rows = rows.join(shared, "low", "left_semi")
 
     def heads(df: DataFrame, *by: str) -> DataFrame:
         found = df.groupBy(*by).agg(*[first(j) for j in range(HEADS)])
@@ -221,16 +248,18 @@ def _met(lists: DataFrame, nodes: DataFrame, percent: int, light: int) -> DataFr
     drops a link. A list of more than ``LIST_PART`` entries is dealt to several tasks.
     """
     tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    odd = lists.select("node").distinct().join(nodes.select("node", "odd"), "node").dropDuplicates(["node"])
+    odd = nodes.select("node", _folded(F.col("odd"), F.lit(WORDS)).alias("odd"))
+    odd = lists.select("node").distinct().join(odd, "node").dropDuplicates(["node"])
     entries = stored(lists.join(odd, "node"), "list-entries")
 
-    def side(df: DataFrame, x: str, part) -> DataFrame:
-        words = [F.get("odd", F.lit(k)).alias(f"odd{k}_{x}") for k in range(WORDS)]
-        return df.select("token", "single", part.alias("part"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"),
-                         F.col("comp").alias(f"c_{x}"), F.col("at").alias(f"at_{x}"), *words).repartition(tasks, "token", "single", "part")
+    def dealt(df: DataFrame, *by: Column) -> DataFrame:
+        words = [F.get("odd", F.lit(k)).alias(f"odd{k}") for k in range(WORDS)]
+        return df.select("token", "single", *by, "node", "n", "comp", "at", *words).repartition(tasks, "token", "single", *["part" for _ in by])
+
+    def meet(left: DataFrame, right: DataFrame, *by: str) -> DataFrame:
+        side = lambda df, x: df.select(*by, *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in by])
+        return side(left, "a").join(side(right, "b"), list(by)).where(possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
-    left = side(entries, "a", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    right = side(entries, "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     both = F.col("n_a") + F.col("n_b")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     overlap = F.ceil(percent * both / (100 + percent))
@@ -238,8 +267,12 @@ def _met(lists: DataFrame, nodes: DataFrame, percent: int, light: int) -> DataFr
     placed = F.when(F.col("single"), early & (F.greatest("n_a", "n_b") > light)).otherwise(True)
     differ = sum((F.bit_count(F.col(f"odd{k}_a").bitwiseXOR(F.col(f"odd{k}_b"))) for k in range(WORDS)), F.lit(0))
     close = (100 + percent) * differ <= (100 - percent) * both
-    met = left.join(right, ["token", "single", "part"])
-    return met.where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits & placed & close).select("a", "b")
+    possible = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & fits & placed & close
+    # where a list is not dealt, both sides are one shuffle
+    whole, long = dealt(entries.where("parts = 1")), entries.where("parts > 1")
+    left = dealt(long, F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    right = dealt(long, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return meet(whole, whole, "token", "single").union(meet(left, right, "token", "single", "part"))
 
 
 def jaccard_groups(
@@ -271,7 +304,7 @@ def jaccard_groups(
 
     repeated = stored(signed.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("of")), "repeated-ids")
     unique = repeated.isEmpty()
-    edges, known = None, nodes.withColumn("comp", F.col("node"))
+    edges, known = None, nodes.drop("odd").withColumn("comp", F.col("node"))
     for k in range(ROUNDS):
         pairs = stored(_stars(known, percent, k), "pairs")
         if pairs.isEmpty():
@@ -279,7 +312,7 @@ def jaccard_groups(
         found = _verified(texts, pairs, nodes, size, percent, unique)
         edges = stored(found if edges is None else edges.union(found), "links")
         roots = components(edges)
-        known = stored(nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "known-components")
+        known = stored(nodes.drop("odd").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "known-components")
     edges = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false") if edges is None else edges
     comps = known.where("comp != node").select(F.col("rep").alias("of"), "comp")
     if not unique:  # one id, several sets: no component is known by id there
