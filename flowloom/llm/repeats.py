@@ -23,9 +23,13 @@ from .common import in_small_batches, let, sized, stored
 
 #: Positions are packed as start, windows: 36 and 8 bits.
 START_BITS, COUNT_BITS = 36, 8
+#: Beside its start, a run within a piece has its number of units in so many bits.
+RUN_BITS = 24
 LAST = (1 << 63) - 1
 #: List entries up to which a table with one row per document is broadcast.
 MOST_ENTRIES = 4_000_000
+#: Above that: bits for each text with a list, and words of 64 of them that are broadcast at most.
+MARK_BITS, MOST_MARKS = 16, 1 << 20
 #: Anchors up to which a table of them is broadcast.
 MOST_ANCHORS = 3_000_000
 
@@ -79,9 +83,12 @@ def pieces_of(values: np.ndarray, bounds: np.ndarray, w: Windows, whole: bool =
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, number, text``. A text is known by its id and its number, a 64-bit hash of it."""
+    """``doc_id, number, text``. A text is known by its id and its number: a 64-bit hash of it, or 0 if no id repeats."""
+    ids = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc_id"))
+    unique = ids.groupBy("doc_id").count().where("count > 1").isEmpty()
+    number = F.lit(0).cast("long") if unique else F.xxhash64(f"`{text}`")
     return in_small_batches(docs).select(
-        F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(f"`{text}`").alias("number"), F.col(f"`{text}`").alias("text"))
+        F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc_id"), number.alias("number"), F.col(f"`{text}`").alias("text"))
 
 
 def _anchors(docs: DataFrame, w: Windows) -> DataFrame:
@@ -148,11 +155,27 @@ def _requested(docs: DataFrame, wanted: DataFrame, columns: str, w: Windows, ope
 
 
 def _by_document(docs: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
-    """Texts with their list. Lists are broadcast if all their entries together are few, else shuffled with the texts."""
+    """Texts with their list. Lists are broadcast if all their entries together are few, else shuffled with the texts.
+
+    A text without a list is not shuffled: marks of those with one are broadcast, a bit for each slot of a
+    hash of id and number. Texts that share a slot go along and find no list.
+    """
     total = lists.agg(F.sum(F.size(column) + 2).alias("n")).first()["n"] or 0
-    lists = F.broadcast(lists) if total <= MOST_ENTRIES else lists
     same = (docs.doc_id == lists.of) & (docs.number == lists.of_number)
-    return docs.join(lists, same, how).drop("of", "of_number")
+    if total <= MOST_ENTRIES:
+        return docs.join(F.broadcast(lists), same, how).drop("of", "of_number")
+    words = min(MOST_MARKS, 1 << max(0, (MARK_BITS * lists.count() // 64).bit_length()))
+    word = lambda slot: F.shiftrightunsigned(slot, 6).bitwiseAND(words - 1)
+    bit = lambda slot: slot.bitwiseAND(63).cast("int")
+    mine, theirs = F.xxhash64("doc_id", "number"), F.xxhash64("of", "of_number")
+    bits = lists.select(word(theirs).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(theirs)).alias("bit"))
+    marks = F.broadcast(stored(bits.groupBy("word").agg(F.bit_or("bit").alias("marks")), "marks"))
+    flagged = docs.join(marks, word(mine) == marks.word, "left").withColumn("near", F.coalesce(F.getbit("marks", bit(mine)) == 1, F.lit(False)))
+    near = flagged.where("near").select(*docs.columns)
+    joined = near.join(lists, (near.doc_id == lists.of) & (near.number == lists.of_number), how).drop("of", "of_number")
+    if how == "inner":
+        return joined
+    return joined.unionByName(flagged.where("not near").select(*docs.columns, F.lit(None).cast(lists.schema[column].dataType).alias(column)))
 
 
 def _window_hashes(values, start, count, w: Windows) -> np.ndarray:
@@ -217,13 +240,13 @@ def runs_by_document(found: DataFrame, w: Windows) -> DataFrame:
     """Runs of units under repeated windows of each text: ``of, of_number, runs``, an array of from, to, from, to.
 
     ``found`` has ``doc_id, number, place`` and ``ws``: the windows of the piece that are repeated, null
-    for all. Runs of one piece are maximal; those of pieces next to each other may overlap, and are put
-    together where the units are flagged (``without_runs``). Rows with one id and one text give their
-    runs once.
+    for all. The runs of a text are maximal: in the order of their starts their ends grow as well, as the
+    windows of a piece come before those of the next. Rows with one id and one text give their runs once.
     """
     start = F.shiftright("place", COUNT_BITS).bitwiseAND((1 << START_BITS) - 1)
     count = F.col("place").bitwiseAND((1 << COUNT_BITS) - 1)
-    run = lambda first, last: F.array((start + first).cast("long"), (start + last + w.length).cast("long"))
+    # a run within a piece is one number: its start, and how many units it has
+    run = lambda first, last: F.shiftleft((start + first).cast("long"), RUN_BITS) + (last - first + w.length).cast("long")
     ws = F.array_sort("ws")
     # windows whose units touch make one run; its ends are where the next window is too far away
     far = lambda a, b: F.coalesce(b - a > w.length, F.lit(True))
@@ -231,9 +254,15 @@ def runs_by_document(found: DataFrame, w: Windows) -> DataFrame:
     ends = lambda v: F.filter(v, lambda x, i: far(x, F.get(v, i + 1)))
     together = let(ws, lambda v: F.zip_with(begins(v), ends(v), run))
     each = F.when(F.col("ws").isNull(), F.array(run(F.lit(0), count - 1))).otherwise(together)
-    rows = found.select("doc_id", "number", F.flatten(each).alias("runs"))
-    runs = rows.groupBy(F.col("doc_id").alias("of"), F.col("number").alias("of_number")).agg(F.flatten(F.collect_set("runs")).alias("runs"))
-    return stored(runs, "repeat-runs")
+    rows = found.select(F.col("doc_id").alias("of"), F.col("number").alias("of_number"), F.explode(each).alias("run"))
+    runs = rows.groupBy("of", "of_number").agg(F.array_sort(F.collect_set("run")).alias("runs"))
+    begin = lambda x: F.shiftright(x, RUN_BITS)
+    end = lambda x: begin(x) + x.bitwiseAND((1 << RUN_BITS) - 1)
+    apart = lambda a, b: F.coalesce(begin(b) > end(a), F.lit(True))
+    first = lambda v: F.transform(F.filter(v, lambda x, i: apart(F.get(v, i - 1), x)), begin)
+    last = lambda v: F.transform(F.filter(v, lambda x, i: apart(x, F.get(v, i + 1))), end)
+    whole = let(F.col("runs"), lambda v: F.flatten(F.zip_with(first(v), last(v), lambda a, b: F.array(a, b))))
+    return stored(runs.select("of", "of_number", whole.alias("runs")), "repeat-runs")
 
 
 def without_runs(docs: DataFrame, runs: DataFrame, w: Windows, columns: str, finish: Callable) -> DataFrame:

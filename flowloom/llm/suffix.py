@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import query, stored, table
-from .repeats import Windows, _requested, _texts, bucketed, piece_groups, runs_by_document, window_rows, without_runs
+from .repeats import Windows, _requested, _texts, _window_hashes, bucketed, piece_groups, runs_by_document, without_runs
 
 #: Bytes of pieces that are sorted together, and pieces per anchor up to which they share one bucket.
 BUCKET, MOST_PIECES = 256 << 10, 1000
+#: Bytes of window hashes of one anchor that are counted together.
+PART = 1 << 20
 #: Not a byte of UTF-8: parts pieces, and stands behind the last one.
 END = 0xFF
 #: The prefix by which suffixes are sorted first, in one number.
@@ -109,12 +111,46 @@ def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
     return [start[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def repeated_in_parts(docs: DataFrame, many: DataFrame, w: Windows) -> DataFrame:
+    """``h, ph, ws``: repeated windows of pieces whose anchor has very many.
+
+    A piece gives its window hashes in a row for each part that some of them fall into. Equal windows are in one part
+    of their anchor; parts are as many as keep the largest anchor's within ``PART`` bytes.
+    """
+    most = many.agg(F.max("variants")).first()[0]
+    parts = -(-most * w.seeds * 8 // PART)
+
+    def opened(data, values, start, count, h, ph, ids):
+        window = _window_hashes(values, start, count, w)
+        row = np.repeat(np.arange(len(start)), count)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        part = ((window.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((part, row))
+        cuts = np.flatnonzero(np.append(True, np.diff(row[order] * parts + part[order]) != 0))
+        listed = lambda x: pa.ListArray.from_arrays(pa.array(np.append(cuts, len(x)), pa.int32()), pa.array(x[order]))
+        of = row[order][cuts]
+        return [pa.array(h[of]), pa.array(ph[of]), pa.array(part[order][cuts]), listed(inner.astype(np.int32)), listed(window)]
+
+    def repeated(table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).combine_chunks() for c in ("h", "ph", "ws", "windows")}
+        _, which, times = np.unique(np.asarray(columns["windows"].flatten()), return_inverse=True, return_counts=True)
+        again = times[which] > 1
+        row = np.repeat(np.arange(table.num_rows), np.asarray(columns["ws"].value_lengths()))
+        ends = np.append(0, np.cumsum(np.bincount(row[again], minlength=table.num_rows)))
+        ws = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.asarray(columns["ws"].flatten())[again], pa.int32()))
+        return pa.table([columns["h"], columns["ph"], ws], names=["h", "ph", "ws"])
+
+    rows = _requested(docs, many, "part long, ws array<int>, windows array<long>", w, opened)
+    found = rows.groupBy("h", "part").applyInArrow(repeated, "h long, ph long, ws array<int>").where("size(ws) > 0")
+    return found.groupBy("h", "ph").agg(F.flatten(F.collect_list("ws")).alias("ws"))
+
+
 def repeated_bytes(docs: DataFrame, w: Windows) -> DataFrame:
     """``doc_id, number, place, ws``: windows that start somewhere else too.
 
     A piece that occurs twice is repeated as a whole. One that occurs once is looked into where its
     anchor has other pieces. An anchor with more than ``MOST_PIECES`` of them could outgrow a bucket:
-    its windows are counted by hash, spread over all tasks, with the same result.
+    its windows are counted by hash, in parts of bounded size, with the same result.
     """
     occurrences, pieces = piece_groups(docs, w)
     pieces = stored(pieces, "piece-variants")
@@ -127,9 +163,7 @@ def repeated_bytes(docs: DataFrame, w: Windows) -> DataFrame:
     solve = lambda h, first, content: repeated_starts(content, w.length)
     found = bucketed(_requested(docs, few, "first long, content binary", w, opened), solve, BUCKET)
     if not many.isEmpty():
-        windows = stored(window_rows(docs, many, w), "open-windows")
-        again = windows.groupBy("h", "window").agg(F.count("*").alias("k")).where("k > 1").select("h", "window")
-        found = found.unionByName(windows.join(again, ["h", "window"], "left_semi").groupBy("h", "ph").agg(F.collect_list("w").alias("ws")))
+        found = found.unionByName(repeated_in_parts(docs, many, w))
     found = stored(found, "repeated-windows")
     # written down, so that the join with all occurrences is one whose hot keys can be split
     verdict = stored(pieces.select("h", "ph", F.col("n").alias("times")).join(found, ["h", "ph"], "left"), "piece-verdicts")
