@@ -24,8 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import KEY, keyed, query, stored, table, words
-from .units import BYTE_VALUES, LOWER, WORD_BYTES, blocks, mixed, spans, sums
+from .common import KEY, keyed, query, stored, table
+from .units import BYTE_VALUES, LOWER, WORD_BYTES, blocks, mixed, row_of, spans, sums, word_bounds, word_hashes
 
 ORDERS = (2, 4)
 CONTEXTS = len(ORDERS) + 1
@@ -37,17 +37,24 @@ FAN_IN = 64
 STRETCH = 2048
 #: Bytes of text handled at once.
 BLOCK = 1 << 20
+#: Bytes whose contexts are hashed at once, more only within a word; stretches side by side; bytes looked up ahead of mixing.
+PIECE, LANES, AHEAD = 1 << 15, 1024, 1 << 13
 LEARNING, REFINING = np.float32(0.005 / 144), np.float32(0.02)
 #: Fewer tokens than this can have more than this part of all occurrences: those are broadcast.
 COMMON = 500_000
 #: Before a text, and the end of it: bytes that UTF-8 never has.
 PAD, END = 8, 0xFF
 PLACES = np.arange(8)
+GAPS = ~WORD_BYTES
+GAPS[[0, END]] = True
 
 #: By place and byte: the bit, and its slot in its line. By half byte: what the second line depends on.
 BITS = ((np.arange(256) >> (7 - PLACES)[:, None]) & 1).astype(np.float32)
 HALVES = np.where(PLACES[:, None] < 4, np.arange(256) >> 4, np.arange(256) & 15)
 NODES = (16 | HALVES) >> (4 - PLACES[:, None] % 4)
+#: By byte: its bits. By half byte: the slots of its bits within a line.
+BIT_ROWS = np.ascontiguousarray(BITS.T)
+HALF_SLOTS = (16 | np.arange(16)[:, None]) >> (4 - np.arange(4))
 FIRST = mixed(np.arange(1, 17, dtype=np.uint64)).astype(np.uint32)
 ODD = np.uint32(0x9E3779B1)
 
@@ -58,8 +65,17 @@ OPINION = np.log((COUNTS[None, :] + DELTA) / (COUNTS[:, None] + DELTA)).astype(n
 #: Opinions where one observation, of a zero or of a one, is left out.
 LEFT_OUT = [np.log((np.maximum(COUNTS[None, :] - bit, 0) + DELTA) / (np.maximum(COUNTS[:, None] - (1 - bit), 0) + DELTA)
                    ).astype(np.float32).ravel() for bit in (0, 1)]
+#: The same in 12ths; minus zero tells a slot that no text has reached.
+LEFT_OUT_12 = [12 * left for left in LEFT_OUT]
+for _left in LEFT_OUT_12:
+    _left[0] = -0.0
+UNSEEN = np.float32(-0.0).view(np.int32)
 GATES = CONTEXTS + 1
 STEPS = 33
+#: The weights of one context in a gate travel as a whole.
+WEIGHTS = np.dtype("V32")
+#: Added to a small float, it leaves the nearest whole number in the low bits.
+ROUND = np.float32(3 << 22)
 #: Opinions are whole 12ths.
 OPINION_12 = np.clip(np.rint(OPINION * 12), -127, 127).astype(np.int8)
 
@@ -74,7 +90,10 @@ def texts(batch: pa.RecordBatch, size: int = BLOCK) -> Iterator[tuple[int, np.nd
         sizes = np.diff(bounds)
         flat = np.zeros(len(data) + len(sizes) * (PAD + 1), np.uint8)
         starts = bounds[:-1] + np.arange(len(sizes)) * (PAD + 1) + PAD
-        flat[np.arange(len(data)) + np.repeat(starts - bounds[:-1], sizes)] = LOWER[data]
+        filled = np.ones(len(flat), bool)
+        filled[starts[:, None] - np.arange(1, PAD + 1)] = False
+        filled[starts + sizes] = False
+        flat[filled] = LOWER.take(data)
         flat[starts + sizes] = END
         yield row, flat, starts, sizes + 1, contexts(flat)
 
@@ -82,19 +101,30 @@ def texts(batch: pa.RecordBatch, size: int = BLOCK) -> Iterator[tuple[int, np.nd
 def contexts(flat: np.ndarray) -> np.ndarray:
     """A hash of each context (first axis) of each byte."""
     out = np.empty((CONTEXTS, len(flat)), np.uint32)
-    past = np.zeros(len(flat), np.uint64)
-    column = 0
-    for k in range(1, max(ORDERS) + 1):
-        past[k:] |= flat[:-k].astype(np.uint64) << np.uint64(8 * (k - 1))
-        if k in ORDERS:
-            out[column] = mixed(past + np.uint64(k << 56)) >> np.uint64(32)
-            column += 1
-    gap = ~WORD_BYTES[flat] | (flat == 0) | (flat == END)
-    at = np.arange(len(flat))
-    after = np.maximum.accumulate(np.where(gap, at + 1, 0))
-    begin = np.zeros(len(flat), np.int64)
-    begin[1:] = after[:-1]
-    out[column] = spans(sums(BYTE_VALUES[flat], 0), 0, begin, at) >> np.uint64(32)
+    gap = GAPS.take(flat)
+    behind = np.flatnonzero(gap) + 1
+    low = 0
+    while low < len(flat):
+        # a piece ends behind a gap, so that words are whole
+        at = np.searchsorted(behind, low + PIECE, "right") - 1
+        if at < 0 or behind[at] <= low:
+            at += 1
+        high = int(behind[at]) if at < len(behind) else len(flat)
+        begin = max(0, low - max(ORDERS))
+        bytes_ = flat[begin:high].astype(np.uint64)
+        past = np.zeros(high - low, np.uint64)
+        column = 0
+        for k in range(1, max(ORDERS) + 1):
+            before = bytes_[max(0, low - begin - k):max(0, high - begin - k)]
+            past[len(past) - len(before):] |= before << np.uint64(8 * (k - 1))
+            if k in ORDERS:
+                out[column, low:high] = mixed(past + np.uint64(k << 56)) >> np.uint64(32)
+                column += 1
+        own = np.arange(high - low)
+        word = np.zeros(high - low, np.int64)
+        word[1:] = np.where(gap[low:high - 1], own[1:], 0)
+        out[column, low:high] = spans(sums(BYTE_VALUES.take(flat[low:high]), 0), 0, np.maximum.accumulate(word), own) >> np.uint64(32)
+        low = high
     return out
 
 
@@ -121,7 +151,10 @@ def count_bits(docs: DataFrame, bits: int) -> DataFrame:
                 byte = flat[at].astype(np.uint64)
                 for c in range(CONTEXTS):
                     # Equal bytes in equal contexts count together; in this order, lines come one after the other.
-                    pairs = np.sort(hashes[c, at].astype(np.uint64) << np.uint64(8) | byte)
+                    pairs = hashes[c].take(at).astype(np.uint64)
+                    pairs <<= np.uint64(8)
+                    pairs |= byte
+                    pairs.sort()
                     first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
                     seen = (pairs[first] & np.uint64(255)).astype(np.uint8)
                     keys = _slots((pairs[first] >> np.uint64(8)).astype(np.uint32)[None, :], seen, bits)[0]
@@ -195,56 +228,129 @@ class Mixer:
         self.refined = np.tile((1 / (1 + np.exp(-odds))).astype(np.float32), (8, 1))
 
 
+def by_halves(table: np.ndarray) -> np.ndarray:
+    """By line and half byte: the opinions of the half byte's four slots, side by side. Of levels, with the bits left out."""
+    lines, places = table.reshape(-1, 16), HALF_SLOTS
+    kind = np.dtype(np.int8 if table.dtype == np.int8 else np.float32)
+    if kind != np.int8:
+        places = places + 16 * (BITS[4:, :16].T > 0)
+    out = np.empty((len(lines), 16, 4), kind)
+    for low in range(0, len(lines), 1 << 11):
+        some = lines[low:low + (1 << 11)]
+        if kind != np.int8:
+            some = np.concatenate([left.take(some) for left in LEFT_OUT_12], axis=1)
+        some.take(places, axis=1, out=out[low:low + (1 << 11)], mode="clip")
+    return out.reshape(-1, 4).view(f"V{4 * kind.itemsize}").ravel()
+
+
 def mix(table: np.ndarray, bits: int, mixer: Mixer, flat: np.ndarray, hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
-        fit: bool = False) -> tuple[np.ndarray, Mixer]:
-    """Natural logarithms of the probabilities of stretches, each learning on its own from ``mixer``; and their mean end.
+        fit: bool = False) -> tuple[np.ndarray | None, Mixer]:
+    """Natural logarithms of the probabilities of stretches, each learning on its own from ``mixer``; or for ``fit`` their mean end.
 
-    ``table`` holds opinions in 12ths, or for ``fit`` levels of counts. Stretches go side by side, a byte of each at a time. The bits of a byte share the weights.
+    ``table`` holds opinions in 12ths, or for ``fit`` levels of counts, by slot or ``by_halves``.
     """
+    if table.dtype.kind != "V":
+        table = by_halves(table)
     order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
-    lanes = len(starts)
-    weights = np.tile(mixer.weights.reshape(CONTEXTS, 8, 1, GATES), (1, 1, lanes, 1)).reshape(CONTEXTS, 8, lanes * GATES)
-    refined = np.tile(mixer.refined[:, None], (1, lanes, 1)).ravel()
-    gate_at = np.arange(lanes) * GATES
-    step_at = (PLACES[:, None] * lanes + np.arange(lanes)) * STEPS + STEPS // 2
-    table_at = (np.arange(CONTEXTS, dtype=np.int64) << bits)[:, None, None, None]
-    total = np.zeros(lanes)
-    active = np.searchsorted(-lengths, -np.arange(lengths.max(initial=0)), "left")
-    for t, n in enumerate(active):
-        at = starts[:n] + t
-        byte = flat[at]
-        bit = BITS.take(byte, axis=1)
-        seen = table.take(_slots(hashes.take(at, axis=1), byte, bits, table_at))
+    logs, end = np.zeros(len(starts)), Mixer()
+    weights, refined = np.zeros(end.weights.shape), np.zeros(end.refined.shape)
+    for low in range(0, len(order), LANES):
+        some = order[low:low + LANES]
         if fit:
-            opinion = 12 * np.where(bit > 0, LEFT_OUT[1].take(seen), LEFT_OUT[0].take(seen))
+            of_weights, of_refined = _side_by_side(table, bits, mixer, flat, hashes, starts[some], lengths[some])
+            weights += np.einsum("l,clgp->cpg", lengths[some], of_weights)
+            refined += np.einsum("l,lps->ps", lengths[some], of_refined)
+        else:
+            _side_by_side(table, bits, mixer, flat, hashes, starts[some], lengths[some], some, logs)
+    if fit and len(order):
+        end.weights, end.refined = weights / lengths.sum(), refined / lengths.sum()
+    return None if fit else logs, end
+
+
+def _side_by_side(table: np.ndarray, bits: int, mixer: Mixer, flat: np.ndarray, hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
+                  lanes: np.ndarray | None = None, logs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and refinement after each stretch, the longest first; logarithms are added to the ``lanes`` of ``logs``.
+
+    Stretches go side by side, a byte of each at a time. The bits of a byte share the weights. Slots do not
+    depend on what is learnt, so they are looked up for many bytes at once.
+    """
+    many = len(starts)
+    weights, refined = np.empty((CONTEXTS, many, GATES, 8), np.float32), np.empty((many, 8, STEPS), np.float32)
+    weights[:], refined[:] = mixer.weights.transpose(0, 2, 1)[:, None], mixer.refined
+    weights_in, refined_in = weights.reshape(-1, 8).view(WEIGHTS).ravel(), refined.ravel()
+    gate_at = np.arange(many) * GATES
+    context_at = np.arange(0, CONTEXTS * many * GATES, many * GATES)[:, None]
+    step_at = ((np.arange(many)[:, None] * 8 + PLACES) * STEPS + STEPS // 2 - int(ROUND.view(np.int32))).astype(np.int32)
+    one, half, two, top = np.float32(1), np.float32(0.5), np.float32(2), np.uint32(36 - bits)
+    active = np.searchsorted(-lengths, -np.arange(lengths.max(initial=0)), "left")
+    t = 0
+    while t < len(active):
+        here = active[t:t + max(1, AHEAD // int(active[t]))]
+        at = np.concatenate([starts[:n] + u for u, n in enumerate(here, t)])
+        byte = flat.take(at)
+        upper, lower = (byte >> 4).astype(np.uint32), (byte & 15).astype(np.uint32)
+        firsts = FIRST.take(upper)
+        found = np.empty((CONTEXTS, len(at), 2), table.dtype)
+        for c in range(CONTEXTS):
+            context = hashes[c].take(at)
+            found[c, :, 0] = table.take(((context >> top) + np.uint32(c << bits - 4) << np.uint32(4)) + upper)
+            context += firsts
+            context *= ODD
+            found[c, :, 1] = table.take(((context >> top) + np.uint32(c << bits - 4) << np.uint32(4)) + lower)
+        bit = BIT_ROWS.take(byte, axis=0)
+        if logs is None:
+            opinions = found.view(np.float32)
+            seen = opinions.view(np.int32)[:, :, 0] != UNSEEN
         else:
-            opinion = seen.astype(np.float32)
-        gate = gate_at[:n] + (seen[:, 0] != 0).sum(axis=0)
-        weight = weights.take(gate, axis=2)
-        odds = (weight * opinion).sum(axis=0)
-        np.clip(odds, -11, 11, out=odds)
-        p = 1 / (1 + np.exp(-odds))
-        opinion *= (bit - p) * LEARNING
-        weight += opinion
-        weights[:, :, gate] = weight
-        np.clip(odds, -8, 8, out=odds)
-        odds *= 2
-        step = np.rint(odds).astype(np.int64)
-        step += step_at[:, :n]
-        finer = refined.take(step)
-        refined[step] = finer + (bit - finer) * REFINING
-        p += finer
-        p *= 0.5
-        total[:n] += np.log(np.abs(1 - bit - p).reshape(2, 4, n).prod(axis=1)).sum(axis=0, dtype=float)
-    out = np.empty(lanes)
-    out[order] = total
-    end = Mixer()
-    if lanes and fit:
-        share = (lengths / lengths.sum()).astype(np.float32)
-        end.weights = np.einsum("l,cplg->cpg", share, weights.reshape(CONTEXTS, 8, lanes, GATES))
-        end.refined = np.einsum("l,pls->ps", share, refined.reshape(8, lanes, STEPS))
-    return out, end
+            opinions = found.view(np.int8).astype(np.float32)
+            seen = opinions[:, :, 0] != 0
+            chances = np.empty((len(at), 8), np.float32)
+        gates = seen.sum(axis=0)
+        low = 0
+        for n in here.tolist():
+            now = slice(low, low + n)
+            low += n
+            opinion, mine = opinions[:, now], bit[now]
+            which = context_at + (gate_at[:n] + gates[now])
+            weight = weights_in.take(which).view(np.float32).reshape(CONTEXTS, n, 8)
+            voices = weight * opinion
+            odds = voices[0]
+            for c in range(1, CONTEXTS):
+                odds += voices[c]
+            np.clip(odds, -11, 11, out=odds)
+            p = np.negative(odds)
+            np.exp(p, out=p)
+            p += one
+            np.divide(one, p, out=p)
+            miss = mine - p
+            miss *= LEARNING
+            opinion *= miss
+            weight += opinion
+            weights_in.put(which, weight.view(WEIGHTS), mode="clip")
+            np.clip(odds, -8, 8, out=odds)
+            odds *= two
+            odds += ROUND
+            step = (odds.view(np.int32) + step_at[:n]).astype(np.intp)
+            finer = refined_in[step]
+            if logs is not None:
+                np.add(p, finer, out=chances[now])
+            np.subtract(mine, finer, out=miss)
+            miss *= REFINING
+            finer += miss
+            refined_in[step] = finer
+        if logs is not None:
+            chances *= half
+            bit -= one
+            chances += bit
+            chance = np.abs(chances, out=chances).reshape(-1, 2, 4)
+            own = np.log(chance[..., 0] * chance[..., 1] * chance[..., 2] * chance[..., 3]).astype(float)
+            own = own[:, 0] + own[:, 1]
+            low = 0
+            for n in here.tolist():
+                logs[lanes[:n]] += own[low:low + n]
+                low += n
+        t += len(here)
+    return weights, refined
 
 
 def _stretches(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,11 +377,12 @@ def fitted_on_all(docs: DataFrame, levels: np.ndarray, bits: int, rounds: int =
     shape, cut = mixer.weights.shape, mixer.weights.size
     for _ in range(rounds):
         def learn(batches: Iterator[pa.RecordBatch], start: Mixer = mixer) -> Iterator[pa.RecordBatch]:
-            size, total = 0, np.zeros(cut + start.refined.size)
+            size, total, own = 0, np.zeros(cut + start.refined.size), None
             for batch in batches:
+                own = by_halves(shared.value) if own is None else own
                 for _, flat, starts, lengths, hashes in texts(batch):
                     _, at, n = _stretches(starts, lengths)
-                    _, end = mix(shared.value, bits, start, flat, hashes, at, n, fit=True)
+                    _, end = mix(own, bits, start, flat, hashes, at, n, fit=True)
                     total += np.r_[end.weights.ravel(), end.refined.ravel()] * float(n.sum())
                     size += int(n.sum())
             if size:
@@ -302,6 +409,7 @@ def mixed_scores(docs: DataFrame, learns: Column, text: str = "text") -> DataFra
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, mixer = model.value
+        table = by_halves(table)
         for batch in batches:
             score, size = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
             for first, flat, starts, lengths, hashes in texts(batch):
@@ -314,6 +422,26 @@ def mixed_scores(docs: DataFrame, learns: Column, text: str = "text") -> DataFra
     return plain.select(KEY, "text").mapInArrow(score, f"`{KEY}` long, n_bytes long, score double")
 
 
+def tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, hashes of the tokens of successive blocks of rows, and the row of each. The end's hash is that of no byte."""
+    for first, data, bounds in blocks(batch, "text", BLOCK):
+        data = LOWER.take(data)
+        starts, ends, of_rows = word_bounds(data, bounds)
+        row = np.arange(len(bounds) - 1)
+        yield first, np.r_[word_hashes(data, starts, ends), np.zeros(len(row), np.uint64)].view(np.int64), np.r_[row_of(of_rows), row]
+
+
+def token_counts(docs: DataFrame) -> DataFrame:
+    """``token, c``: hashes of the tokens of all texts (column ``text``), and how often each occurs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, hashes, _ in tokens(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(hashes, return_counts=True)], names=["token", "c"])
+
+    return docs.select("text").mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+
+
 def token_scores(docs: DataFrame, learns: Column, text: str = "text", common: int = COMMON) -> DataFrame:
     """``KEY, n_tokens, n_known, train_tokens, base_score``: log10 probability of the tokens by smoothed counts.
 
@@ -321,15 +449,33 @@ def token_scores(docs: DataFrame, learns: Column, text: str = "text", common: in
     than ``common`` by their share of all, are broadcast; what is rarer meets its count in a shuffle, where
     no token is frequent.
     """
-    lower = F.translate(F.col(f"`{text}`"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = docs.select(KEY, learns.alias("learns"), F.explode(F.array_append(words(lower), F.lit(""))).alias("token")).select(
-        KEY, "learns", F.xxhash64("token").alias("token"))
-    counts = stored(tokens.where("learns").groupBy("token").agg(F.count("*").alias("c")), "tokens")
+    plain = docs.select(KEY, F.col(f"`{text}`").alias("text"), learns.alias("learns"))
+    counts = stored(token_counts(plain.where("learns")), "tokens")
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    logs = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / (whole.n + 0.5 * (whole.v + 1)))
-    often = F.broadcast(counts.where(F.col("c") > whole.n / common))
-    own = stored(tokens.join(often, "token", "left").groupBy(KEY, F.when(F.col("c").isNull(), F.col("token")).alias("token")).agg(
-        F.count("*").alias("k"), F.sum(F.when(F.col("c").isNotNull(), logs)).alias("s")), "own-tokens")
+    size = whole.n + 0.5 * (whole.v + 1)
+    often = counts.where(F.col("c") > whole.n / common).orderBy("token").toArrow()  # fewer than ``common`` rows
+    shared = docs.sparkSession.sparkContext.broadcast([often.column(c).to_numpy() for c in ("token", "c")])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
+        known, logs = np.r_[known, np.int64(0)], np.log10((np.r_[counts, 0] + 0.5) / size)
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for first, hashes, row in tokens(batch):
+                distinct, which = np.unique(hashes, return_inverse=True)
+                at = np.searchsorted(known[:-1], distinct)
+                near = ((known[at] == distinct) & (at < len(counts)))[which]
+                k = np.bincount(row[near])
+                s = np.bincount(row[near], logs[at][which[near]])
+                own = np.flatnonzero(k)
+                pairs, times = np.unique(row[~near] * len(distinct) + which[~near], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[first + np.r_[own, pairs // len(distinct)]]),
+                     pa.array(np.r_[np.zeros(len(own), np.int64), distinct[pairs % len(distinct)]], mask=np.arange(len(own) + len(pairs)) < len(own)),
+                     pa.array(np.r_[k[own], times]), pa.array(np.r_[s[own], np.zeros(len(pairs))])], names=[KEY, "token", "k", "s"])
+
+    own = stored(plain.select(KEY, "text").mapInArrow(look_up, f"`{KEY}` long, token long, k long, s double"), "own-tokens")
+    logs = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / size)
     near = own.where("token IS NULL").select(KEY, "k", F.col("k").alias("known"), "s")
     far = own.where("token IS NOT NULL").join(counts.hint("merge"), "token", "left").select(
         KEY, "k", F.when(F.col("c") > 0, F.col("k")).otherwise(0), F.col("k") * logs)

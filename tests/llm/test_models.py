@@ -260,3 +260,53 @@ def test_mixer_learns_from_all_texts(spark):
             _, mixer = cm.mix(levels, bits, mixer, flat, hashes, at, n, fit=True)
     got = cm.fitted_on_all(df, levels, bits)
     assert np.allclose(got.weights, mixer.weights, atol=1e-5) and np.allclose(got.refined, mixer.refined, atol=1e-5)
+
+
+def test_slots_are_read_by_halves_of_bytes():
+    """Four slots a look-up, as the slots one by one; a stretch learns the same alone and beside more than ``LANES``."""
+    import numpy as np
+
+    bits, rng = cm.LEAST_BITS, np.random.default_rng(5)
+    levels = (rng.integers(0, 90, cm.CONTEXTS << bits) * rng.integers(0, 2, cm.CONTEXTS << bits)).astype(np.uint16) * 257
+    texts = ["a", "bc " * 900, None, ""] + [f"text {i} " * (i % 7) for i in range(cm.LANES + 9)]
+    batch = cm.pa.RecordBatch.from_arrays([cm.pa.array(texts, cm.pa.string())], names=["text"])
+    (_, flat, starts, lengths, hashes), = cm.texts(batch, size=1 << 30)
+    slots = cm._slots(hashes, flat, bits, (np.arange(cm.CONTEXTS) << bits)[:, None, None, None])
+    line, half = slots[:, ::4] >> 4, cm.HALVES[::4, flat]
+    opinions = cm.OPINION_12[levels]
+    assert (cm.by_halves(opinions)[line << 4 | half].view(np.int8).reshape(cm.CONTEXTS, 2, -1, 4).swapaxes(2, 3).reshape(slots.shape) == opinions[slots]).all()
+    left_out = np.where(cm.BITS[:, flat] > 0, 12 * cm.LEFT_OUT[1][levels[slots]], 12 * cm.LEFT_OUT[0][levels[slots]])
+    found = cm.by_halves(levels)[line << 4 | half].view(np.float32).reshape(cm.CONTEXTS, 2, -1, 4).swapaxes(2, 3).reshape(slots.shape)
+    assert np.allclose(found, left_out) and ((found.view(np.int32) == cm.UNSEEN) == (levels[slots] == 0)).all()
+    _, at, n = cm._stretches(starts, lengths)
+    together, _ = cm.mix(opinions, bits, cm.Mixer(), flat, hashes, at, n)
+    _, whole = cm.mix(levels, bits, cm.Mixer(), flat, hashes, at, n, fit=True)
+    tables, total = (cm.by_halves(opinions), cm.by_halves(levels)), 0
+    for i in range(len(at)):
+        if i < 40:
+            assert cm.mix(tables[0], bits, cm.Mixer(), flat, hashes, at[i:i + 1], n[i:i + 1])[0][0] == together[i]
+        total = total + cm.mix(tables[1], bits, cm.Mixer(), flat, hashes, at[i:i + 1], n[i:i + 1], fit=True)[1].weights * n[i]
+    assert np.allclose(whole.weights, total / n.sum(), rtol=1e-9)
+
+
+def test_context_hashes_do_not_depend_on_pieces(monkeypatch):
+    """Words longer than a piece, pieces of one byte, the first bytes of a text."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    flat = rng.choice(np.frombuffer(b"abc \n\x00\xff", np.uint8), 3000, p=[0.4, 0.3, 0.24, 0.02, 0.02, 0.01, 0.01])
+    want = cm.contexts(flat)
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(cm, "PIECE", piece)
+        assert (cm.contexts(flat) == want).all()
+    alone = cm.contexts(flat[:50])
+    assert (alone == want[:, :50]).all()
+
+
+def test_tokens_are_not_exploded(spark):
+    """Tokens are counted in Arrow batches: no row for each of them, and what is rare is a row per text."""
+    df = spark.createDataFrame([("a B b  é\u00a0x",), (None,), ("",), ("b a",)], "text string")
+    counts = cm.token_counts(df)
+    plan = counts._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    assert sorted(r.c for r in counts.collect()) == [1, 2, 3, 4]
