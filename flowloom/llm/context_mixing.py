@@ -252,18 +252,18 @@ def mix(table: np.ndarray, bits: int, mixer: Mixer, flat: np.ndarray, hashes: np
     if table.dtype.kind != "V":
         table = by_halves(table)
     order = np.argsort(-lengths, kind="stable")
-    logs, end = np.zeros(len(starts)), Mixer()
-    weights, refined = np.zeros(end.weights.shape), np.zeros(end.refined.shape)
+    logs, end, ends = np.zeros(len(starts)), Mixer(), []
     for low in range(0, len(order), LANES):
         some = order[low:low + LANES]
         if fit:
-            of_weights, of_refined = _side_by_side(table, bits, mixer, flat, hashes, starts[some], lengths[some])
-            weights += np.einsum("l,clgp->cpg", lengths[some], of_weights)
-            refined += np.einsum("l,lps->ps", lengths[some], of_refined)
+            ends.append(_side_by_side(table, bits, mixer, flat, hashes, starts[some], lengths[some]))
         else:
             _side_by_side(table, bits, mixer, flat, hashes, starts[some], lengths[some], some, logs)
-    if fit and len(order):
-        end.weights, end.refined = weights / lengths.sum(), refined / lengths.sum()
+    if ends:
+        share = (lengths[order] / lengths.sum()).astype(np.float32)
+        weights, refined = np.concatenate([w for w, _ in ends], axis=1), np.concatenate([r for _, r in ends])
+        end.weights = np.einsum("l,cplg->cpg", share, np.ascontiguousarray(weights.transpose(0, 3, 1, 2)))
+        end.refined = np.einsum("l,pls->ps", share, np.ascontiguousarray(refined.transpose(1, 0, 2)))
     return None if fit else logs, end
 
 
